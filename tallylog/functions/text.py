@@ -4,26 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# White space here is the Unicode White_Space property; Spark's own trim removes only U+0020.
-_SPACE = r"[\s\x85\p{Z}]"
-_NOT_SPACE = r"[^\s\x85\p{Z}]"
+# Fixed value: the Unicode White_Space characters; Spark's own trim removes only U+0020.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def trim(value: Column) -> Column:
+    """Remove white space at both ends."""
+    return F.btrim(value, F.lit(WHITE_SPACE))
 
 
 def is_blank(value: Column) -> Column:
     """True for NULL, '' and white space only."""
-    return ~F.coalesce(value.rlike(_NOT_SPACE), F.lit(False))
+    return trim(present(value)) == ""
 
 
-def trim(value: Column) -> Column:
-    """Remove white space at both ends; the pattern runs only where an end character needs it."""
-    ends = F.concat(F.left(value, F.lit(1)), F.right(value, F.lit(1)))
-    stripped = F.regexp_replace(value, rf"\A{_SPACE}+|(?<!{_SPACE}){_SPACE}+\z", "")
-    return F.when(ends.rlike(_SPACE), stripped).otherwise(value)
+def first_trimmed(*values: Column) -> Column:
+    """The first value that is neither NULL nor ''; '' when there is none."""
+    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
 
 def first_non_empty(*values: Column) -> Column:
     """The first value that is not blank, trimmed; '' when there is none."""
-    return F.coalesce(*[F.when(~is_blank(v), trim(v)) for v in values], F.lit(""))
+    return first_trimmed(*[trim(v) for v in values])
 
 
 def present(value: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallylog.functions.text import (
-    is_digest, json_object, json_quote, kind_of, nul_joined, parse_strict, present, trim,
+    first_trimmed, is_digest, json_object, json_quote, nul_joined, parse_strict, present, trim,
 )
 from tallylog.functions.times import format_rfc3339, parse_rfc3339, rfc3339_sub
+from tallylog.operators.stages import computed_once
 from tallylog.schema import MAX_RECEIPT_EVENT_BYTES
 
 # Member names, the id prefix and the metric registry.
@@ -34,158 +35,175 @@ def metric_allowed(service: Column, metric: Column, unit: Column, scale: Column)
     return entry.isin(*known)
 
 
-def _only(members: Column, allowed: tuple[str, ...]) -> Column:
-    names = F.array(*[F.lit(name) for name in allowed])
-    return F.size(F.array_except(F.map_keys(members), names)) == 0
-
-
-def _kind_in(variant: Column, path: str, *kinds: str) -> Column:
-    """Absent and JSON null are allowed everywhere and mean the zero value."""
-    return F.coalesce(kind_of(variant, path).isin(*kinds, "VOID"), F.lit(True))
-
-
 def decode_usage(df: DataFrame, text: str) -> DataFrame:
-    """Add a ``usage`` struct and ``usage_malformed`` from strict JSON text.
+    """Add flat ``u_*`` columns and ``usage_malformed`` from strict JSON text.
 
     Unknown members, wrong types, fractions, integers beyond 64 bits, trailing text and texts
     over 1 MiB are malformed. Times keep their nanoseconds as ``*_sub``.
     """
-    df = df.withColumn("_holder", parse_strict(F.col(text))[0])
-    holder = F.col("_holder")
-    # An absent digest element means trailing text; the parse itself is shared with the values.
-    whole = F.coalesce(
-        F.try_variant_get(holder, "$[1]", "string") == F.sha2(F.col(text), 256), F.lit(False)
-    )
-    members = F.try_variant_get(holder, "$[0]", "map<string,variant>")
+    source = F.col(text)
+    df = computed_once(df, u_holder=parse_strict(source)[0])
+    holder = F.col("u_holder")
     measurements = F.try_variant_get(holder, "$[0].measurements", "array<variant>")
+    parsed_measurements = F.transform(
+        measurements,
+        lambda m: F.struct(
+            F.try_variant_get(m, "$.metric_code", "string").alias("metric_code"),
+            F.try_variant_get(m, "$.unit", "string").alias("unit"),
+            F.try_variant_get(m, "$.quantity", "bigint").alias("quantity"),
+            F.try_variant_get(m, "$.quantity_scale", "bigint").alias("quantity_scale"),
+        ),
+    )
     dimensions = F.try_variant_get(holder, "$[0].dimensions", "map<string,variant>")
+    df = computed_once(
+        df,
+        **{
+            f"u_{name}": F.try_variant_get(holder, f"$[0].{name}", "string")
+            for name in (*TEXT_MEMBERS, *TIME_MEMBERS)
+        },
+        u_sequence=F.coalesce(F.try_variant_get(holder, "$[0].sequence", "bigint"), F.lit(0)),
+        u_measurements=F.coalesce(parsed_measurements, F.array()),
+        u_dimensions=F.coalesce(
+            F.array_sort(
+                F.transform(
+                    F.map_entries(dimensions),
+                    lambda e: F.struct(
+                        e["key"].alias("key"),
+                        present(F.try_variant_get(e["value"], "$", "string")).alias("value"),
+                    ),
+                )
+            ),
+            F.array(),
+        ),
+        u_typed=_well_typed(source, holder, measurements, dimensions),
+    )
+    times = {
+        name: parse_rfc3339(F.col(f"u_{name}")) for name in TIME_MEMBERS
+    }
+    readable = F.col("u_typed")
+    for name, value in times.items():
+        readable = readable & (F.col(f"u_{name}").isNull() | value.isNotNull())
+    return computed_once(
+        df,
+        [c for c in df.columns if not c.startswith("u_")],
+        **{f"u_{name}": trim(present(F.col(f"u_{name}"))) for name in TEXT_MEMBERS},
+        **{f"u_{name}": value for name, value in times.items()},
+        **{f"u_{name}_sub": rfc3339_sub(F.col(f"u_{name}")) for name in TIME_MEMBERS},
+        u_sequence=F.col("u_sequence"),
+        u_measurements=F.array_sort(
+            F.transform(
+                F.col("u_measurements"),
+                lambda m: F.struct(
+                    present(m["metric_code"]).alias("metric_code"),
+                    present(m["unit"]).alias("unit"),
+                    F.coalesce(m["quantity"], F.lit(0)).alias("quantity"),
+                    F.coalesce(m["quantity_scale"], F.lit(0)).alias("quantity_scale"),
+                ),
+            )
+        ),
+        u_dimensions=F.col("u_dimensions"),
+        usage_malformed=~F.coalesce(readable, F.lit(False)),
+    )
 
-    def measurement_ok(m: Column) -> Column:
-        inner = F.try_variant_get(m, "$", "map<string,variant>")
-        return F.coalesce(
-            _only(inner, MEASUREMENT_MEMBERS)
-            & _kind_in(m, "$.metric_code", "STRING")
-            & _kind_in(m, "$.unit", "STRING")
-            & _kind_in(m, "$.quantity", "BIGINT")
-            & _kind_in(m, "$.quantity_scale", "BIGINT")
-            & (F.coalesce(F.try_variant_get(m, "$.quantity", "bigint"), F.lit(0)) >= 0),
-            F.lit(False),
-        )
 
-    def text_of(name: str) -> Column:
-        return trim(present(F.try_variant_get(holder, f"$[0].{name}", "string")))
+def _well_typed(
+    source: Column, holder: Column, measurements: Column, dimensions: Column
+) -> Column:
+    """One JSON object of known members, each with its JSON type; null stands for absent."""
+    whole = F.try_variant_get(holder, "$[1]", "string") == F.sha2(source, 256)
+    members = F.try_variant_get(holder, "$[0]", "map<string,variant>")
+
+    def wrong(name: Column, value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        fits = (
+            F.when(name.isin(*TEXT_MEMBERS, *TIME_MEMBERS), kind == "STRING")
+            .when(name == "sequence", kind == "BIGINT")
+            .when(name == "measurements", kind.startswith("ARRAY"))
+            .when(name == "dimensions", kind.startswith("OBJECT"))
+            .otherwise(F.lit(False))
+        )
+        known = name.isin(*EVENT_MEMBERS)
+        return ~F.when(known & (kind == "VOID"), F.lit(True)).otherwise(fits)
+
+    def measurement_wrong(name: Column, value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        fits = (
+            F.when(name.isin("metric_code", "unit"), kind == "STRING")
+            .when(name.isin("quantity", "quantity_scale"), kind == "BIGINT")
+            .otherwise(F.lit(False))
+        )
+        negative = (name == "quantity") & F.coalesce(
+            F.try_variant_get(value, "$", "bigint") < 0, F.lit(False)
+        )
+        known = name.isin(*MEASUREMENT_MEMBERS)
+        return negative | ~F.when(known & (kind == "VOID"), F.lit(True)).otherwise(fits)
 
-    def time_of(name: str) -> Column:
-        return F.try_variant_get(holder, f"$[0].{name}", "string")
+    def measurement_ok(m: Column) -> Column:
+        inner = F.try_variant_get(m, "$", "map<string,variant>")
+        return F.coalesce(F.size(F.map_filter(inner, measurement_wrong)) == 0, F.lit(False))
 
-    number = F.coalesce(F.try_variant_get(holder, "$[0].sequence", "bigint"), F.lit(0))
-    typed = whole & members.isNotNull() & _only(members, EVENT_MEMBERS)
-    for name in (*TEXT_MEMBERS, *TIME_MEMBERS):
-        typed = typed & _kind_in(holder, f"$[0].{name}", "STRING")
-    for name in TIME_MEMBERS:
-        typed = typed & (time_of(name).isNull() | parse_rfc3339(time_of(name)).isNotNull())
-    typed = (
-        typed
-        & _kind_in(holder, "$[0].sequence", "BIGINT")
-        & (number >= 0)
-        & (measurements.isNotNull() | _kind_in(holder, "$[0].measurements"))
+    return F.coalesce(
+        whole
+        & (F.octet_length(source) <= MAX_RECEIPT_EVENT_BYTES)
+        & (F.size(F.map_filter(members, wrong)) == 0)
+        & (F.coalesce(F.try_variant_get(holder, "$[0].sequence", "bigint"), F.lit(0)) >= 0)
         & F.coalesce(F.forall(measurements, measurement_ok), F.lit(True))
-        & (dimensions.isNotNull() | _kind_in(holder, "$[0].dimensions"))
         & F.coalesce(
             F.forall(
-                F.map_values(dimensions),
-                lambda v: F.schema_of_variant(v).isin("STRING", "VOID"),
+                F.map_values(dimensions), lambda v: F.schema_of_variant(v).isin("STRING", "VOID")
             ),
             F.lit(True),
-        )
-        & (F.octet_length(F.col(text)) <= MAX_RECEIPT_EVENT_BYTES)
-    )
-    parsed_measurements = F.transform(
-        measurements,
-        lambda m: F.struct(
-            present(F.try_variant_get(m, "$.metric_code", "string")).alias("metric_code"),
-            present(F.try_variant_get(m, "$.unit", "string")).alias("unit"),
-            F.coalesce(F.try_variant_get(m, "$.quantity", "bigint"), F.lit(0)).alias("quantity"),
-            F.coalesce(F.try_variant_get(m, "$.quantity_scale", "bigint"), F.lit(0)).alias(
-                "quantity_scale"
-            ),
         ),
-    )
-    usage = F.struct(
-        *[text_of(name).alias(name) for name in TEXT_MEMBERS],
-        *[parse_rfc3339(time_of(name)).alias(name) for name in TIME_MEMBERS],
-        *[rfc3339_sub(time_of(name)).alias(f"{name}_sub") for name in TIME_MEMBERS],
-        number.alias("sequence"),
-        F.coalesce(F.array_sort(parsed_measurements), F.array()).alias("measurements"),
-        F.transform_values(
-            F.coalesce(dimensions, F.create_map().cast("map<string,variant>")),
-            lambda _, v: present(F.try_variant_get(v, "$", "string")),
-        ).alias("dimensions"),
-    )
-    malformed = ~F.coalesce(typed, F.lit(False))
-    return (
-        df.withColumn("usage_malformed", malformed)
-        .withColumn("usage", F.when(~F.col("usage_malformed"), usage))
-        .drop("_holder")
+        F.lit(False),
     )
 
 
-def derived_usage_id(usage: Column) -> Column:
+def derived_usage_id() -> Column:
     """Deterministic id over the nanosecond window and the sorted dimensions."""
     dimensions = F.transform(
-        F.array_sort(F.map_entries(usage["dimensions"])),
-        lambda e: F.concat(e["key"], F.lit("="), e["value"]),
+        "u_dimensions", lambda e: F.concat(e["key"], F.lit("="), e["value"])
     )
     head = nul_joined(
-        usage["service_code"], usage["brand_cloud_id"], usage["meter_epoch"],
-        usage["sequence"].cast("string"),
-        format_rfc3339(usage["window_start"], usage["window_start_sub"]),
-        format_rfc3339(usage["window_end"], usage["window_end_sub"]),
-    )
-    text = F.when(F.size(dimensions) == 0, head).otherwise(
-        F.concat(head, F.lit("\0"), F.array_join(dimensions, "\0"))
+        F.col("u_service_code"), F.col("u_brand_cloud_id"), F.col("u_meter_epoch"),
+        F.col("u_sequence").cast("string"),
+        format_rfc3339(F.col("u_window_start"), F.col("u_window_start_sub")),
+        format_rfc3339(F.col("u_window_end"), F.col("u_window_end_sub")),
     )
+    text = F.array_join(F.concat(F.array(head), dimensions), "\0")
     return F.concat(F.lit(USAGE_ID_PREFIX), F.left(F.sha2(text, 256), F.lit(24)))
 
 
-def usage_reason(usage: Column, malformed: Column, usage_id: Column) -> Column:
-    """Why a usage event is invalid, NULL if it is valid.
+def usage_reason() -> Column:
+    """Why a decoded usage event is invalid, NULL if it is valid.
 
     The window must be non-empty after truncation to microseconds, which implies it was before.
     """
-    metrics = F.transform(usage["measurements"], lambda m: m["metric_code"])
-    incomplete = (
-        (usage_id == "")
-        | (F.octet_length(usage_id) > 128)
-        | (usage["service_code"] == "")
-        | (usage["brand_cloud_id"] == "")
-        | (usage["meter_epoch"] == "")
-        | (usage["source"] == "")
-        | usage["event_time"].isNull()
-        | usage["window_start"].isNull()
-        | usage["window_end"].isNull()
-        | (usage["window_end"] <= usage["window_start"])
-        | (F.size(usage["measurements"]) == 0)
+    metrics = F.transform("u_measurements", lambda m: m["metric_code"])
+    needed = [F.col(f"u_{n}") for n in ("service_code", "brand_cloud_id", "meter_epoch", "source")]
+    complete = (
+        F.octet_length("usage_id").between(1, 128)
+        & F.col("u_event_time").isNotNull()
+        & (F.col("u_window_end") > F.col("u_window_start"))
+        & (F.size("u_measurements") > 0)
     )
-    unknown = (F.size(F.array_distinct(metrics)) != F.size(metrics)) | F.exists(
-        usage["measurements"],
-        lambda m: ~metric_allowed(
-            usage["service_code"], m["metric_code"], m["unit"], m["quantity_scale"]
+    for value in needed:
+        complete = complete & (value != "")
+    known = (F.size(F.array_distinct(metrics)) == F.size(metrics)) & F.forall(
+        "u_measurements",
+        lambda m: metric_allowed(
+            F.col("u_service_code"), m["metric_code"], m["unit"], m["quantity_scale"]
         ),
     )
     return (
-        F.when(malformed, "malformed")
-        .when(F.coalesce(incomplete, F.lit(True)), "invalid_event")
-        .when(F.coalesce(unknown, F.lit(True)), "invalid_measurement")
+        F.when(F.col("usage_malformed"), "malformed")
+        .when(~F.coalesce(complete, F.lit(False)), "invalid_event")
+        .when(~F.coalesce(known, F.lit(False)), "invalid_measurement")
     )
 
 
-def usage_digest(usage: Column, usage_id: Column) -> Column:
+def usage_digest() -> Column:
     """Digest of the canonical usage JSON with microsecond times and sorted measurements."""
 
-    def time(name: str) -> Column:
-        return F.concat(F.lit('"'), format_rfc3339(usage[name]), F.lit('"'))
-
     def measurement(m: Column) -> Column:
         scale = F.when(m["quantity_scale"] != 0, m["quantity_scale"].cast("string"))
         return json_object(
@@ -195,42 +213,41 @@ def usage_digest(usage: Column, usage_id: Column) -> Column:
             ("quantity_scale", scale),
         )
 
-    measurements = F.array_join(F.transform(usage["measurements"], measurement), ",")
+    measurements = F.array_join(F.transform("u_measurements", measurement), ",")
     dimensions = F.array_join(
         F.transform(
-            F.array_sort(F.map_entries(usage["dimensions"])),
+            "u_dimensions",
             lambda e: F.concat(json_quote(e["key"]), F.lit(":"), json_quote(e["value"])),
         ),
         ",",
     )
+    times = [
+        (n, F.concat(F.lit('"'), format_rfc3339(F.col(f"u_{n}")), F.lit('"')))
+        for n in TIME_MEMBERS
+    ]
     document = json_object(
-        ("usage_id", json_quote(usage_id)),
-        ("service_code", json_quote(usage["service_code"])),
-        ("brand_cloud_id", json_quote(usage["brand_cloud_id"])),
-        *[(name, time(name)) for name in TIME_MEMBERS],
-        ("meter_epoch", json_quote(usage["meter_epoch"])),
-        ("sequence", usage["sequence"].cast("string")),
-        ("source", json_quote(usage["source"])),
+        ("usage_id", json_quote(F.col("usage_id"))),
+        ("service_code", json_quote(F.col("u_service_code"))),
+        ("brand_cloud_id", json_quote(F.col("u_brand_cloud_id"))),
+        *times,
+        ("meter_epoch", json_quote(F.col("u_meter_epoch"))),
+        ("sequence", F.col("u_sequence").cast("string")),
+        ("source", json_quote(F.col("u_source"))),
         ("measurements", F.concat(F.lit("["), measurements, F.lit("]"))),
-        ("dimensions", F.when(dimensions != "", F.concat(F.lit("{"), dimensions, F.lit("}")))),
+        ("dimensions",
+         F.when(F.size("u_dimensions") > 0, F.concat(F.lit("{"), dimensions, F.lit("}")))),
     )
     return F.sha2(document, 256)
 
 
 def canonical_usage(df: DataFrame, text: str) -> DataFrame:
-    """Decode, validate and digest: adds ``usage``, ``usage_id``, ``usage_reason`` and
+    """Decode, validate and digest: adds ``u_*`` columns, ``usage_id``, ``usage_reason`` and
     ``event_sha256`` (NULL when invalid)."""
-    df = decode_usage(df, text)
-    usage = F.col("usage")
-    df = df.withColumn(
-        "usage_id",
-        F.when(usage["usage_id"] == "", derived_usage_id(usage)).otherwise(usage["usage_id"]),
-    )
-    df = df.withColumn(
-        "usage_reason", usage_reason(usage, F.col("usage_malformed"), F.col("usage_id"))
-    )
-    digest = F.when(F.col("usage_reason").isNull(), usage_digest(usage, F.col("usage_id")))
-    return df.withColumn("event_sha256", digest).drop("usage_malformed")
+    decoded = decode_usage(df, text)
+    named = computed_once(decoded, usage_id=first_trimmed(F.col("u_usage_id"), derived_usage_id()))
+    judged = computed_once(named, usage_reason=usage_reason())
+    digest = F.when(F.col("usage_reason").isNull(), usage_digest())
+    return computed_once(judged, event_sha256=digest).drop("usage_malformed")
 
 
 def usage_bindings(
@@ -247,11 +264,13 @@ def usage_bindings(
 
 def usage_facts(df: DataFrame) -> DataFrame:
     """One row per measurement of each valid usage event of ``canonical_usage``."""
-    valid = df.where(F.col("usage_reason").isNull())
-    return valid.select(
-        "usage_id",
-        *[F.col("usage")[n].alias(n) for n in ("service_code", "brand_cloud_id", "meter_epoch")],
-        F.col("usage")["sequence"].alias("usage_sequence"),
-        *[F.col("usage")[n].alias(n) for n in ("window_start", "window_end")],
-        F.explode(F.col("usage")["measurements"]).alias("m"),
-    ).select("*", "m.metric_code", "m.unit", "m.quantity", "m.quantity_scale").drop("m")
+    return (
+        df.where(F.col("usage_reason").isNull())
+        .select(
+            "usage_id",
+            *[F.col(f"u_{n}").alias(n) for n in ("service_code", "brand_cloud_id", "meter_epoch")],
+            F.col("u_sequence").alias("usage_sequence"),
+            *[F.col(f"u_{n}").alias(n) for n in ("window_start", "window_end")],
+            F.inline("u_measurements"),
+        )
+    )

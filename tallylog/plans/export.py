@@ -16,6 +16,7 @@ from tallylog.functions.usage import usage_bindings
 from tallylog.operators.packing import pack_greedy
 from tallylog.operators.ranges import in_ranges
 from tallylog.operators.scan import BLOCK, broken_links, running, sequence_gaps
+from tallylog.operators.stages import computed_once
 from tallylog.schema import (
     MAX_EXPORT_LINE_BYTES, MAX_PART_BYTES, MAX_RANGE_RECEIPTS, MAX_SEALED_PART_BYTES,
     MAX_SET_BYTES, MAX_SET_PARTS,
@@ -69,9 +70,10 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 
 def decode_exports(lines: DataFrame) -> DataFrame:
     small = F.when(F.octet_length("line") <= MAX_EXPORT_LINE_BYTES, F.col("line"))
-    df = lines.withColumn("_holder", parse_strict(small)[0]).withColumn(
-        "_e",
-        F.from_json(
+    df = computed_once(
+        lines,
+        _holder=parse_strict(small)[0],
+        _e=F.from_json(
             small,
             "sequence string, content_sha256 string, received_at string, record string",
         ),
@@ -218,7 +220,7 @@ def capture_export(
     fields = F.from_json(F.col("body"), "event struct<fields string>")["event"]["fields"]
     usage = F.from_json(canonical_json(fields), "usage_event string")["usage_event"]
     bound = usage_bindings(span.withColumn("_usage", usage), "_usage")
-    lines = bound.withColumn("line", export_line()).withColumn(
+    lines = computed_once(bound, line=export_line()).withColumn(
         "bytes", F.octet_length("line") + 1
     )
     bad = (

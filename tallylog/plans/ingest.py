@@ -28,16 +28,16 @@ def ingest_events(
     An invalid event does not reserve its id. Usage rows are for ``append_receipts``; here they
     are rejected unless the role may write them.
     """
-    checked = with_reject_reason(redact_event(events), route_reason(usage_role))
+    # Redaction cannot blank a message, so rows are judged before it; the result rows and the
+    # choice of winners then stay free of it, and only accepted rows are redacted.
+    checked = with_reject_reason(events, route_reason(usage_role))
     valid = checked.where(F.col("reject_reason").isNull())
     fresh = first_arrivals(valid)
     if known is not None:
         fresh = unknown_keys(fresh, known)
-    accepted = keep_arrivals(valid, fresh).drop("reject_reason")
-    # Redaction cannot blank a message, so the result rows skip it and stay free of Python.
-    plain = with_reject_reason(events, route_reason(usage_role))
+    accepted = redact_event(keep_arrivals(valid, fresh).drop("reject_reason"))
     results = (
-        plain.select("arrival", "event_id", "reject_reason")
+        checked.select("arrival", "event_id", "reject_reason")
         .join(fresh.select("arrival", F.lit(True).alias("_won")), "arrival", "left")
         .select(
             "arrival",

@@ -18,7 +18,8 @@ from tallylog.functions.times import ntz
 from tallylog.operators.dedupe import first_arrivals, salted_lookup
 from tallylog.operators.packing import pack_greedy
 from tallylog.operators.scan import BLOCK, dense_sequence
-from tallylog.operators.validate import missing_field, route_reason
+from tallylog.operators.stages import computed_once
+from tallylog.operators.validate import missing_field
 from tallylog.plans.ingest import ACCEPTED, DUPLICATE, REJECTED
 from tallylog.schema import (
     MAX_PAGE_BYTES, MAX_QUERY_LIMIT, MAX_RECEIPT_EVENT_BYTES, MAX_RECEIPT_ID_BYTES,
@@ -40,27 +41,26 @@ def usage_envelope(events: DataFrame) -> DataFrame:
     df = events.withColumn("_canonical", canonical_json(F.col("fields")))
     # The exact text of the member: NULL when absent or JSON null.
     usage_event = F.from_json("_canonical", "usage_event string")["usage_event"]
+    df = computed_once(df, usage_event=usage_event, _event=event_json(F.col("_canonical")))
     envelope = (
         (present(F.col("stream")) == USAGE_MARKER)
         & (present(F.col("source")) == USAGE_MARKER)
         & (F.col("fields").isNotNull())
     )
-    df = df.withColumns(
-        {"usage_event": usage_event, "_event": event_json(F.col("_canonical"))}
-    )
     oversized = (F.octet_length("_event") > MAX_RECEIPT_EVENT_BYTES) | (
         F.octet_length("event_id") > MAX_RECEIPT_ID_BYTES
     )
-    secret = redact_fields(F.col("_canonical")) != F.col("_canonical")
+    # Changed by redaction exactly when the redacted text differs.
+    df = df.withColumn("_redacted", redact_fields(F.col("_canonical")))
     reason = F.coalesce(
         missing_field(),
         F.when(~envelope, NEEDS_ENVELOPE),
         F.when(F.col("_canonical").isNull(), BAD_FIELDS),
         F.when(F.col("usage_event").isNull(), NEEDS_ENVELOPE),
         F.when(oversized, TOO_LARGE),
-        F.when(secret, NEEDS_REDACTION),
+        F.when(F.col("_redacted") != F.col("_canonical"), NEEDS_REDACTION),
     )
-    return df.withColumn("reject_reason", reason)
+    return computed_once(df, reject_reason=reason).drop("_redacted")
 
 
 @dataclass(frozen=True)
@@ -89,8 +89,8 @@ def append_receipts(
         F.col("event_id"), F.col("env"), F.col("stream"), F.col("source"),
         F.col("ts"), F.col("ts_sub"), F.col("_canonical"),
     )
-    digested = checked.where(F.col("reject_reason").isNull()).withColumn(
-        "content_sha256", digest
+    digested = computed_once(
+        checked.where(F.col("reject_reason").isNull()), content_sha256=digest
     )
     narrow = digested.select("arrival", "event_id", "content_sha256")
 
@@ -108,12 +108,12 @@ def append_receipts(
     numbered = dense_sequence(fresh, "arrival", "sequence", head, block)
     body = receipt_body(F.col("sequence"), F.col("content_sha256"), F.col("_event"))
     # The stored event carries the redacted message; ``_event`` is rendered again from it.
-    rows = digested.withColumn("msg", redact_text(F.col("msg"))).withColumn(
-        "_event", event_json(F.col("_canonical"))
+    rows = computed_once(
+        digested.drop("_event").withColumn("msg", redact_text(F.col("msg"))),
+        _event=event_json(F.col("_canonical")),
     )
     receipts = (
-        rows.join(numbered, "arrival")
-        .withColumn("body", body)
+        computed_once(rows.join(numbered, "arrival"), body=body)
         .select(
             "sequence", "event_id", "env", "content_sha256",
             record_digest(F.col("body")).alias("record_sha256"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallylog.functions.canonical import canonical_json
 from tallylog.functions.text import parse_strict
 from tallylog.functions.times import parse_rfc3339, rfc3339_sub
+from tallylog.operators.stages import computed_once
 from tallylog.schema import (
     MAX_BATCH_BYTES, MAX_BATCH_EVENTS, OPTIONAL_FIELDS, REQUIRED_FIELDS, conform_events,
 )
@@ -36,9 +37,7 @@ def check_batches(
     ``too many events``, ``invalid trailing json``.
     """
     small = F.when(F.octet_length("body") <= max_bytes, F.col("body"))
-    df = batches.withColumn("_alone", F.try_parse_json(small)).withColumn(
-        "_holder", parse_strict(small)[0]
-    )
+    df = computed_once(batches, _alone=F.try_parse_json(small), _holder=parse_strict(small)[0])
     whole = F.coalesce(
         F.try_variant_get("_holder", F.lit("$[1]"), "string") == F.sha2("body", 256),
         F.lit(False),
@@ -74,12 +73,12 @@ def check_batches(
     error = (
         F.when(F.octet_length("body") > max_bytes, "request body too large")
         .when(~F.coalesce(shaped, F.lit(False)), "invalid json")
-        .when(F.size(events) > max_events, "too many events")
+        .when(F.size("events") > max_events, "too many events")
         .when(~whole, "invalid trailing json")
     )
-    return df.withColumns(
-        {"batch_error": error, "event_count": F.size(events), "events": events}
-    ).drop("_alone", "_holder")
+    df = computed_once(df, events=events)
+    df = computed_once(df, event_count=F.size("events"), batch_error=error)
+    return df.drop("_alone", "_holder")
 
 
 def batch_events(checked: DataFrame, order: str) -> DataFrame:

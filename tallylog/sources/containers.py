@@ -11,6 +11,7 @@ from tallylog.functions.levels import container_level, container_message
 from tallylog.functions.redact import redact_text
 from tallylog.functions.text import first_non_empty, json_object, json_quote, trim
 from tallylog.functions.times import format_rfc3339, ntz, parse_rfc3339, rfc3339_sub
+from tallylog.operators.stages import computed_once
 from tallylog.operators.validate import with_reject_reason
 from tallylog.schema import conform_events
 
@@ -32,16 +33,14 @@ class ContainerConfig:
 
 def split_timestamp(df: DataFrame, line: str) -> DataFrame:
     """Add ``time_text`` and ``message``: the first space splits; without one all is message."""
-    trimmed = trim(F.col(line))
-    has_space = F.contains(trimmed, F.lit(" "))
+    df = computed_once(df, _trimmed=trim(F.col(line)))
+    at = F.instr("_trimmed", " ")
     return df.withColumns(
         {
-            "time_text": F.when(has_space, F.substring_index(trimmed, " ", 1)).otherwise(""),
-            "message": F.when(
-                has_space, F.regexp_replace(trimmed, r"\A[^ ]* ", "")
-            ).otherwise(F.col(line)),
+            "time_text": F.left("_trimmed", F.greatest(at - 1, F.lit(0))),
+            "message": F.when(at > 0, F.substr("_trimmed", at + 1)).otherwise(F.col(line)),
         }
-    )
+    ).drop("_trimmed")
 
 
 def parse_container(lines: DataFrame, config: ContainerConfig) -> DataFrame:
@@ -51,8 +50,11 @@ def parse_container(lines: DataFrame, config: ContainerConfig) -> DataFrame:
     an id. A line without a readable time takes the batch time, and its arrival number as the
     nanoseconds of its cursor text keeps its id stable across a retry.
     """
-    df = split_timestamp(lines, "line").withColumns(
-        {"_ts": parse_rfc3339(F.col("time_text")), "message": redact_text(trim(F.col("message")))}
+    split = split_timestamp(lines, "line")
+    df = computed_once(
+        split, ["arrival", "time_text"],
+        _ts=parse_rfc3339(F.col("time_text")),
+        message=redact_text(trim(F.col("message"))),
     )
     known = F.col("_ts").isNotNull()
     fallback = F.concat(

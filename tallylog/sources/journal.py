@@ -5,16 +5,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallylog.functions.identity import journal_event_id
 from tallylog.functions.levels import syslog_level
 from tallylog.functions.redact import redact_event
-from tallylog.functions.text import (
-    first_non_empty, is_blank, parse_strict, scalar_text, trim,
-)
+from tallylog.functions.text import first_trimmed, parse_strict, scalar_text, trim
 from tallylog.functions.times import from_epoch_micros, ntz
 from tallylog.operators.query import Instant
+from tallylog.operators.stages import computed_once
 from tallylog.operators.validate import with_reject_reason
 from tallylog.schema import PROMOTED_FIELDS, conform_events
 
@@ -42,84 +41,86 @@ _FALLBACKS = {
     for name in PROMOTED_FIELDS
     if name not in ("level", "msg", "error_category")
 }
+_KEYS = (
+    "__CURSOR", "_BOOT_ID", "_HOSTNAME", "_SYSTEMD_UNIT", "SYSLOG_IDENTIFIER", "MESSAGE",
+    "PRIORITY", "__REALTIME_TIMESTAMP", *_FALLBACKS.values(),
+)
 
 
 def parse_journal(lines: DataFrame, config: JournalConfig = JournalConfig()) -> DataFrame:
     """Events with ``cursor`` and ``reject_reason``; bad lines are kept with their reason.
 
-    Value precedence is: JSON message member, journal key, configured default, constant.
+    Value precedence is: JSON message member, journal key, configured default, constant. The steps
+    are separate projections, so each JSON value is read once and only combined afterwards.
     """
-    df = lines.withColumn("_raw", parse_strict(F.col("line"))[0])
-    whole = F.coalesce(
-        F.try_variant_get("_raw", F.lit("$[1]"), "string") == F.sha2("line", 256), F.lit(False)
-    )
-
-    def key(name: str) -> Column:
-        return scalar_text(F.col("_raw"), f"$[0].{name}")
-
-    df = df.withColumns(
-        {
-            "_is_object": whole
-            & F.coalesce(
-                F.schema_of_variant(F.try_variant_get("_raw", F.lit("$[0]"), "variant")).rlike(
-                    "^(OBJECT|VOID)"
-                ),
-                F.lit(False),
-            ),
-            "cursor": key("__CURSOR"),
-            "_message": first_non_empty(key("MESSAGE"), F.lit("journal event")),
-        }
+    holder, _ = parse_strict(F.col("line"))
+    raw = computed_once(
+        lines, ["line", "arrival"], raw=holder, digest=F.sha2("line", 256)
     )
-    # A message that is one whole JSON object is opened; anything else stays text.
-    text = F.when(F.col("_message").startswith("{"), F.col("_message"))
-    df = df.withColumn("_inner", parse_strict(text)[0])
-    opened = F.coalesce(
-        F.try_variant_get("_inner", F.lit("$[1]"), "string") == F.sha2("_message", 256),
-        F.lit(False),
+    root = F.schema_of_variant(F.try_variant_get("raw", F.lit("$[0]"), "variant"))
+    whole = F.try_variant_get("raw", F.lit("$[1]"), "string") == F.col("digest")
+    keys = computed_once(
+        raw, ["line", "arrival"],
+        is_object=F.coalesce(whole & root.rlike("^(OBJECT|VOID)"), F.lit(False)),
+        **{f"k_{key}": scalar_text(F.col("raw"), f"$[0].{key}") for key in _KEYS},
     )
-    df = df.withColumn("_inner", F.when(opened, F.col("_inner")))
-
-    def member(name: str) -> Column:
-        return scalar_text(F.col("_inner"), f"$[0].{name}")
 
-    host = first_non_empty(key("_HOSTNAME"), F.lit("unknown-host"))
-    unit = first_non_empty(
-        key("_SYSTEMD_UNIT"), key("SYSLOG_IDENTIFIER"), F.lit("unknown-unit")
+    message = first_trimmed(F.col("k_MESSAGE"), F.lit("journal event"))
+    opened = keys.withColumn("message", message).withColumn(
+        "body", F.when(F.col("message").startswith("{"), F.col("message"))
     )
-    micros_text = key("__REALTIME_TIMESTAMP")
-    micros = F.when(micros_text.rlike(r"^[+-]?\d+$"), micros_text.try_cast("bigint"))
-    df = df.withColumns({"host": host, "unit": unit})
-
-    members = F.try_variant_get("_inner", F.lit("$[0]"), "map<string,variant>")
+    # A message that is one whole JSON object is opened; anything else stays text.
+    holder, valid = parse_strict(F.col("body"))
+    inner = computed_once(opened, inner=F.when(valid, holder))
+    members = F.try_variant_get("inner", F.lit("$[0]"), "map<string,variant>")
     extra = F.map_filter(
         members, lambda name, _: ~F.lower(trim(name)).isin(*PROMOTED_FIELDS)
     )
-    values = {
-        "event_id": journal_event_id(
-            F.col("host"), key("_BOOT_ID"), F.col("unit"), F.col("cursor")
+    values = computed_once(
+        inner, [*keys.columns, "message"],
+        **{
+            f"m_{name}": scalar_text(F.col("inner"), f"$[0].{name}") for name in PROMOTED_FIELDS
+        },
+        fields=F.nullif(F.to_json(extra), F.lit("{}")),
+        host=first_trimmed(F.col("k__HOSTNAME"), F.lit("unknown-host")),
+        unit=first_trimmed(
+            F.col("k__SYSTEMD_UNIT"), F.col("k_SYSLOG_IDENTIFIER"), F.lit("unknown-unit")
         ),
-        "ts": F.coalesce(from_epoch_micros(micros), ntz(config.ingest_time)),
-        "level": first_non_empty(member("level"), syslog_level(key("PRIORITY"))),
-        "msg": first_non_empty(member("msg"), F.col("_message")),
-        "source": F.lit("journald"),
-        "error_category": member("error_category"),
-        "fields": F.nullif(F.to_json(extra), F.lit("{}")),
-    }
+    )
+
+    micros = F.when(
+        F.col("k___REALTIME_TIMESTAMP").rlike(r"^[+-]?\d+$"),
+        F.col("k___REALTIME_TIMESTAMP").try_cast("bigint"),
+    )
     defaults = {
-        "service": (F.lit(config.service), F.col("unit")),
-        "env": (F.lit(config.env), F.lit("unknown")),
-        "version": (F.lit(config.version), F.lit("unknown")),
+        "service": (F.lit(config.service.strip()), F.col("unit")),
+        "env": (F.lit(config.env.strip()), F.lit("unknown")),
+        "version": (F.lit(config.version.strip()), F.lit("unknown")),
     }
-    for name, fallback in _FALLBACKS.items():
-        values[name] = first_non_empty(
-            member(name), key(fallback), *defaults.get(name, ())
-        )
-    df = df.withColumns(values)
-    events = conform_events(df, "cursor", "line", "_is_object")
+    events = values.withColumns(
+        {
+            "cursor": F.col("k___CURSOR"),
+            "event_id": journal_event_id(
+                F.col("host"), F.col("k__BOOT_ID"), F.col("unit"), F.col("k___CURSOR")
+            ),
+            "ts": F.coalesce(from_epoch_micros(micros), ntz(config.ingest_time)),
+            "level": first_trimmed(F.col("m_level"), syslog_level(F.col("k_PRIORITY"))),
+            "msg": first_trimmed(F.col("m_msg"), F.col("message")),
+            "source": F.lit("journald"),
+            "error_category": F.col("m_error_category"),
+            **{
+                name: first_trimmed(
+                    F.col(f"m_{name}"), F.col(f"k_{key}"), *defaults.get(name, ())
+                )
+                for name, key in _FALLBACKS.items()
+            },
+        }
+    )
     events = with_reject_reason(
-        redact_event(events), F.when(~F.col("_is_object"), "not a JSON object")
+        conform_events(events, "cursor", "line", "is_object"),
+        F.when(~F.col("is_object"), "not a JSON object"),
     )
-    return events.drop("_is_object")
+    return redact_event(events).drop("is_object")
 
 
 def split_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:

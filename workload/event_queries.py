@@ -216,8 +216,8 @@ def initial_window_query(spark, folder):
     "container_events",
     f"""
 with lines as (select doc_id, unnest(string_split(text, chr(10))) as raw,
-   generate_subscripts(string_split(text, chr(10)),1)-1 as n from documents),
-msgs as (select doc_id, n, regexp_replace(raw,'^[\\s\\x85\\pZ]+|[\\s\\x85\\pZ]+$','','g') as m from lines),
+   unnest(range(len(string_split(text, chr(10))))) as n from documents),
+msgs as (select doc_id, n, regexp_replace(raw,'^[\\s\\x{{85}}\\pZ]+|[\\s\\x{{85}}\\pZ]+$','','g') as m from lines),
 safe as (select doc_id, n, case when regexp_matches(lower(m),'{_MARKERS}') then '[REDACTED]' else m end as m from msgs where m<>''),
 timed as (select *, '2024-01-01T00:00:'||lpad(cast(n%60 as varchar),2,'0')||'.'||lpad(cast(doc_id%1000 as varchar),3,'0')||'000456Z' as t from safe)
 select doc_id*100000+n as arrival, 'docker-log-'||left(sha256('gateway'||chr(0)||t||chr(0)||m),24) as event_id,

@@ -17,11 +17,13 @@ def with_tables(sql: str, *names: str) -> str:
     """Prefix DuckDB SQL with the derived tables it uses."""
     parts = [f"{name} as ({table_sql(name, 'duckdb')})" for name in names]
     sql = sql.strip()
+    if not parts:
+        return sql
     if sql.lower().startswith("with recursive "):
         return f"with recursive {', '.join(parts)}, {sql[15:]}"
     if sql.lower().startswith("with "):
         return f"with {', '.join(parts)}, {sql[5:]}"
-    return f"with {', '.join(parts)} {sql}" if parts else sql
+    return f"with {', '.join(parts)} {sql}"
 
 
 def query(name: str, sql: str | None = None, tables: tuple[str, ...] = ()):

@@ -145,5 +145,7 @@ def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
         if re.search(rf"\bfrom {t}\b", TABLES[name])
     )
     view = f"{source}_in"
-    text = re.sub(rf"\bfrom {source}\b", f"from {{{view}}}", table_sql(name, "spark"))
+    # Braces of JSON literals are doubled, since named DataFrames are given in braces.
+    text = table_sql(name, "spark").replace("{", "{{").replace("}", "}}")
+    text = re.sub(rf"\bfrom {source}\b", f"from {{{view}}}", text)
     return spark.sql(text, **{view: base(spark, folder, source)})
