@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tallylog.functions.text import json_object, json_quote, nul_joined, present
+from tallylog.functions.text import json_document, nul_joined, present
 from tallylog.functions.times import format_rfc3339
-from tallylog.schema import OPTIONAL_FIELDS
+from tallylog.schema import OPTIONAL_FIELDS, REQUIRED_FIELDS
 
 # Fixed value: prefix of ids made from container log lines.
 CONTAINER_ID_PREFIX = "docker-log-"
@@ -29,36 +29,33 @@ def content_digest(
 
     Host, version, level and message are left out, so a retry after an upgrade keeps its digest.
     """
-    document = json_object(
-        ("ID", json_quote(event_id)), ("Env", json_quote(env)), ("Stream", json_quote(stream)),
-        ("Source", json_quote(source)),
-        ("Time", F.concat(F.lit('"'), format_rfc3339(ts, ts_sub), F.lit('"'))),
+    document = json_document(
+        {
+            "ID": present(event_id), "Env": present(env), "Stream": present(stream),
+            "Source": present(source), "Time": format_rfc3339(ts, ts_sub),
+        },
         ("Fields", canonical_fields),
     )
     return F.sha2(document, 256)
 
 
 def event_json(canonical_fields: Column) -> Column:
-    """JSON text of an event row; optional columns and empty fields are omitted."""
-    required = [
-        ("event_id", json_quote(F.col("event_id"))),
-        ("ts", F.concat(F.lit('"'), format_rfc3339(F.col("ts"), F.col("ts_sub")), F.lit('"'))),
-        *[
-            (name, json_quote(F.col(name)))
-            for name in ("level", "msg", "service", "env", "version", "host", "unit", "source")
-        ],
-    ]
-    optional = [(name, json_quote(F.col(name))) for name in OPTIONAL_FIELDS]
-    fields = ("fields", F.when(~present(canonical_fields).isin("", "{}"), canonical_fields))
-    return json_object(*required, *optional, fields, omit_empty=(*OPTIONAL_FIELDS, "fields"))
+    """JSON text of an event row; absent columns and empty fields are omitted."""
+    members = {
+        "event_id": present(F.col("event_id")),
+        "ts": format_rfc3339(F.col("ts"), F.col("ts_sub")),
+        **{name: present(F.col(name)) for name in REQUIRED_FIELDS[2:]},
+        **{name: F.nullif(F.col(name), F.lit("")) for name in OPTIONAL_FIELDS},
+    }
+    fields = F.when(~present(canonical_fields).isin("", "{}"), canonical_fields)
+    return json_document(members, ("fields", fields))
 
 
 def receipt_body(sequence: Column, content_sha256: Column, event: Column) -> Column:
     """The stored text of a receipt; digests bind these exact bytes."""
-    return json_object(
-        ("sequence", F.concat(F.lit('"'), sequence.cast("string"), F.lit('"'))),
-        ("content_sha256", F.concat(F.lit('"'), content_sha256, F.lit('"'))),
-        ("event", event),
+    return F.concat(
+        F.lit('{"sequence":"'), sequence.cast("string"), F.lit('","content_sha256":"'),
+        content_sha256, F.lit('","event":'), event, F.lit("}"),
     )
 
 
@@ -74,19 +71,21 @@ def sealed_status_digest(row: dict[str, Column]) -> Column:
     """
 
     def number(name: str) -> Column:
-        return F.concat(F.lit('"'), row[name].cast("string"), F.lit('"'))
-
-    document = json_object(
-        ("operation_id", json_quote(row["operation_id"])),
-        ("environment", json_quote(row["environment"])),
-        ("store_id", json_quote(row["store_id"])),
-        ("from_sequence", number("from_sequence")),
-        ("through_sequence", number("through_sequence")),
-        ("plan_sha256", json_quote(row["plan_sha256"])),
-        ("status", json_quote(row["status"])),
-        ("receipt_sha256", F.lit('""')),
-        ("completed_at", F.concat(F.lit('"'), format_rfc3339(row["completed_at"]), F.lit('"'))),
-        ("retired_through", number("retired_through")),
-        ("set_id", json_quote(row["set_id"])),
+        return row[name].cast("string")
+
+    document = json_document(
+        {
+            "operation_id": row["operation_id"],
+            "environment": row["environment"],
+            "store_id": row["store_id"],
+            "from_sequence": number("from_sequence"),
+            "through_sequence": number("through_sequence"),
+            "plan_sha256": row["plan_sha256"],
+            "status": row["status"],
+            "receipt_sha256": F.lit(""),
+            "completed_at": format_rfc3339(row["completed_at"]),
+            "retired_through": number("retired_through"),
+            "set_id": row["set_id"],
+        }
     )
     return F.sha2(document, 256)

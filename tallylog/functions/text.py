@@ -59,26 +59,34 @@ def kind_of(variant: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
 
 
-def scalar_text(variant: Column, path: str) -> Column:
+def scalar_text(value: Column) -> Column:
     """A JSON string trimmed, a JSON number as its integer part, anything else ''."""
-    kind = kind_of(variant, path)
-    number = F.try_variant_get(variant, path, "double").try_cast("bigint").cast("string")
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double").try_cast("bigint").cast("string")
     return present(
-        F.when(kind == "STRING", trim(F.try_variant_get(variant, path, "string"))).when(
+        F.when(kind == "STRING", trim(F.try_variant_get(value, "$", "string"))).when(
             kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), number
         )
     )
 
 
+def scalar_texts(members: Column, names: tuple[str, ...]) -> Column:
+    """``scalar_text`` of the named members of a MAP<STRING, VARIANT>, as one map."""
+    wanted = F.map_filter(members, lambda name, _: name.isin(*names))
+    return F.transform_values(wanted, lambda _, value: scalar_text(value))
+
+
 # Control characters whose JSON escape has hexadecimal letters.
 _LETTER_ESCAPES = ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")
+_NEEDS_ESCAPE = "[<>&\u2028\u2029]|\\\\u00[01][A-F]"
+
 
+def _escape_document(document: Column) -> Column:
+    """Lower-case hex escapes, and ``< > & U+2028 U+2029`` escaped.
 
-def json_quote(value: Column) -> Column:
-    """A JSON string literal with lower-case hex escapes and ``< > & U+2028 U+2029`` escaped."""
-    value = present(value)
-    rendered = F.to_json(F.struct(value.alias("v")))
-    rendered = rendered.substr(F.lit(6), F.length(rendered) - 6)
+    Those characters occur only inside strings, so the whole text is treated at once.
+    """
+    rendered = document
     for code in _LETTER_ESCAPES:
         rendered = F.regexp_replace(
             rendered, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}"
@@ -88,23 +96,23 @@ def json_quote(value: Column) -> Column:
         ("\u2028", "\\u2028"), ("\u2029", "\\u2029"),
     ):
         rendered = F.replace(rendered, F.lit(raw), F.lit(escape))
-    plain = F.concat(F.lit('"'), value, F.lit('"'))
-    return F.when(value.rlike("[\"\\\\\\x00-\\x1f<>&\u2028\u2029]"), rendered).otherwise(plain)
-
+    return F.when(document.rlike(_NEEDS_ESCAPE), rendered).otherwise(document)
 
 
-def json_object(*members: tuple[str, Column], omit_empty: tuple[str, ...] = ()) -> Column:
-    """Compact JSON object text from (name, rendered JSON value) pairs, in the given order.
+def json_document(members: dict[str, Column], tail: tuple[str, Column] | None = None) -> Column:
+    """Compact JSON object text; members that are NULL are left out.
 
-    Members named in ``omit_empty`` are dropped where their rendered value is ``""`` or NULL.
+    ``tail`` is a last member whose value is JSON text already and is put in unchanged.
     """
-    parts = []
-    for name, rendered in members:
-        member = F.concat(F.lit(f'"{name}":'), rendered)
-        if name in omit_empty:
-            member = F.when(rendered != '""', member)
-        parts.append(member)
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    row = F.struct(*[value.alias(name) for name, value in members.items()])
+    document = _escape_document(F.to_json(row, {"ignoreNullFields": "true"}))
+    if tail is None:
+        return document
+    name, raw = tail
+    spliced = F.concat(
+        F.left(document, F.length(document) - 1), F.lit(f',"{name}":'), raw, F.lit("}")
+    )
+    return F.when(raw.isNull(), document).otherwise(spliced)
 
 
 def is_digest(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallylog.functions.text import (
-    first_trimmed, is_digest, json_object, json_quote, nul_joined, parse_strict, present, trim,
+    first_trimmed, is_digest, json_document, nul_joined, parse_strict, present, trim,
 )
 from tallylog.functions.times import format_rfc3339, parse_rfc3339, rfc3339_sub
 from tallylog.operators.stages import computed_once
@@ -204,38 +204,27 @@ def usage_reason() -> Column:
 def usage_digest() -> Column:
     """Digest of the canonical usage JSON with microsecond times and sorted measurements."""
 
-    def measurement(m: Column) -> Column:
-        scale = F.when(m["quantity_scale"] != 0, m["quantity_scale"].cast("string"))
-        return json_object(
-            ("metric_code", json_quote(m["metric_code"])),
-            ("unit", json_quote(m["unit"])),
-            ("quantity", m["quantity"].cast("string")),
-            ("quantity_scale", scale),
-        )
-
-    measurements = F.array_join(F.transform("u_measurements", measurement), ",")
-    dimensions = F.array_join(
-        F.transform(
-            "u_dimensions",
-            lambda e: F.concat(json_quote(e["key"]), F.lit(":"), json_quote(e["value"])),
+    measurements = F.transform(
+        "u_measurements",
+        lambda m: F.struct(
+            m["metric_code"].alias("metric_code"), m["unit"].alias("unit"),
+            m["quantity"].alias("quantity"),
+            F.nullif(m["quantity_scale"], F.lit(0)).alias("quantity_scale"),
         ),
-        ",",
     )
-    times = [
-        (n, F.concat(F.lit('"'), format_rfc3339(F.col(f"u_{n}")), F.lit('"')))
-        for n in TIME_MEMBERS
-    ]
-    document = json_object(
-        ("usage_id", json_quote(F.col("usage_id"))),
-        ("service_code", json_quote(F.col("u_service_code"))),
-        ("brand_cloud_id", json_quote(F.col("u_brand_cloud_id"))),
-        *times,
-        ("meter_epoch", json_quote(F.col("u_meter_epoch"))),
-        ("sequence", F.col("u_sequence").cast("string")),
-        ("source", json_quote(F.col("u_source"))),
-        ("measurements", F.concat(F.lit("["), measurements, F.lit("]"))),
-        ("dimensions",
-         F.when(F.size("u_dimensions") > 0, F.concat(F.lit("{"), dimensions, F.lit("}")))),
+    dimensions = F.when(F.size("u_dimensions") > 0, F.map_from_entries("u_dimensions"))
+    document = json_document(
+        {
+            "usage_id": F.col("usage_id"),
+            "service_code": F.col("u_service_code"),
+            "brand_cloud_id": F.col("u_brand_cloud_id"),
+            **{name: format_rfc3339(F.col(f"u_{name}")) for name in TIME_MEMBERS},
+            "meter_epoch": F.col("u_meter_epoch"),
+            "sequence": F.col("u_sequence"),
+            "source": F.col("u_source"),
+            "measurements": measurements,
+            "dimensions": dimensions,
+        }
     )
     return F.sha2(document, 256)
 

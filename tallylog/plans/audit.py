@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallylog.functions.identity import record_digest
-from tallylog.functions.text import is_digest, is_safe_id, json_object, json_quote, present
+from tallylog.functions.text import is_digest, is_safe_id, json_document, present
 from tallylog.operators.scan import broken_links, covered_prefix, sequence_gaps
 from tallylog.plans.changes import change_log_violations
 from tallylog.plans.export import DIGEST_BLOCK, digest_tree
@@ -235,11 +235,13 @@ def audit_snapshot(
 
 def bindings_fingerprint(bindings: DataFrame, head: int) -> DataFrame:
     """One row ``root_sha256`` over all bindings in sequence order, as a digest tree."""
-    document = json_object(
-        ("event_id", json_quote(F.col("event_id"))),
-        ("sequence", F.concat(F.lit('"'), F.col("sequence").cast("string"), F.lit('"'))),
-        ("content_sha256", json_quote(F.col("content_sha256"))),
-        ("record_sha256", json_quote(F.col("record_sha256"))),
+    document = json_document(
+        {
+            "event_id": F.col("event_id"),
+            "sequence": F.col("sequence").cast("string"),
+            "content_sha256": F.col("content_sha256"),
+            "record_sha256": F.col("record_sha256"),
+        }
     )
     leaves = bindings.select((F.col("sequence") - 1).alias("n"), F.sha2(document, 256).alias("d"))
     return digest_tree(leaves, "n", "d", head)

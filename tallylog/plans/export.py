@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallylog.functions.canonical import canonical_json
 from tallylog.functions.identity import record_digest
 from tallylog.functions.text import (
-    is_digest, is_safe_id, json_object, json_quote, parse_strict,
+    is_digest, is_safe_id, json_document, parse_strict, present,
 )
 from tallylog.functions.times import format_rfc3339, parse_rfc3339
 from tallylog.functions.usage import usage_bindings
@@ -30,13 +30,12 @@ DIGEST_BLOCK = MAX_RANGE_RECEIPTS
 
 def export_line() -> Column:
     """One export record as JSON text; the receipt body is embedded byte for byte."""
-    received = F.concat(
-        F.lit('"'), format_rfc3339(F.col("received_at")), F.lit('"')
-    )
-    return json_object(
-        ("sequence", F.concat(F.lit('"'), F.col("sequence").cast("string"), F.lit('"'))),
-        ("content_sha256", json_quote(F.col("content_sha256"))),
-        ("received_at", received),
+    return json_document(
+        {
+            "sequence": F.col("sequence").cast("string"),
+            "content_sha256": present(F.col("content_sha256")),
+            "received_at": format_rfc3339(F.col("received_at")),
+        },
         ("record", F.col("body")),
     )
 
@@ -119,11 +118,13 @@ def archive_path(
 # --- ordered digests -------------------------------------------------------------------------
 
 def binding_json() -> Column:
-    return json_object(
-        ("sequence", F.concat(F.lit('"'), F.col("sequence").cast("string"), F.lit('"'))),
-        ("logger_content_sha256", json_quote(F.col("content_sha256"))),
-        ("usage_id", json_quote(F.col("usage_id"))),
-        ("event_sha256", json_quote(F.col("event_sha256"))),
+    return json_document(
+        {
+            "sequence": F.col("sequence").cast("string"),
+            "logger_content_sha256": F.col("content_sha256"),
+            "usage_id": F.col("usage_id"),
+            "event_sha256": F.col("event_sha256"),
+        }
     )
 
 

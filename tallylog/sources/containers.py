@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallylog.functions.identity import container_event_id
 from tallylog.functions.levels import container_level, container_message
 from tallylog.functions.redact import redact_text
-from tallylog.functions.text import first_non_empty, json_object, json_quote, trim
+from tallylog.functions.text import first_non_empty, json_document, trim
 from tallylog.functions.times import format_rfc3339, ntz, parse_rfc3339, rfc3339_sub
 from tallylog.operators.stages import computed_once
 from tallylog.operators.validate import with_reject_reason
@@ -81,9 +81,8 @@ def parse_container(lines: DataFrame, config: ContainerConfig) -> DataFrame:
             ),
             "level": container_level(F.col("message")),
             "msg": container_message(F.col("message")),
-            "fields": json_object(
-                ("container", json_quote(redact_text(container))),
-                ("log_line", json_quote(F.col("message"))),
+            "fields": json_document(
+                {"container": redact_text(container), "log_line": F.col("message")}
             ),
             **{
                 name: first_non_empty(*[F.lit(text) for text in texts])

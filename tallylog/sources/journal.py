@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallylog.functions.identity import journal_event_id
 from tallylog.functions.levels import syslog_level
 from tallylog.functions.redact import redact_event
-from tallylog.functions.text import first_trimmed, parse_strict, scalar_text, trim
+from tallylog.functions.text import first_trimmed, parse_strict, present, scalar_texts, trim
 from tallylog.functions.times import from_epoch_micros, ntz
 from tallylog.operators.query import Instant
 from tallylog.operators.stages import computed_once
@@ -59,10 +59,15 @@ def parse_journal(lines: DataFrame, config: JournalConfig = JournalConfig()) ->
     )
     root = F.schema_of_variant(F.try_variant_get("raw", F.lit("$[0]"), "variant"))
     whole = F.try_variant_get("raw", F.lit("$[1]"), "string") == F.col("digest")
-    keys = computed_once(
+    members = F.try_variant_get("raw", F.lit("$[0]"), "map<string,variant>")
+    texts = computed_once(
         raw, ["line", "arrival"],
         is_object=F.coalesce(whole & root.rlike("^(OBJECT|VOID)"), F.lit(False)),
-        **{f"k_{key}": scalar_text(F.col("raw"), f"$[0].{key}") for key in _KEYS},
+        texts=scalar_texts(members, _KEYS),
+    )
+    keys = computed_once(
+        texts, ["line", "arrival", "is_object"],
+        **{f"k_{key}": F.try_element_at("texts", F.lit(key)) for key in _KEYS},
     )
 
     message = first_trimmed(F.col("k_MESSAGE"), F.lit("journal event"))
@@ -73,15 +78,17 @@ def parse_journal(lines: DataFrame, config: JournalConfig = JournalConfig()) ->
     holder, valid = parse_strict(F.col("body"))
     inner = computed_once(opened, inner=F.when(valid, holder))
     members = F.try_variant_get("inner", F.lit("$[0]"), "map<string,variant>")
-    extra = F.map_filter(
-        members, lambda name, _: ~F.lower(trim(name)).isin(*PROMOTED_FIELDS)
+    extra = F.map_filter(members, lambda name, _: ~F.lower(trim(name)).isin(*PROMOTED_FIELDS))
+    texts = computed_once(
+        inner, [*keys.columns, "message"],
+        texts=scalar_texts(members, PROMOTED_FIELDS),
+        fields=F.nullif(F.to_json(extra), F.lit("{}")),
     )
     values = computed_once(
-        inner, [*keys.columns, "message"],
+        texts, [*keys.columns, "message", "fields"],
         **{
-            f"m_{name}": scalar_text(F.col("inner"), f"$[0].{name}") for name in PROMOTED_FIELDS
+            f"m_{name}": F.try_element_at("texts", F.lit(name)) for name in PROMOTED_FIELDS
         },
-        fields=F.nullif(F.to_json(extra), F.lit("{}")),
         host=first_trimmed(F.col("k__HOSTNAME"), F.lit("unknown-host")),
         unit=first_trimmed(
             F.col("k__SYSTEMD_UNIT"), F.col("k_SYSLOG_IDENTIFIER"), F.lit("unknown-unit")
@@ -99,7 +106,7 @@ def parse_journal(lines: DataFrame, config: JournalConfig = JournalConfig()) ->
     }
     events = values.withColumns(
         {
-            "cursor": F.col("k___CURSOR"),
+            "cursor": present(F.col("k___CURSOR")),
             "event_id": journal_event_id(
                 F.col("host"), F.col("k__BOOT_ID"), F.col("unit"), F.col("k___CURSOR")
             ),
