@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tallylog.functions.redact import REDACTED
-from tallylog.functions.text import present
+from tallylog.functions.text import let, present
 
 # Fixed value: query parameters whose values are hidden.
 SENSITIVE_PARAMETERS = (
@@ -15,6 +15,7 @@ SENSITIVE_PARAMETERS = (
 #: Characters a path may hold unescaped, and a request target that can be parsed at all.
 _PATH_OK = r"\A[A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]%/]*\z"
 _TARGET_OK = r"\A(?:/|\*\z|[A-Za-z][A-Za-z0-9+.\-]*://)[^\x00-\x1f\x7f]*\z"
+_ORIGIN = r"\A[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*"
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 _KEY_VALUE = r"(?i)\b(" + "|".join(SENSITIVE_PARAMETERS) + r")=[^&\s]*"
 
@@ -43,25 +44,29 @@ def _path_escape(path: Column) -> Column:
 def _clean_query(query: Column) -> Column:
     """Pairs sorted by key, values of one key in their order, sensitive values hidden."""
 
-    def pair(text: Column, index: Column) -> Column:
-        key = F.try_url_decode(F.substring_index(text, "=", 1))
-        value = F.when(
-            F.contains(text, F.lit("=")),
-            F.try_url_decode(F.regexp_replace(text, r"\A[^=]*=", "")),
-        ).otherwise(F.lit(""))
-        hidden = F.lower(key).isin(*SENSITIVE_PARAMETERS)
-        shown = F.concat(
-            _query_escape(key), F.lit("="),
-            F.when(hidden, F.lit(REDACTED)).otherwise(_query_escape(value)),
+    def split_pair(text: Column, index: Column) -> Column:
+        at = F.instr(text, "=")
+        key = F.when(at > 0, F.substr(text, F.lit(1), at - 1)).otherwise(text)
+        value = F.when(at > 0, F.substr(text, at + 1)).otherwise(F.lit(""))
+        usable = ~F.contains(text, F.lit(";")) & (text != "")
+        return F.struct(
+            F.when(usable, F.try_url_decode(key)).alias("key"),
+            index.alias("index"),
+            F.try_url_decode(value).alias("value"),
         )
-        usable = key.isNotNull() & value.isNotNull() & ~F.contains(text, F.lit(";")) & (text != "")
-        return F.when(
-            usable, F.struct(key.alias("key"), index.alias("index"), shown.alias("shown"))
+
+    def shown(pair: Column) -> Column:
+        hidden = F.lower(pair["key"]).isin(*SENSITIVE_PARAMETERS)
+        return F.concat(
+            _query_escape(pair["key"]), F.lit("="),
+            F.when(hidden, F.lit(REDACTED)).otherwise(_query_escape(pair["value"])),
         )
 
-    pairs = F.transform(F.split(query, "&"), pair)
-    ordered = F.array_sort(F.filter(pairs, lambda p: p.isNotNull()))
-    return F.array_join(F.transform(ordered, lambda p: p["shown"]), "&")
+    pairs = F.filter(
+        F.transform(F.split(query, "&"), split_pair),
+        lambda p: p["key"].isNotNull() & p["value"].isNotNull(),
+    )
+    return F.array_join(F.transform(F.array_sort(pairs), shown), "&")
 
 
 def sanitize_path(target: Column) -> Column:
@@ -70,21 +75,27 @@ def sanitize_path(target: Column) -> Column:
     A target that cannot be parsed is kept, but any ``name=value`` of a sensitive name in it is
     still hidden.
     """
-    rest = F.regexp_replace(target, r"\A[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*", "")
-    has_query = F.contains(rest, F.lit("?"))
-    path = F.substring_index(rest, "?", 1)
-    query = F.when(has_query, F.regexp_replace(rest, r"\A[^?]*\?", ""))
-    shown_path = F.when(path == "", F.lit("/")).otherwise(_path_escape(path))
-    cleaned = _clean_query(query)
-    # A query without one usable pair is kept as it was written.
-    shown = F.when(~has_query, shown_path).otherwise(
-        F.concat(shown_path, F.lit("?"), F.when(cleaned == "", query).otherwise(cleaned))
-    )
-    shown = F.replace(shown, F.lit("%5BREDACTED%5D"), F.lit(REDACTED))
-    parses = target.rlike(_TARGET_OK) & ~path.rlike(_BAD_ESCAPE)
-    return F.when(parses, shown).otherwise(
-        F.regexp_replace(present(target), _KEY_VALUE, f"$1={REDACTED}")
+    hidden = F.regexp_replace(present(target), _KEY_VALUE, f"$1={REDACTED}")
+    return F.when(
+        target.rlike(_TARGET_OK),
+        F.coalesce(let(F.regexp_replace(target, _ORIGIN, ""), _clean_target), hidden),
+    ).otherwise(hidden)
+
+
+def _clean_target(rest: Column) -> Column:
+    """Cleaned path and query; NULL when the path has a broken escape."""
+    at = F.instr(rest, "?")
+    path = F.when(at > 0, F.substr(rest, F.lit(1), at - 1)).otherwise(rest)
+    query = F.substr(rest, at + 1)
+    shown_path = let(
+        path,
+        lambda p: F.when(p == "", F.lit("/")).when(~p.rlike(_BAD_ESCAPE), _path_escape(p)),
     )
+    # A query without one usable pair is kept as it was written.
+    shown_query = F.when(at > 0, F.concat(
+        F.lit("?"), F.coalesce(F.nullif(let(query, _clean_query), F.lit("")), query)
+    )).otherwise(F.lit(""))
+    return F.replace(F.concat(shown_path, shown_query), F.lit("%5BREDACTED%5D"), F.lit(REDACTED))
 
 
 def remote_host(address: Column) -> Column:

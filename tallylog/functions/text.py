@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the Unicode White_Space characters; Spark's own trim removes only U+0020.
@@ -31,6 +33,16 @@ def first_non_empty(*values: Column) -> Column:
     return first_trimmed(*[trim(v) for v in values])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in one expression.
+
+    Conditional branches are not shared by common-subexpression elimination, so an expensive value
+    that is tested and then returned would be computed for each mention. Here it is the variable
+    of a one-element transform.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def present(value: Column) -> Column:
     """NULL becomes ''; hash inputs keep empty parts."""
     return F.coalesce(value, F.lit(""))
@@ -105,14 +117,14 @@ def json_document(members: dict[str, Column], tail: tuple[str, Column] | None =
     ``tail`` is a last member whose value is JSON text already and is put in unchanged.
     """
     row = F.struct(*[value.alias(name) for name, value in members.items()])
-    document = _escape_document(F.to_json(row, {"ignoreNullFields": "true"}))
+    document = let(F.to_json(row, {"ignoreNullFields": "true"}), _escape_document)
     if tail is None:
         return document
     name, raw = tail
-    spliced = F.concat(
-        F.left(document, F.length(document) - 1), F.lit(f',"{name}":'), raw, F.lit("}")
-    )
-    return F.when(raw.isNull(), document).otherwise(spliced)
+    # The tail goes before the closing brace; a NULL tail leaves just the brace.
+    ending = F.coalesce(F.concat(F.lit(f',"{name}":'), raw, F.lit("}")), F.lit("}"))
+    opened = let(document, lambda d: F.substr(d, F.lit(1), F.length(d) - 1))
+    return F.concat(opened, ending)
 
 
 def is_digest(value: Column) -> Column:

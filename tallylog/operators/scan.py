@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallylog.session import checkpointed
+
 #: Rows of one block fit a task easily, and 10^12 rows make only 10^6 blocks.
 BLOCK = 1 << 20
 
@@ -190,16 +192,13 @@ def ordered_blocks(df: DataFrame, order: list[str]) -> DataFrame:
     written down with a reliable checkpoint. Rows are numbered inside their partition; the
     partition number is the high part, so ``order_no`` follows the order without being dense.
     """
-    from tallylog.session import shared_folder
-
-    shared_folder(df.sparkSession)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = (
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumn("order_no", F.monotonically_increasing_id())
     )
-    return placed.checkpoint()
+    return checkpointed(placed)
 
 
 #: ``order_no`` keeps the partition above this bit, so it is also a block size for ``running``.

@@ -25,6 +25,7 @@ from tallylog.schema import (
     MAX_PAGE_BYTES, MAX_QUERY_LIMIT, MAX_RECEIPT_EVENT_BYTES, MAX_RECEIPT_ID_BYTES,
     USAGE_MARKER,
 )
+from tallylog.session import checkpointed
 from tallylog.sources.receipts import RECEIPT_SCHEMA, bindings_of
 from tallylog.sources.tables import BatchTable
 
@@ -90,9 +91,13 @@ def append_receipts(
         F.col("ts"), F.col("ts_sub"), F.col("_canonical"),
     )
     digested = computed_once(
-        checked.where(F.col("reject_reason").isNull()), content_sha256=digest
+        checked, content_sha256=F.when(F.col("reject_reason").isNull(), digest)
     )
-    narrow = digested.select("arrival", "event_id", "content_sha256")
+    # Everything but the bodies is decided on four narrow columns, which are written once.
+    judged = checkpointed(
+        digested.select("arrival", "event_id", "content_sha256", "reject_reason")
+    )
+    narrow = judged.where(F.col("reject_reason").isNull()).drop("reject_reason")
 
     # One row per id: the first arrival of this batch and the stored digest, if any.
     firsts = first_arrivals(narrow, first_digest=F.col("content_sha256"))
@@ -132,11 +137,11 @@ def append_receipts(
         .alias("status"),
     )
     known = known.withColumn("error", F.when(F.col("status") == REJECTED, IDENTITY_CONFLICT))
-    refused = checked.where(F.col("reject_reason").isNotNull()).select(
+    rejected = judged.where(F.col("reject_reason").isNotNull()).select(
         "arrival", "event_id", F.lit(REJECTED).alias("status"),
         F.col("reject_reason").alias("error"),
     )
-    return AppendOutcome(receipts, known.unionByName(refused))
+    return AppendOutcome(receipts, known.unionByName(rejected))
 
 
 def commit_receipts(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Every timestamp column is TIMESTAMP_NTZ holding UTC, so the session zone must be UTC
 #: wherever a zoned text or an epoch number is converted. Repeated JSON keys keep the last value.
@@ -62,3 +62,13 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write a DataFrame to the reliable checkpoint folder and read it back from there.
+
+    For narrow intermediate results that several later steps read: they are computed once, and a
+    lost executor costs a re-read instead of a recomputation.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
