@@ -4,42 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_RFC3339 = (
-    r"\A(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(?:[.,](\d+))?(Z|[+-]\d{2}:\d{2})\z"
-)
-
-
-def _fraction(text: Column) -> Column:
-    """Nine fraction digits of an RFC 3339 text."""
-    return F.rpad(F.left(F.regexp_extract(text, _RFC3339, 3), F.lit(9)), 9, "0")
+_RFC3339 = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:\d{2})\z"
+_BELOW_MICROS = r"[.,]\d{6}(\d{1,3})"
 
 
 def parse_rfc3339(text: Column) -> Column:
-    """UTC time to the microsecond, NULL if the text is not RFC 3339."""
-    local = F.concat(
-        F.regexp_extract(text, _RFC3339, 1), F.lit("T"), F.regexp_extract(text, _RFC3339, 2),
-        F.lit("."), F.left(_fraction(text), F.lit(6)), F.regexp_extract(text, _RFC3339, 4),
-    )
-    return F.when(text.rlike(_RFC3339), local.try_cast("timestamp").cast("timestamp_ntz"))
+    """UTC time to the microsecond, NULL if the text is not RFC 3339.
+
+    The pattern fixes the shape; Spark's cast then checks the fields and drops further digits.
+    """
+    moment = F.translate(text, ",", ".").try_cast("timestamp").cast("timestamp_ntz")
+    return F.when(text.rlike(_RFC3339), moment)
 
 
 def rfc3339_sub(text: Column) -> Column:
-    """The 0-999 ns below the microsecond."""
-    return F.when(
-        text.rlike(_RFC3339), F.right(_fraction(text), F.lit(3)).cast("smallint")
-    ).otherwise(F.lit(0).cast("smallint"))
+    """The 0-999 ns below the microsecond of an RFC 3339 text."""
+    digits = F.rpad(F.regexp_extract(text, _BELOW_MICROS, 1), 3, "0")
+    return F.coalesce(digits.try_cast("smallint"), F.lit(0).cast("smallint"))
 
 
 def format_rfc3339(ts: Column, sub: Column | None = None) -> Column:
     """UTC text with trailing zeros of the fraction removed."""
-    micros = F.date_format(ts, "SSSSSS")
-    digits = F.concat(micros, F.lpad(sub.cast("string"), 3, "0")) if sub is not None else micros
-    fraction = F.rtrim(digits, F.lit("0"))
-    return F.concat(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)),
-        F.lit("Z"),
-    )
+    seconds = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    digits = F.concat(seconds, F.lpad(sub.cast("string"), 3, "0")) if sub is not None else seconds
+    # Zeros end at the point at the latest, so only fraction digits are removed.
+    return F.concat(F.rtrim(F.rtrim(digits, F.lit("0")), F.lit(".")), F.lit("Z"))
 
 
 def epoch_micros(ts: Column) -> Column:

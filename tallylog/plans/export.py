@@ -52,7 +52,7 @@ def write_exports(lines: DataFrame, path: str) -> None:
         .select("part", F.col("line").alias("value"))
         .write.mode("overwrite")
         .partitionBy("part")
-        .option("compression", "zstd")
+        .option("compression", "gzip")
         .text(path)
     )
 

@@ -375,34 +375,33 @@ def resolve_operations(
 # --- cache -----------------------------------------------------------------------------------
 
 def check_rehydration(
-    exports: DataFrame, catalog: DataFrame, bindings: DataFrame, set_id: str, floor: int,
+    exports: DataFrame, catalog: DataFrame, bindings: DataFrame, floor: int,
     legacy_age_floor: str = "1970-01-01 00:00:00",
 ) -> DataFrame:
-    """Per exported record (sequence, content_sha256, received_at, record): ``reason`` it may not
-    enter the cache, NULL if it may.
+    """Per exported record (set_id, sequence, content_sha256, received_at, record): ``reason`` it
+    may not enter the cache, NULL if it may.
 
     It must lie in the verified range of its set and at or below the floor, agree with its binding
-    and receipt time, and follow the record before it.
+    and receipt time, and follow the record before it in its set. Sets are checked in bulk; the
+    record before is found by an equi-join on (set, sequence), which no large set can skew.
     """
     bound = bindings.select(
         "sequence", F.col("content_sha256").alias("_content"),
         F.col("record_sha256").alias("_record"), receipt_time(legacy_age_floor).alias("_time"),
     )
-    ranges = catalog.where(F.col("set_id") == set_id).select(
-        "from_sequence", "through_sequence"
+    firsts = exports.groupBy("set_id").agg(F.min("sequence").alias("_first"))
+    sets = catalog.where(F.col("status") == "verified").select(
+        "set_id", F.col("from_sequence").alias("_from"), F.col("through_sequence").alias("_through")
     )
-    inside = in_ranges(
-        exports.select("sequence").distinct(), "sequence", ranges, "from_sequence",
-        "through_sequence", how="left_semi",
-    ).withColumn("_inside", F.lit(True))
-    before = exports.select((F.col("sequence") + 1).alias("sequence")).distinct().withColumn(
-        "_follows", F.lit(True)
-    )
-    first = exports.agg(F.min("sequence")).scalar()
+    before = exports.select("set_id", (F.col("sequence") + 1).alias("sequence")).distinct()
     joined = (
         exports.join(bound, "sequence", "left")
-        .join(inside, "sequence", "left")
-        .join(before, "sequence", "left")
+        .join(before.withColumn("_follows", F.lit(True)), ["set_id", "sequence"], "left")
+        .join(firsts.join(sets, "set_id", "left"), "set_id", "left")
+        .withColumn(
+            "_inside",
+            F.when(F.col("sequence").between(F.col("_from"), F.col("_through")), F.lit(True)),
+        )
     )
     reason = (
         F.when(F.col("_inside").isNull(), "not_in_set")
@@ -416,10 +415,12 @@ def check_rehydration(
             "binding",
         )
         .when(~F.coalesce(F.col("received_at") == F.col("_time"), F.lit(False)), "time")
-        .when(F.col("_follows").isNull() & (F.col("sequence") != first), "not_contiguous")
+        .when(
+            F.col("_follows").isNull() & (F.col("sequence") != F.col("_first")), "not_contiguous"
+        )
     )
     return joined.withColumn("reason", reason).drop(
-        "_content", "_record", "_time", "_inside", "_follows"
+        "_content", "_record", "_time", "_inside", "_follows", "_first", "_from", "_through"
     )
 
 

@@ -101,10 +101,16 @@ def line_stream(
     )
 
 
-def batch_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Queued batch files as (path, body); replay is oldest first by file time."""
+def batch_stream(
+    spark: SparkSession, folder: str, files_per_trigger: int = 1000, whole_files: bool = True
+) -> DataFrame:
+    """Queued batches as (path, body), oldest file first.
+
+    A file is one batch, or, with ``whole_files=False``, has one batch per line: at scale many
+    small batches are better kept in few files.
+    """
     return (
-        spark.readStream.format("text").option("wholetext", "true")
+        spark.readStream.format("text").option("wholetext", str(whole_files).lower())
         .option("maxFilesPerTrigger", files_per_trigger).load(folder)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
     )

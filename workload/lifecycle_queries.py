@@ -243,29 +243,27 @@ def promote_catalog_query(spark, folder):
 @query(
     "rehydrate_check",
     """with b as (select max(sequence)//2 as floor from receipts),
-x as (select sequence, body, received_at, floor from receipts, b where sequence between 601 and 1300)
-select sequence, case when sequence>floor then 'above_floor' when body like 'view:%' then 'binding' when body like 'error:%' then 'time'
- when sequence>(select min(sequence) from x where body not like 'signup:%') and sequence-1 not in (select sequence from x where body not like 'signup:%') then 'not_contiguous' end as reason
-from x where body not like 'signup:%'""",
+x as (select sequence, body, floor, (sequence-1)//600 as set_no from receipts, b where body not like 'signup:%'),
+y as (select *, lag(sequence) over (partition by set_no order by sequence) as before from x)
+select 'set-'||set_no as set_id, sequence, case when set_no%10=9 then 'not_in_set' when sequence>floor then 'above_floor' when body like 'view:%' then 'binding' when body like 'error:%' then 'time'
+ when before<>sequence-1 then 'not_contiguous' end as reason from y""",
     ("receipts",),
 )
 def rehydrate_check(spark, folder):
-    """Records of set-1 with changed views, shifted errors and missing signups."""
+    """All records in sets of 600, with changed views, shifted errors and missing signups."""
     rows = receipts(spark, folder)
-    sets = catalog(spark, folder)
-    bounds = sets.where(F.col("set_id") == "set-1").select("from_sequence", "through_sequence")
-    low, high = bounds.first()
-    exports = rows.where(F.col("sequence").between(low, high)).where(
-        ~F.col("body").startswith("signup:")
-    ).select(
+    exports = rows.where(~F.col("body").startswith("signup:")).select(
+        F.concat(F.lit("set-"), F.expr("(sequence-1) div 600")).alias("set_id"),
         "sequence", "content_sha256",
-        F.when(F.col("body").startswith("error:"), F.date_trunc("day", "received_at").cast("timestamp_ntz"))
+        F.when(F.col("body").startswith("error:"), F.col("received_at") + F.expr("interval 1 day"))
         .otherwise(F.col("received_at")).alias("received_at"),
         F.when(F.col("body").startswith("view:"), F.upper("body")).otherwise(F.col("body"))
         .alias("record"),
     )
-    checked = check_rehydration(exports, sets, rows, "set-1", head_of(spark, folder) // 2)
-    return checked.select("sequence", "reason")
+    checked = check_rehydration(
+        exports, catalog(spark, folder), rows, head_of(spark, folder) // 2
+    )
+    return checked.select("set_id", "sequence", "reason")
 
 
 _CACHE = """cache as (select sequence, case when body like 'view:%' then body||'!' else body end as body from receipts

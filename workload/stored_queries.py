@@ -1 +1,181 @@
-"""stub"""
+"""Queries that write a table or run a stream first and then read it back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tallylog.operators.packing import pack_greedy
+from tallylog.operators.ranges import in_ranges
+from tallylog.operators.query import EventQuery
+from tallylog.plans.changes import compact_table
+from tallylog.plans.export import capture_export, export_line, read_exports, write_exports
+from tallylog.plans.ingest import ingest_events
+from tallylog.plans.receipts import commit_receipts
+from tallylog.schema import USAGE_MARKER, conform_events
+from tallylog.session import shared_folder
+from tallylog.sources.events import scan_events, write_events
+from tallylog.sources.journal import JournalConfig, parse_journal
+from tallylog.sources.receipts import receipt_table, scan_receipts
+from tallylog.streaming.forward import (
+    EventSink, batch_stream, collect_receipts, drain, forward_batches, forward_lines, line_stream,
+)
+from workload.event_queries import _EVENT_OUT, _event_sql, ingest_bodies, journal_lines, log_events
+
+from workload.receipt_queries import _RECEIPT_CTE, receipts
+from workload.registry import query
+from workload.tables import derived
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/runs/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "event_store_scan",
+    _event_sql("level='warn' and ts>=timestamp '2024-01-05 00:00:00' and ts<=timestamp '2024-01-25 00:00:00'",
+               "desc", 1000),
+    ("log_events",),
+)
+def event_store_scan(spark, folder):
+    """Ingest, write under the label partitions, then query with pruning."""
+    path = fresh_folder(spark, "events")
+    write_events(ingest_events(log_events(spark, folder)).accepted, path)
+    q = EventQuery(
+        level="warn", since="2024-01-05T00:00:00Z", until="2024-01-25T00:00:00Z", limit=1000
+    )
+    return scan_events(spark, path, q, unique=True).select(*_EVENT_OUT)
+
+
+@query(
+    "export_roundtrip",
+    """select sequence, content_sha256, received_at, '{"k":"'||split_part(body,':',1)||'"}' as record from receipts""",
+    ("receipts",),
+)
+def export_roundtrip(spark, folder):
+    """Export lines packed into parts, written as NDJSON and strictly read back."""
+    rows = receipts(spark, folder).withColumn(
+        "body", F.concat(F.lit('{"k":"'), F.substring_index("body", ":", 1), F.lit('"}'))
+    )
+    lines = rows.select("sequence", export_line().alias("line"))
+    sized = lines.withColumn("bytes", F.octet_length("line") + 1)
+    parts = pack_greedy(sized, "sequence", "bytes", 1 << 18)
+    placed = in_ranges(
+        lines, "sequence",
+        parts.select("from_sequence", "through_sequence", F.col("ordinal").alias("part")),
+        "from_sequence", "through_sequence", cell=1 << 10,
+    )
+    path = fresh_folder(spark, "exports")
+    write_exports(placed.select("sequence", "line", "part"), path)
+    back = read_exports(spark, path)
+    return back.where(F.col("decode_error").isNull()).drop("decode_error")
+
+
+def usage_receipt_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Usage texts as receipt input."""
+    kind = F.when(F.col("event_type") == "click", 0)
+    for number, name in enumerate(("error", "purchase", "signup", "view"), 1):
+        kind = kind.when(F.col("event_type") == name, number)
+    rows = derived(spark, folder, "usage_text").withColumns(
+        {
+            "arrival": (F.col("user_id") * 1000 + F.dayofmonth("window_day")) * 10 + kind,
+            "event_id": F.concat_ws("-", F.lit("u"), "user_id", "window_day", "event_type"),
+            "ts": F.col("window_day").cast("timestamp_ntz"),
+            "fields": F.concat(F.lit('{"usage_event":'), "usage_json", F.lit("}")),
+            **{name: F.lit(value) for name, value in (
+                ("level", "info"), ("msg", "usage"), ("service", "meter"), ("env", "prod"),
+                ("version", "v1"), ("host", "h1"), ("unit", "u1"),
+                ("source", USAGE_MARKER), ("stream", USAGE_MARKER),
+            )},
+        }
+    )
+    return conform_events(rows)
+
+
+@query(
+    "capture_totals",
+    """select count(*) as record_count, timestamp '2024-02-01 00:00:00' as max_received_at, count(*) as high_water,
+ count(*) filter (where event_type in ('error','signup','view')) as rejected, true as contiguous_parts from usage_text""",
+    ("usage_text",),
+)
+def capture_totals(spark, folder):
+    """Commit real receipts, capture them, and total the capture and its parts."""
+    table = receipt_table(spark, fresh_folder(spark, "receipts"))
+    commit_receipts(table, usage_receipt_events(spark, folder), 0, "2024-02-01 00:00:00")
+    head = table.head()
+    capture = capture_export(scan_receipts(table), 0, 0, head, ["prod"], part_bytes=1 << 20)
+    covered = capture.parts.agg(
+        (F.sum("record_count") == F.max("through_sequence")).alias("contiguous_parts")
+    ).scalar()
+    return capture.totals.withColumn("contiguous_parts", covered)
+
+
+@query(
+    "compacted_table",
+    """with last as (select bucket, key, arg_max(value, generation) as value, arg_max(kind, generation) as kind from change_log group by 1,2)
+select bucket, key, value from last where kind='put'
+union all select bucket, key, value from snapshot where key not in (select key from last)""",
+    ("change_log", "snapshot"),
+)
+def compacted_table(spark, folder):
+    log = derived(spark, folder, "change_log").withColumns(
+        {"idx": F.lit(0), "sequence": F.lit(None).cast("bigint")}
+    )
+    path = fresh_folder(spark, "compacted")
+    compact_table(derived(spark, folder, "snapshot"), log, path)
+    return spark.read.schema("bucket string, key string, value string").parquet(path)
+
+
+@query(
+    "stream_journal",
+    """select sha256('host-'||(user_id%7)||chr(0)||'boot-1'||chr(0)||event_type||'.service'||chr(0)||'s='||event_id) as event_id, ts,
+ case when event_type='click' then 'handled' else event_type||' done' end as msg, 'req-'||event_id as request_id
+from events where event_type<>'signup'""",
+)
+def stream_journal(spark, folder):
+    """Journal files forwarded twice by a stream; broken lines go to the quarantine."""
+    path = fresh_folder(spark, "journal")
+    lines = journal_lines(spark, folder).select(F.col("line").alias("value"))
+    lines.write.text(f"{path}/in/a")
+    lines.write.text(f"{path}/in/b")
+    sink = EventSink(spark, f"{path}/store")
+    config = JournalConfig(env="staging")
+    source = line_stream(spark, f"{path}/in/*", files_per_trigger=8)
+    drain(forward_lines(source, sink, f"{path}/checkpoint", lambda df: parse_journal(df, config)))
+    return sink.events.read().select("event_id", "ts", "msg", "request_id")
+
+
+@query(
+    "stream_batches",
+    """select 'e-'||event_id as event_id, ts, event_type as msg from events where (event_id//10)%10 not in (3,5,8)""",
+)
+def stream_batches(spark, folder):
+    """Queued batch files replayed by a stream."""
+    path = fresh_folder(spark, "queue")
+    bodies = ingest_bodies(spark, folder)
+    bodies.select(F.col("body").alias("value")).write.text(f"{path}/in")
+    sink = EventSink(spark, f"{path}/store")
+    source = batch_stream(spark, f"{path}/in", whole_files=False)
+    drain(forward_batches(source, sink, f"{path}/checkpoint"))
+    return sink.events.read().select("event_id", "ts", "msg")
+
+
+@query(
+    "stream_receipts",
+    f"""{_RECEIPT_CTE.replace("where event_type='signup' and copy=0", "where false")}
+select sequence, event_id from fresh""",
+    ("receipt_events",),
+)
+def stream_receipts(spark, folder):
+    """Usage events collected by a stream into the receipt table."""
+    path = fresh_folder(spark, "usage")
+    conform_events(derived(spark, folder, "receipt_events")).write.parquet(f"{path}/in")
+    schema = spark.read.parquet(f"{path}/in").schema
+    source = spark.readStream.schema(schema).parquet(f"{path}/in")
+    drain(
+        collect_receipts(
+            source, f"{path}/table", f"{path}/checkpoint", lambda: "2024-02-01 00:00:00"
+        )
+    )
+    return scan_receipts(receipt_table(spark, f"{path}/table")).select("sequence", "event_id")
