@@ -96,17 +96,17 @@ _NEEDS_ESCAPE = "[<>&\u2028\u2029]|\\\\u00[01][A-F]"
 def _escape_document(document: Column) -> Column:
     """Lower-case hex escapes, and ``< > & U+2028 U+2029`` escaped.
 
-    Those characters occur only inside strings, so the whole text is treated at once.
+    Those characters occur only inside strings, so the whole text is treated at once. JSON text
+    holds no raw control character, so one can stand for an escaped backslash meanwhile.
     """
-    rendered = document
-    for code in _LETTER_ESCAPES:
-        rendered = F.regexp_replace(
-            rendered, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}"
-        )
-    for raw, escape in (
+    pairs = [
+        ("\\\\", "\x01"),
+        *[(f"\\u00{code}", f"\\u00{code.lower()}") for code in _LETTER_ESCAPES],
         ("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"),
-        ("\u2028", "\\u2028"), ("\u2029", "\\u2029"),
-    ):
+        ("\u2028", "\\u2028"), ("\u2029", "\\u2029"), ("\x01", "\\\\"),
+    ]
+    rendered = document
+    for raw, escape in pairs:
         rendered = F.replace(rendered, F.lit(raw), F.lit(escape))
     return F.when(document.rlike(_NEEDS_ESCAPE), rendered).otherwise(document)
 

@@ -10,9 +10,9 @@ def computed_once(df: DataFrame, keep: list[str] | None = None, **columns: Colum
 
     Catalyst merges neighbouring projections and pushes filters through them by repeating the
     expressions, so a parsed document that ten later columns use can be parsed dozens of times.
-    A generator of exactly one row is not merged: its columns are computed once per row, and
-    unused ones are still pruned.
+    Here a compiled projection builds one struct per row, and a generator of exactly one row
+    spreads it: no rule merges or pushes anything through that, so each value is computed once.
     """
+    kept = df.columns if keep is None else keep
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    kept = ["*"] if keep is None else keep
-    return df.select(*kept, F.inline(F.array(row)))
+    return df.select(*kept, row.alias("_row")).select(*kept, F.inline(F.array("_row")))
