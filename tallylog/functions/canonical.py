@@ -8,7 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 class _Number(str):
@@ -25,6 +25,9 @@ def _reject_constant(name: str):
     raise ValueError(f"not JSON: {name}")
 
 
+_DECODER = json.JSONDecoder(
+    parse_int=_Number, parse_float=_Number, parse_constant=_reject_constant
+)
 _ESCAPES = str.maketrans(
     {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", "\u2028": "\\u2028", "\u2029": "\\u2029"}
 )
@@ -62,13 +65,12 @@ def _canonical_documents(texts: pd.Series) -> pd.Series:
     return texts.map(_canonical, na_action="ignore")
 
 
-#: Text for which sorting by Spark's own parser already gives the canonical form: no escapes, no
-#: characters that need one, no fraction, exponent or negative zero, no very long digit run and
-#: no character outside the basic plane.
-_HARD = (
-    r"[\\<>&\x{2028}\x{2029}\x{10000}-\x{10FFFF}]"
-    r"|[0-9][.eE]|-0|[0-9]{19}"
-)
+#: A number whose text Spark's JSON functions may change: a fraction, an exponent, a negative zero
+#: or more than 18 digits. Numbers follow ``: , [`` or start the text; strings start with a quote.
+INEXACT_NUMBER = r"(?:\A|[:,\[])\s*-?(?:[0-9]+[.eE]|[0-9]{19}|0\b(?<=-0))"
+#: Text whose canonical form Spark's own parser does not give: such a number, any escape, any
+#: character that needs one, or one outside the basic plane.
+_HARD = rf"[\\<>&\x{{2028}}\x{{2029}}\x{{10000}}-\x{{10FFFF}}]|{INEXACT_NUMBER}"
 
 
 def canonical_json(text: Column) -> Column:
@@ -79,3 +81,20 @@ def canonical_json(text: Column) -> Column:
     hard = F.coalesce(text.rlike(_HARD), F.lit(False))
     native = F.to_json(F.try_parse_json(F.when(~hard, text)))
     return F.coalesce(native, _canonical_documents(F.when(hard, text)))
+
+
+def _event_fields(body: str | None) -> list[str | None] | None:
+    if body is None:
+        return None
+    try:
+        document, _ = _DECODER.raw_decode(body.lstrip(" \t\r\n"))
+        fields = [(event or {}).get("fields") for event in document.get("events") or []]
+        return [None if value is None else dump_exact(value) for value in fields]
+    except (ValueError, AttributeError, RecursionError):
+        return None
+
+
+@pandas_udf(ArrayType(StringType()))
+def exact_event_fields(bodies: pd.Series) -> pd.Series:
+    """Canonical ``fields`` of every event of a batch document, for bodies with inexact numbers."""
+    return bodies.map(_event_fields, na_action="ignore")

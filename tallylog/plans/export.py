@@ -57,6 +57,11 @@ def write_exports(lines: DataFrame, path: str) -> None:
     )
 
 
+#: The layout every writer uses; it gives the record byte for byte. Any other member order is
+#: read through the JSON parser, which keeps integers but may respell fractions.
+_EXPORT_LAYOUT = (
+    r'(?s)\A\{"sequence":"\d+","content_sha256":"[^"\\]*","received_at":"[^"\\]*","record":(.*)\}\z'
+)
 _EXPORT_MEMBERS = ("sequence", "content_sha256", "received_at", "record")
 
 
@@ -101,7 +106,9 @@ def decode_exports(lines: DataFrame) -> DataFrame:
         number.alias("sequence"),
         F.col("_e.content_sha256").alias("content_sha256"),
         parse_rfc3339(F.col("_e.received_at")).alias("received_at"),
-        F.col("_e.record").alias("record"),
+        F.coalesce(
+            F.nullif(F.regexp_extract("line", _EXPORT_LAYOUT, 1), F.lit("")), F.col("_e.record")
+        ).alias("record"),
         error.alias("decode_error"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallylog.functions.canonical import canonical_json
+from tallylog.functions.canonical import INEXACT_NUMBER, canonical_json, exact_event_fields
 from tallylog.functions.text import parse_strict
 from tallylog.functions.times import parse_rfc3339, rfc3339_sub
 from tallylog.operators.stages import computed_once
@@ -13,7 +13,8 @@ from tallylog.schema import (
 )
 
 _TEXT_FIELDS = (*[n for n in REQUIRED_FIELDS if n != "ts"], *OPTIONAL_FIELDS)
-#: Every member is read as its exact JSON text, so numbers inside ``fields`` keep their spelling.
+#: Every member is read as text. Number text inside ``fields`` is kept except for fractions,
+#: exponents and very long numbers; bodies with those have their fields read by an Arrow function.
 _BODY_SCHEMA = (
     "events array<struct<ts string, fields string, "
     + ", ".join(f"{name} string" for name in _TEXT_FIELDS)
@@ -86,8 +87,10 @@ def batch_events(checked: DataFrame, order: str) -> DataFrame:
 
     ``order`` is a BIGINT column that orders the batches; a batch has at most 2^20 events.
     """
-    rows = checked.where(F.col("batch_error").isNull()).select(
-        order, F.posexplode("events").alias("position", "event")
+    usable = checked.where(F.col("batch_error").isNull())
+    inexact = F.when(F.col("body").rlike(INEXACT_NUMBER), F.col("body"))
+    rows = usable.withColumn("_exact", exact_event_fields(inexact)).select(
+        order, "_exact", F.posexplode("events").alias("position", "event")
     )
 
     df = rows.withColumns(
@@ -96,7 +99,9 @@ def batch_events(checked: DataFrame, order: str) -> DataFrame:
             "ts": parse_rfc3339(F.col("event.ts")),
             "ts_sub": rfc3339_sub(F.col("event.ts")),
             **{name: F.col(f"event.{name}") for name in _TEXT_FIELDS},
-            "fields": canonical_json(F.col("event.fields")),
+            "fields": F.coalesce(
+                F.get("_exact", F.col("position")), canonical_json(F.col("event.fields"))
+            ),
         }
     )
     return conform_events(df)
