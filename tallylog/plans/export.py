@@ -17,6 +17,7 @@ from tallylog.operators.packing import pack_greedy
 from tallylog.operators.ranges import in_ranges
 from tallylog.operators.scan import BLOCK, broken_links, running, sequence_gaps
 from tallylog.operators.stages import computed_once
+from tallylog.session import checkpointed
 from tallylog.schema import (
     MAX_EXPORT_LINE_BYTES, MAX_PART_BYTES, MAX_RANGE_RECEIPTS, MAX_SEALED_PART_BYTES,
     MAX_SET_BYTES, MAX_SET_PARTS,
@@ -227,10 +228,10 @@ def capture_export(
     span = receipts.where((F.col("sequence") >= start) & (F.col("sequence") <= through))
     fields = F.from_json(F.col("body"), "event struct<fields string>")["event"]["fields"]
     usage = F.from_json(canonical_json(fields), "usage_event string")["usage_event"]
-    bound = usage_bindings(span.withColumn("_usage", usage), "_usage")
-    lines = computed_once(bound, line=export_line()).withColumn(
-        "bytes", F.octet_length("line") + 1
+    lines = computed_once(span, line=export_line()).withColumn(
+        "bytes", (F.octet_length("line") + 1).cast("bigint")
     )
+    bound = usage_bindings(lines.withColumn("_usage", usage), "_usage")
     bad = (
         ~F.col("env").isin(*environments)
         | (record_digest(F.col("body")) != F.col("record_sha256"))
@@ -238,19 +239,26 @@ def capture_export(
         | F.col("received_at").isNull()
         | (F.col("bytes") > part_bytes)
     )
-    parts = pack_greedy(lines, "sequence", "bytes", part_bytes, block=block)
+    # Parsing is the dear step, and its narrow result feeds parts, ranges and totals.
+    judged = checkpointed(
+        bound.select(
+            "sequence", "content_sha256", "usage_id", "event_sha256", "received_at", "bytes",
+            F.coalesce(bad, F.lit(True)).alias("bad"),
+        )
+    )
+    parts = pack_greedy(judged, "sequence", "bytes", part_bytes, block=block)
     bounds = parts.select("from_sequence", "through_sequence", F.col("ordinal").alias("part"))
     placed = in_ranges(
         lines.select("sequence", "line"), "sequence", bounds, "from_sequence",
         "through_sequence", cell=1 << 10,
     ).select("sequence", "line", "part")
-    totals = lines.agg(
+    totals = judged.agg(
         F.count(F.lit(1)).alias("record_count"),
         F.max("received_at").alias("max_received_at"),
         F.lit(head).cast("bigint").alias("high_water"),
-        F.count_if(F.coalesce(bad, F.lit(True))).alias("rejected"),
+        F.count_if("bad").alias("rejected"),
     )
-    return Capture(start, through, placed, parts, range_digests(lines, max(start, 1)), totals)
+    return Capture(start, through, placed, parts, range_digests(judged, max(start, 1)), totals)
 
 
 # --- manifests -------------------------------------------------------------------------------

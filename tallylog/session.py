@@ -38,6 +38,8 @@ def build_session(cores: str = "8", name: str = "tallylog") -> SparkSession:
         .appName(name)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
+        # Rows here are cheap to move and dear to parse, so small shuffles stay on all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )

@@ -13,7 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
-from tallylog.operators.scan import BLOCK, dense_sequence
+from tallylog.operators.scan import (
+    BLOCK, ORDERED_BLOCK, dense_sequence, ordered_blocks, running,
+)
 from tallylog.plans.ingest import ingest_events
 from tallylog.plans.receipts import commit_receipts
 from tallylog.session import shared_folder
@@ -71,13 +73,15 @@ class EventSink:
             labelled.select(*STORED_COLUMNS, "label_key"), batch_id,
             ("env", "retention_tier", "dt"),
         )
-        written = self.spark.read.parquet(f"{self.events.path}/data/batch_id={int(batch_id)}")
-        if "label_key" in written.columns:
-            self.labels.write(
-                written.groupBy("label_key").agg(F.max("push_nanos").alias("last")), batch_id
-            )
-            self.labels.commit(batch_id)
-            head = written.agg(F.coalesce(F.max("arrival"), F.lit(head))).first()[0]
+        # The schema is given, since a batch without a new event has no file to infer it from.
+        written = self.spark.read.schema(f"{_EVENT_TABLE}, label_key string").parquet(
+            f"{self.events.path}/data/batch_id={int(batch_id)}"
+        )
+        self.labels.write(
+            written.groupBy("label_key").agg(F.max("push_nanos").alias("last")), batch_id
+        )
+        self.labels.commit(batch_id)
+        head = written.agg(F.coalesce(F.max("arrival"), F.lit(head))).first()[0]
         refused = outcome.results.where(F.col("status") == "rejected").select(
             "arrival", F.lit("event").alias("origin"), F.col("error").alias("reason"),
             F.col("event_id").alias("content"),
@@ -141,8 +145,6 @@ def forward_batches(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Path order is age order; the dense number of a path orders its events.
-        from tallylog.operators.scan import ORDERED_BLOCK, ordered_blocks, running
-
         placed = ordered_blocks(batch, ["path"])
         numbered = running(
             placed, "order_no", sums={"batch_no": F.lit(1).cast("bigint")}, block=ORDERED_BLOCK

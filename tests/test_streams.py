@@ -31,6 +31,7 @@ def test_forwarding_restarts_and_quarantines(spark, tmp_path):
     run()
     (source / "2.json").write_text("\n".join([line("b"), line("c")]))
     run()
+    (source / "3.json").write_text("\n".join([line("a"), line("c")]))  # nothing new
     run()
     rows = sink.events.read().orderBy("arrival").collect()
     assert [r.arrival for r in rows] == [1, 2, 3] and len({r.event_id for r in rows}) == 3

@@ -19,14 +19,14 @@ from tallylog.sources.containers import ContainerConfig, parse_container
 from tallylog.sources.events import label_events
 from tallylog.sources.journal import JournalConfig, initial_window, parse_journal
 from workload.registry import query
-from workload.tables import base, derived
+from workload.tables import base, derived, spread
 
 _MARKERS = "authorization|bearer |password|secret|token|payload|private key|-----begin"
 _SAFE_MSG = f"case when regexp_matches(lower(msg),'{_MARKERS}') then '[REDACTED]' else msg end"
 
 
 def log_events(spark: SparkSession, folder: str) -> DataFrame:
-    return conform_events(derived(spark, folder, "log_events"))
+    return conform_events(spread(derived(spark, folder, "log_events")))
 
 
 _EVENT_OUT = (
@@ -148,7 +148,7 @@ def normalize_levels(spark, folder):
 
 def journal_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Journal export lines rendered from events: JSON messages, plain messages, broken lines."""
-    e = base(spark, folder, "events")
+    e = spread(base(spark, folder, "events"))
     inner = F.to_json(
         F.struct(
             F.lit("handled").alias("msg"), F.col("event_type").alias("service"),
@@ -231,7 +231,7 @@ from timed""",
 )
 def container_events(spark, folder):
     """Every line of every document as a container log line."""
-    docs = base(spark, folder, "documents").select(
+    docs = spread(base(spark, folder, "documents")).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw")
     )
     stamp = F.concat(

@@ -138,6 +138,12 @@ def base(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of one small file; an input with enough splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A derived table; Spark prunes it to the columns a query uses."""
     source = next(
