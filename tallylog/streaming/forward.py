@@ -18,7 +18,7 @@ from tallylog.operators.scan import (
 )
 from tallylog.plans.ingest import ingest_events
 from tallylog.plans.receipts import commit_receipts
-from tallylog.session import shared_folder
+from tallylog.session import checkpointed, shared_folder
 from tallylog.sources.backlog import backlog_stats
 from tallylog.sources.batches import batch_events, check_batches
 from tallylog.sources.events import STORED_COLUMNS, label_events
@@ -126,7 +126,8 @@ def forward_lines(
     """Parse log lines (``parse_journal`` or ``parse_container`` with its config) into the sink."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse(_number_rows(batch))
+        # Parsed once: storing reads the rows for ids, labels, events and the quarantine.
+        parsed = checkpointed(parse(_number_rows(batch)))
         usable = parsed.where(F.col("reject_reason").isNull()).drop("reject_reason")
         content = F.col("line") if "line" in parsed.columns else F.col("fields")
         bad = parsed.where(F.col("reject_reason").isNotNull()).select(
@@ -149,7 +150,7 @@ def forward_batches(
         numbered = running(
             placed, "order_no", sums={"batch_no": F.lit(1).cast("bigint")}, block=ORDERED_BLOCK
         )
-        checked = check_batches(numbered)
+        checked = checkpointed(check_batches(numbered))
         bad = checked.where(F.col("batch_error").isNotNull()).select(
             F.col("batch_no").alias("arrival"), F.lit("batch").alias("origin"),
             F.col("batch_error").alias("reason"), F.col("body").alias("content"),

@@ -141,7 +141,7 @@ def stream_journal(spark, folder):
     lines.write.text(f"{path}/in/b")
     sink = EventSink(spark, f"{path}/store")
     config = JournalConfig(env="staging")
-    source = line_stream(spark, f"{path}/in/*", files_per_trigger=8)
+    source = line_stream(spark, f"{path}/in/*")
     drain(forward_lines(source, sink, f"{path}/checkpoint", lambda df: parse_journal(df, config)))
     return sink.events.read().select("event_id", "ts", "msg", "request_id")
 
