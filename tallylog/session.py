@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,30 @@ ADAPTIVE_CONF = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application, as an archive.
+
+    Spark serves the archive from the driver, so workers need neither the driver's working folder
+    nor an installed copy.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tallylog_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tallylog-package-"), "tallylog.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._tallylog_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings above to a running session and return it."""
+    """Apply the settings above to a running session, give its workers the package, return it."""
+    ship_package(spark)
     for key, value in {**REQUIRED_CONF, **ADAPTIVE_CONF}.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -51,14 +75,17 @@ def build_session(cores: str = "8", name: str = "tallylog") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests, is a
-    fresh local folder made (and remembered in the session, so one run uses one folder).
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session, as in tests, may leave it
+    unset: a fresh folder is then made (and remembered in the session, so one run uses one folder).
+    On a cluster a folder of the driver's machine would not reach the executors, so that is refused.
     """
     for key in ("spark.checkpoint.dir", "spark.tallylog.folder"):
         folder = spark.conf.get(key, None)
         if folder:
             break
     else:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tallylog-")
         spark.conf.set("spark.tallylog.folder", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
