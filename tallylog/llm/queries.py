@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tallylog.llm import binary, language, minhash, packing, quality
+from tallylog.llm import (
+    binary, chat, fingerprints, language, licenses, minhash, packing, pieces, quality,
+)
 from tallylog.llm.common import held_out, prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +29,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_scaled_sketch")
+def sketched(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_neighbours(table(spark, folder, "documents"))
+
+
 @query("op2_language_profiles")
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -34,11 +41,21 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict_languages(docs, profiles)
 
 
+@query("op3_piece_viterbi")
+def encoded(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"))
+
+
 @query("op4_first_fit_packing")
 def packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@query("op5_chat_snapshots", chat.FORMAT_SQL)
+def formatted(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_conversations(table(spark, folder, "conversations"))
+
+
 @query("op6_quality_ftrl")
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -57,6 +74,12 @@ def deduplicated(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+@query("op10_license_dice", licenses.scan_sql())
+def licensed(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
