@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from tallylog.llm import (
     binary, chat, fingerprints, language, licenses, minhash, packing, pieces, quality,
+    vectors,
 )
 from tallylog.llm.common import held_out, prepared, table
 
@@ -63,6 +64,11 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(docs, model)
 
 
+@query("op7_product_quantisation")
+def linked(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op8_token_files")
 def written(spark: SparkSession, folder: str) -> DataFrame:
     return binary.token_files(table(spark, folder, "documents"))
