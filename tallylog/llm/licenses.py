@@ -88,14 +88,13 @@ class Templates:
         self.found, self.least = found, least
         self.known = set().union(*[f[2] for f in found]) if found else set()
         # A unit under or over these sizes has no candidate.
-        self.smallest = min(self.sizes, default=1) * least / (2 - least)
-        self.largest = max(self.sizes, default=0) * (2 - least) / least
+        # Bounds leave room for rounding; the coefficient itself decides.
+        self.ratio = (2 - least) / least * (1 + 1e-9)
+        self.smallest = min(self.sizes, default=1) / self.ratio
+        self.largest = max(self.sizes, default=0) * self.ratio
 
     def matches(self, unit: bytes) -> list[tuple[str, float]]:
         """(license, Dice) of the templates that the unit matches."""
-        # Every bigram has at least four characters but for its shared word.
-        if len(unit) < 3:
-            return []
         words = _WORDS.findall(unit.lower())
         if len(words) < 2:
             return []
@@ -106,8 +105,8 @@ class Templates:
         shared = grams & self.known
         if not shared:
             return []
-        low = bisect_left(self.sizes, n * self.least / (2 - self.least))
-        high = bisect_right(self.sizes, n * (2 - self.least) / self.least)
+        low = bisect_left(self.sizes, n / self.ratio)
+        high = bisect_right(self.sizes, n * self.ratio)
         out = []
         for size, name, template in self.found[low:high]:
             dice = 2.0 * len(shared & template) / (n + size)
