@@ -6,13 +6,19 @@ gives coordinate k as its minimum over them. 128 coordinates are cut into 32 ban
 documents of similarity 0.8 miss each other in all bands with probability (1 - 0.8^4)^32 < 1e-7.
 
 Candidates. Equal word sequences form one class and only its smallest id goes on, so copies never
-meet as pairs. A bucket of at most ``SMALL`` classes gives all its pairs. A larger one gives each
-member paired with the bucket's hubs, its members with the most company over all their buckets
-(the common source of near copies comes first), and its members go on to a finer bucket that also
-asks for the next bands: 8, 16, 32, 64 coordinates, where again small buckets give all pairs and
-large ones stars. So a bucket with a third of all rows costs rows in proportion, and the finer
-buckets part the texts that only share a passage while texts that stay together are alike. Nothing
-is dropped: every member of every bucket is compared.
+meet as pairs. A bucket of at most ``SMALL`` classes gives all its pairs. A larger one pairs each
+member with the bucket's hubs only, among them the member with the most company over all its buckets
+(the common source of near copies). After these links are verified and joined, a larger bucket is
+
+- done, if all its members are in one component;
+- a crowd with stragglers, if one component holds at least half of it: each straggler is compared
+  with that whole component and its other stragglers, exactly, in blocks of bounded size. The
+  queries are the stragglers, and only links are put out;
+- mixed otherwise, as with texts that only share a passage: its members go on to finer buckets, of
+  8, 16, 32 and 64 coordinates, which give all pairs when small and stars when not.
+
+So a bucket with a third of all rows costs rows in proportion to its members, and no member of any
+bucket is left out.
 
 Verification. Pairs whose signatures agree in under 60 % of the coordinates are left (0.8 alike
 pairs do with probability under 1e-7); all others are confirmed on the full shingle sets of the
@@ -46,8 +52,10 @@ COORDINATES = BANDS * ROWS
 SMALL = 32
 #: Hubs of a larger bucket.
 HUBS = 2
-#: Bands per key of the finer buckets.
-DEPTHS = (1, 2, 4, 8, 16)
+#: Bands of the keys that the levels of finer buckets double.
+DEPTHS = (1, 2, 4, 8)
+#: Documents on either side of one task of the exact search for stragglers.
+BLOCK = 512
 #: Coordinates that must agree before the full sets are compared.
 AGREEING = int(0.6 * COORDINATES)
 
@@ -118,49 +126,52 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
     ).mapInArrow(sign, _SIGNED)
 
 
-def _paired(left: str, right: str):
-    return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
+def _bucketed(members: DataFrame) -> DataFrame:
+    """Members (id, band, key) of the buckets that hold several, with their number n."""
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return checkpointed(members.join(counts, "key"))
+
+
+def _small_pairs(held: DataFrame) -> DataFrame:
+    """All pairs of the small buckets."""
+    group = held.where(F.col("n") <= SMALL).groupBy("key").agg(
+        F.array_sort(F.collect_set("id")).alias("ids"))
+    return group.select("ids", F.posexplode("ids").alias("at", "a")).select(
+        "a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
+
+
+def _star_pairs(large: DataFrame) -> DataFrame:
+    """Each member of the large buckets with the hubs of its bucket."""
+    # The sum of its bucket sizes tells how much company a member has.
+    company = large.groupBy("id").agg(F.sum("n").alias("company"))
+    rank = F.struct("company", F.xxhash64("id").alias("h"), "id")
+    hubs = large.join(company, "id").groupBy("key").agg(
+        F.max(rank).alias("hub"),
+        F.max_by(F.col("id"), F.xxhash64("id", F.lit("second"))).alias("other"),
+    )
+    stars = large.select("key", "id").join(
+        hubs.select("key", F.explode(F.array("hub.id", "other")).alias("hub")), "key"
+    )
+    return stars.where("id <> hub").select(
+        F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of class ids that share a bucket, from (id, bands)."""
-    members = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    found, large = [], None
+def _finer_pairs(classes: DataFrame, mixed: DataFrame) -> DataFrame | None:
+    """Pairs of the finer buckets under the given large ones; None if there is none."""
+    found, large = None, mixed
     for depth in DEPTHS:
-        counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        held = checkpointed(members.join(counts, "key"))
-        few = held.where(F.col("n") <= SMALL).select("key", "id")
-        group = few.groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        found.append(
-            group.select("ids", F.posexplode("ids").alias("at", "a"))
-            .select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
-            .select("a", "b")
-        )
-        large = held.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
-        # The sum of its bucket sizes tells how much company a member has.
-        company = large.groupBy("id").agg(F.sum("n").alias("company"))
-        near = large.select("key", "id", "band").join(company, "id")
-        rank = F.struct("company", F.xxhash64("id").alias("h"), "id")
-        hubs = near.groupBy("key").agg(F.max(rank).alias("hub"), F.max_by(
-            F.col("id"), F.xxhash64("id", F.lit("second"))).alias("other"))
-        stars = near.select("key", "id").join(
-            hubs.select("key", F.explode(F.array("hub.id", "other")).alias("hub")), "key"
+        # The bands after those that a key has, read around, double it.
+        more = F.expr(f"xxhash64(slice(concat(bands, bands), band + {depth + 1}, {depth}))")
+        held = _bucketed(
+            large.select("key", "id", "band").join(classes.select("id", "bands"), "id")
+            .select("id", "band", F.xxhash64("key", more).alias("key"))
         )
-        found.append(stars.where("id <> hub").select(*_paired("id", "hub")))
-        if depth != DEPTHS[-1]:
-            step = F.expr(f"bands[(band + {depth}) % {BANDS}]") if depth == 1 else F.expr(
-                f"xxhash64(slice(concat(bands, bands), band + {depth + 1}, {depth}))")
-            members = (
-                near.select("key", "id", "band")
-                .join(classes.select("id", "bands"), "id")
-                .select("id", "band", F.xxhash64("key", step).alias("key"))
-            )
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+        large = held.where(F.col("n") > SMALL)
+        pairs = _small_pairs(held).unionByName(_star_pairs(large))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
 
 
 def _agreeing():
@@ -195,6 +206,58 @@ def _similar(size: int, percent: int):
     return similar
 
 
+def _straggler_links(
+    stragglers: DataFrame, crowd: DataFrame, texts: DataFrame, size: int, percent: int
+) -> DataFrame:
+    """Links (a, b) of the stragglers (id, lead) with the crowd (id, lead) of the same lead."""
+
+    def compare(key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        if len(index) and len(queries):
+            sets = [shingle_set(ascii_words(t), size) for t in index["text"]]
+            ids, sizes = index["id"].to_numpy(), np.array([len(x) for x in sets])
+            order = np.argsort(sizes, kind="stable")
+            sets, ids, sizes = [sets[i] for i in order], ids[order], sizes[order]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            every = np.concatenate(sets)
+            for one, text in zip(queries["id"], queries["text"]):
+                own = shingle_set(ascii_words(text), size)
+                # Only sets of a size near its own can be alike enough.
+                low = np.searchsorted(100 * sizes, percent * len(own), "left")
+                high = np.searchsorted(percent * sizes, 100 * len(own), "right")
+                if low >= high:
+                    continue
+                part = every[ends[low] : ends[high]]
+                at = np.searchsorted(own, part)
+                at[at == len(own)] = 0
+                hits = np.add.reduceat((own[at] == part).astype(np.int64), ends[low:high] - ends[low])
+                either = len(own) + sizes[low:high] - hits
+                found += [(one, other) for other in ids[low:high][100 * hits >= percent * either]
+                          if other != one]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def share(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+
+    cells = share(crowd, "blocks").join(share(stragglers, "chunks"), "lead")
+    index = (
+        crowd.join(cells, "lead")
+        .withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")))
+        .withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1L)")))
+        .join(texts, "id").select("lead", "block", "chunk", "id", "text")
+    )
+    queries = (
+        stragglers.join(cells, "lead")
+        .withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("chunks")))
+        .withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1L)")))
+        .join(texts, "id")
+        .select(*[F.col(c).alias(c) for c in ("lead", "block", "chunk", "id", "text")])
+    )
+    keys = ["lead", "block", "chunk"]
+    return index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(
+        compare, "a bigint, b bigint")
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -210,36 +273,70 @@ def near_duplicates(
     classes = checkpointed(
         known.join(first, "digest").where("id = first").select("id", "bands", "low")
     )
-    pairs = candidate_pairs(classes)
     lows = classes.groupBy("id").agg(F.min("low").alias("low"))
-    likely = checkpointed(
-        pairs.join(lows.select(F.col("id").alias("a"), F.col("low").alias("low_a")), "a")
-        .join(lows.select(F.col("id").alias("b"), F.col("low").alias("low_b")), "b")
-        .where(_agreeing()("low_a", "low_b"))
-        .select("a", "b")
-    )
-    needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        return checkpointed(
+            pairs.distinct()
+            .join(lows.select(F.col("id").alias("a"), F.col("low").alias("low_a")), "a")
+            .join(lows.select(F.col("id").alias("b"), F.col("low").alias("low_b")), "b")
+            .where(_agreeing()("low_a", "low_b"))
+            .select("a", "b")
+        )
+
+    held = _bucketed(classes.select("id", F.posexplode("bands").alias("band", "key")))
+    large = held.where(F.col("n") > SMALL)
+    close = likely(_small_pairs(held).unionByName(_star_pairs(large)))
+    # Whole texts of all that may still be compared, moved once.
+    needed = close.select(F.explode(F.array("a", "b")).alias("id")).unionByName(
+        large.select("id")).distinct()
     texts = checkpointed(
         docs.select(
             F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text")
         ).where("text is not null").join(needed, "id", "left_semi")
     )
-    links = (
-        likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .where(_similar(size, percent)("text_a", "text_b"))
-        .select("a", "b")
-    )
-    linked = components(links, "a", "b")
-    joined = first.join(linked, F.col("first") == F.col("node"), "left").select(
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+            .where(_similar(size, percent)("text_a", "text_b"))
+            .select("a", "b")
+        )
+
+    linked = checkpointed(components(confirmed(close), "a", "b"))
+    if not large.isEmpty():
+        links = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        joined = checkpointed(
+            large.join(linked.withColumnRenamed("node", "id"), "id", "left")
+            .withColumn("component", F.coalesce("component", "id"))
+        )
+        parts = joined.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+        lead = checkpointed(parts.groupBy("key").agg(
+            F.max_by("component", "m").alias("lead"), F.max("m").alias("most"),
+            F.sum("m").alias("n"),
+        ))
+        stragglers = checkpointed(
+            joined.join(lead.where("2 * most >= n and most < n").select("key", "lead"), "key")
+            .where("component <> lead").select("id", "lead").distinct()
+        )
+        if not stragglers.isEmpty():
+            crowd = linked.select(F.col("node").alias("id"), F.col("component").alias("lead")).join(
+                stragglers.select("lead").distinct(), "lead", "left_semi"
+            ).select("id", "lead").unionByName(stragglers)
+            links = links.unionByName(_straggler_links(stragglers, crowd, texts, size, percent))
+        mixed = joined.join(lead.where("2 * most < n").select("key"), "key", "left_semi")
+        finer = _finer_pairs(classes, mixed)
+        if finer is not None:
+            links = links.unionByName(confirmed(likely(finer)))
+        linked = components(links, "a", "b")
+    found = first.join(linked, F.col("first") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "first").alias("component")
     )
     # The smallest id of a component is the smallest first id of its classes.
     return (
-        signed.join(joined, "digest", "left")
-        .select(
-            "id", "n_shingles", F.coalesce("component", "id").alias("component_id")
-        )
+        signed.join(found, "digest", "left")
+        .select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
     )
 
