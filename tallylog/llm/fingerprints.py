@@ -97,28 +97,53 @@ def fingerprints(docs: DataFrame, scale: int = SCALE, size: int = SHINGLE) -> Da
     )
 
 
-_NAMES = (
-    "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-    "near_next", "contained_edited", "contained_next",
+#: What is written for each document: its sketch, which of its hashes the edited text keeps (a bit
+#: each), the edited text's other hashes, and the sizes that likeness needs. Half of two sketches.
+_COMPACT = (
+    "doc_id bigint, n_chars bigint, sha binary, own binary, kept binary, added binary, "
+    "next_both bigint, next_size bigint"
 )
-_SCHEMA = (
+_COMPACT_TYPES = [pa.int64()] * 2 + [pa.binary()] * 4 + [pa.int64()] * 2
+_EDGE = ", part bigint, first_text string, last_text string"
+_EDGE_TYPES = [pa.int64(), pa.string(), pa.string()]
+_RESULT = (
     "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
     "edited_fingerprint string, near_edited double, near_next double, contained_edited double, "
     "contained_next double"
 )
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()] + [pa.float64()] * 4
+_RESULT_TYPES = [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 4
 
 
 def _compared(doc, text: str, own: np.ndarray, following: str, next_one: np.ndarray) -> tuple:
     changed = edited_text(text, following)
     other = sketch(changed)
+    kept = np.isin(own, other, assume_unique=True)
     return (
-        doc, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
-        as_text(own), as_text(other), likeness(own, other), likeness(own, next_one),
-        containment(own, other), containment(own, next_one),
+        doc, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(),
+        own.astype("<u8").tobytes(), np.packbits(kept).tobytes(),
+        np.setdiff1d(other, own, assume_unique=True).astype("<u8").tobytes(),
+        jaccard(own, next_one)[0], len(next_one),
     )
 
 
+def _expanded(doc, n_chars, sha, own, kept, added, next_both, next_size) -> tuple:
+    own = np.frombuffer(own, "<u8")
+    both = own[np.unpackbits(np.frombuffer(kept, np.uint8), count=len(own)).astype(bool)]
+    other = np.sort(np.concatenate([both, np.frombuffer(added, "<u8")]))
+    size = len(own)
+    next_likeness = next_both / (size + next_size - next_both) if size + next_size else 1.0
+    return (
+        doc, n_chars, sha.hex(), as_text(own), as_text(other), likeness(own, other), next_likeness,
+        containment(own, other), next_both / size if size else 1.0,
+    )
+
+
+def _batch(rows: list[tuple], schema: str, types: list[pa.DataType]) -> pa.RecordBatch:
+    names = [part.split()[0] for part in schema.split(",")]
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+
+
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next document.
 
@@ -128,6 +153,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, held = TaskContext.get().partitionId(), None, None
+        types = _COMPACT_TYPES + _EDGE_TYPES
         for batch in batches:
             rows = []
             for doc, text in zip(*column_lists(batch, ["doc_id", "text"])):
@@ -138,17 +164,16 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
                 else:
                     rows.append((*_compared(*held, text, own), None, None, None))
                 held = doc, text, own
-            yield _batch(rows, _NAMES + ("part", "first_text", "last_text"))
+            yield _batch(rows, _COMPACT + _EDGE, types)
         if held is not None:
             doc, text, _ = held
-            edge = (doc, *[None] * 8, part, first, text)
-            yield _batch([edge], _NAMES + ("part", "first_text", "last_text"))
+            yield _batch([(doc, *[None] * 7, part, first, text)], _COMPACT + _EDGE, types)
 
     walked = checkpointed(
         docs.select(F.col("doc_id").cast("bigint"), "text")
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(walk, f"{_SCHEMA}, part bigint, first_text string, last_text string")
+        .mapInArrow(walk, _COMPACT + _EDGE)
     )
     edges = walked.where("part is not null").select("doc_id", "part", "first_text", "last_text")
     # Numbers only, one row a partition; the texts follow by a join.
@@ -169,16 +194,12 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
                 for doc, text, following in zip(
                     *column_lists(batch, ["doc_id", "text", "next_text"]))
             ]
-            yield _batch(rows, _NAMES)
-
-    return walked.where("part is null").select(*_NAMES).unionByName(
-        open_ends.mapInArrow(finish, _SCHEMA)
-    )
+            yield _batch(rows, _COMPACT, _COMPACT_TYPES)
 
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_expanded(*row) for row in zip(*column_lists(batch, batch.schema.names))]
+            yield _batch(rows, _RESULT, _RESULT_TYPES)
 
-def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
-    types = _TYPES + [pa.int64(), pa.string(), pa.string()][: len(names) - len(_TYPES)]
-    columns = list(zip(*rows)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(c), t) for c, t in zip(columns, types)], list(names)
-    )
+    compact = walked.where("part is null").drop("part", "first_text", "last_text")
+    return compact.unionByName(open_ends.mapInArrow(finish, _COMPACT)).mapInArrow(expand, _RESULT)
