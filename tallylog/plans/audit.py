@@ -10,7 +10,7 @@ from tallylog.functions.identity import record_digest
 from tallylog.functions.text import is_digest, is_safe_id, json_document, present
 from tallylog.operators.scan import broken_links, covered_prefix, sequence_gaps
 from tallylog.plans.changes import change_log_violations
-from tallylog.plans.export import DIGEST_BLOCK, digest_tree
+from tallylog.plans.export import digest_tree, unique_digests
 from tallylog.plans.lifecycle import ABORTED, COMPLETED, PENDING, cache_bytes, seal
 from tallylog.schema import MAX_RANGE_RECEIPTS, MAX_RECEIPT_ID_BYTES
 
@@ -233,7 +233,7 @@ def audit_snapshot(
 
 # --- fingerprints ----------------------------------------------------------------------------
 
-def bindings_fingerprint(bindings: DataFrame, head: int) -> DataFrame:
+def bindings_fingerprint(bindings: DataFrame) -> DataFrame:
     """One row ``root_sha256`` over all bindings in sequence order, as a digest tree."""
     document = json_document(
         {
@@ -244,31 +244,30 @@ def bindings_fingerprint(bindings: DataFrame, head: int) -> DataFrame:
         }
     )
     leaves = bindings.select((F.col("sequence") - 1).alias("n"), F.sha2(document, 256).alias("d"))
-    return digest_tree(leaves, "n", "d", head)
+    return digest_tree(leaves, "n", "d")
+
+
+#: Hexadecimal digits of a key's digest that choose its bucket: 2^20 buckets.
+_BUCKET_DIGITS = 5
 
 
 def text_fingerprint(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """One row ``digest`` over JSON texts in key order.
+    """One row ``digest`` over texts by key; equal tables give equal digests.
 
-    Up to ``DIGEST_BLOCK`` texts are digested as one ordered JSON list. More are spread over hash
-    buckets of about half that size, whose number follows from the row count, and the ordered
-    bucket digests go into a digest tree; equal tables give equal digests either way.
+    Texts are digested by hash bucket of their key, ordered by key inside, and the buckets go into
+    a digest tree. The number of buckets is fixed, so one formula holds for every size; 10^9 keys
+    put about 1000 digests into a bucket.
     """
-    count = rows.count()
-    if count <= DIGEST_BLOCK:
-        ordered = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(text).alias("t"))))
-        joined = F.array_join(F.transform(ordered, lambda x: x["t"]), ",")
-        return rows.agg(F.sha2(F.concat(F.lit("["), joined, F.lit("]")), 256).alias("digest"))
-    buckets = -(-count // (DIGEST_BLOCK // 2))
-    leaf = F.struct(F.col(key).alias("k"), F.sha2(F.col(text), 256).alias("d"))
+    leaves = rows.select(F.col(key).alias("k"), F.sha2(F.col(text), 256).alias("d"))
+    bucket = F.conv(F.substring(F.sha2(F.col("k"), 256), 1, _BUCKET_DIGITS), 16, 10).cast("bigint")
     level = (
-        rows.groupBy(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("b"))
-        .agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
+        unique_digests(leaves, "k").groupBy(bucket.alias("b"))
+        .agg(F.array_sort(F.collect_list(F.struct("k", "d"))).alias("leaves"))
         .select(
             "b", F.sha2(F.array_join(F.transform("leaves", lambda x: x["d"]), ""), 256).alias("d")
         )
     )
-    return digest_tree(level, "b", "d", buckets).withColumnRenamed("root_sha256", "digest")
+    return digest_tree(level, "b", "d").withColumnRenamed("root_sha256", "digest")
 
 
 def recovery_state(

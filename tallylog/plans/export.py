@@ -145,11 +145,17 @@ def range_digests(
         F.expr(f"(sequence - {first}) div {size}").alias("range_no"),
         "sequence", "received_at", binding_json().alias("json"),
     )
-    # At most ``size`` rows share a range number, so collecting a range is bounded.
-    grouped = rows.groupBy("range_no").agg(
+    # A repeated sequence is folded first: its count, and its smallest and largest text. So at most
+    # ``size`` entries share a range number, and collecting a range is bounded.
+    folded = rows.groupBy("range_no", "sequence").agg(
+        F.count(F.lit(1)).alias("n"), F.max("received_at").alias("received_at"),
+        F.min("json").alias("low"), F.max("json").alias("high"),
+    ).withColumn("json", F.when(F.col("n") == 1, F.col("low")).otherwise(
+        F.concat_ws("|", F.col("n").cast("string"), "low", "high")))
+    grouped = folded.groupBy("range_no").agg(
         F.min("sequence").alias("from_sequence"),
         F.max("sequence").alias("through_sequence"),
-        F.count(F.lit(1)).alias("record_count"),
+        F.sum("n").alias("record_count"),
         F.max("received_at").alias("max_received_at"),
         F.array_sort(F.collect_list(F.struct("sequence", "json"))).alias("refs"),
     )
@@ -165,28 +171,39 @@ def range_digests(
     )
 
 
+#: Levels of a digest tree: lists of 1000 digests, four times, hold 10^12 of them.
+TREE_DEPTH = 4
+
+
+def unique_digests(rows: DataFrame, *keys: str, digest: str = "d") -> DataFrame:
+    """One digest per key. A key that is there several times gets the digest of its count and of
+    its smallest and largest digest, so it is seen and no list of copies is gathered."""
+    folded = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(digest).alias("_low"), F.max(digest).alias("_high")
+    )
+    again = F.sha2(F.concat_ws("|", F.col("_n").cast("string"), "_low", "_high"), 256)
+    return folded.select(*keys, F.when(F.col("_n") == 1, F.col("_low")).otherwise(again).alias(digest))
+
+
 def digest_tree(
-    digests: DataFrame, order: str, digest: str, count: int, fan_out: int = DIGEST_BLOCK
+    digests: DataFrame, order: str, digest: str, fan_out: int = DIGEST_BLOCK,
+    depth: int = TREE_DEPTH,
 ) -> DataFrame:
-    """One row ``root_sha256`` over ordered digests, as a tree of lists of ``fan_out``.
+    """One row ``root_sha256`` over digests with order numbers from 0, as a tree of lists.
 
-    A sequential digest of a large set cannot be split over tasks. Each level hashes lists of at
-    most ``fan_out`` digests; ``count`` (known from the manifest) gives the number of levels, so
-    10^12 receipts need four. A set within one list has the plain digest of that list.
+    A sequential digest of a large set cannot be split over tasks. Each of ``depth`` levels hashes
+    lists of at most ``fan_out`` digests, always as many levels, so the digest of a history does
+    not change its meaning with its size. Numbers must be below ``fan_out`` to the power ``depth``.
     """
-    level = digests.select(F.col(order).alias("n"), F.col(digest).alias("d"))
-    size = max(count, 1)
-    while size > 1:
-        size = -(-size // fan_out)
+    level = unique_digests(digests.select(F.col(order).alias("n"), F.col(digest).alias("d")), "n")
+    refs = F.array_sort(F.collect_list(F.struct("n", "d"))).alias("refs")
+    joined = F.sha2(F.array_join(F.transform("refs", lambda r: r["d"]), ""), 256)
+    for _ in range(depth - 1):
         level = (
-            level.groupBy(F.expr(f"n div {fan_out}").alias("n"))
-            .agg(F.array_sort(F.collect_list(F.struct("n", "d"))).alias("refs"))
-            .select(
-                "n",
-                F.sha2(F.array_join(F.transform("refs", lambda r: r["d"]), ""), 256).alias("d"),
-            )
+            level.groupBy(F.expr(f"n div {fan_out}").alias("n")).agg(refs)
+            .select("n", joined.alias("d"))
         )
-    return level.select(F.col("d").alias("root_sha256"))
+    return level.agg(refs).select(joined.alias("root_sha256"))
 
 
 # --- capture ---------------------------------------------------------------------------------
@@ -482,5 +499,4 @@ def export_root(exports: DataFrame, start: int, through: int) -> DataFrame:
     usage = F.from_json(canonical_json(fields), "usage_event string")["usage_event"]
     bound = usage_bindings(exports.withColumn("_usage", usage), "_usage")
     ranges = range_digests(bound, start)
-    blocks = -(-(through - start + 1) // DIGEST_BLOCK)
-    return digest_tree(ranges, "range_no", "bindings_sha256", blocks)
+    return digest_tree(ranges, "range_no", "bindings_sha256")

@@ -261,16 +261,20 @@ def test_in_ranges(spark):
     assert in_ranges(df, "n", ranges, "a", "b", cell=16, how="left_anti").count() == 1000 - 296 - 11
 
 
-def test_digest_tree_levels(spark):
+def test_digest_tree_has_a_fixed_depth(spark):
     import hashlib
 
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    leaves = [digest(str(i)) for i in range(37)]
-    level = leaves
-    while len(level) > 1:
-        level = [digest("".join(level[i : i + 4])) for i in range(0, len(level), 4)]
-    df = spark.createDataFrame(list(enumerate(leaves)), "n bigint, d string").repartition(3)
-    assert digest_tree(df, "n", "d", 37, fan_out=4).first().root_sha256 == level[0]
+    for count in (0, 1, 3, 37, 60):
+        leaves = [digest(str(i)) for i in range(count)]
+        level = leaves
+        for _ in range(2):
+            level = [digest("".join(level[i : i + 4])) for i in range(0, len(level), 4)]
+        df = spark.createDataFrame(list(enumerate(leaves)), "n bigint, d string").repartition(3)
+        rows = digest_tree(df, "n", "d", fan_out=4, depth=3).collect()
+        assert [r.root_sha256 for r in rows] == [digest("".join(level))]
+    again = df.unionByName(df.where("n = 5"))
+    assert digest_tree(again, "n", "d", fan_out=4, depth=3).first() != rows[0]
 
 
 def test_manifest_is_valid(spark):

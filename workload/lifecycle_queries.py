@@ -448,10 +448,24 @@ def compare_stores_query(spark, folder):
     return compare_stores(ours, rows.where(~F.col("body").startswith("error:")))
 
 
-@query("recovery_compare")
+def _fingerprint_sql(table: str, key: str, text: str) -> str:
+    """A single-row query for the digest that ``text_fingerprint`` gives."""
+    up = "sha256(string_agg(d,'' order by n)) as d"
+    return f"""(select sha256(string_agg(d,'' order by n)) from (select n//1000 as n, {up} from (select n//1000 as n, {up} from (select n//1000 as n, {up}
+ from (select cast('0x'||substr(sha256({key}),1,5) as bigint) as n, sha256(string_agg(sha256({text}),'' order by {key})) as d from {table} group by 1)
+ group by 1) group by 1) group by 1))"""
+
+
+@query(
+    "recovery_compare",
+    f"""select 'archive_floor' as field, cast(max(sequence)//2 as varchar) as ours, '7' as expected from receipts
+union all select 'operation_history_sha256', {_fingerprint_sql("decisions", "operation_id", "plan_sha256")},
+ {_fingerprint_sql("decisions", "operation_id", "case when op_no=0 then 'other' else plan_sha256 end")}""",
+    ("receipts", "decisions"),
+)
 def recovery_compare(spark, folder):
     """A restored copy whose floor and one decision differ from the expected state."""
-    ops = decisions(spark, folder).withColumn("text", F.col("receipt_sha256"))
+    ops = decisions(spark, folder).withColumn("text", F.col("plan_sha256"))
     sets = catalog(spark, folder).withColumn("text", F.col("manifest_sha256"))
     changed = ops.withColumn(
         "text", F.when(F.col("op_no") == 0, F.lit("other")).otherwise(F.col("text"))

@@ -409,12 +409,14 @@ def range_digests_query(spark, folder):
 @query(
     "bindings_fingerprint",
     """with leaves as (select sequence-1 as n, sha256('{"event_id":"'||event_id||'","sequence":"'||sequence||'","content_sha256":"'||content_sha256||'","record_sha256":"'||record_sha256||'"}') as d from receipts),
-l1 as (select n//1000 as n, sha256(string_agg(d,'' order by n)) as d from leaves group by 1)
-select sha256(string_agg(d,'' order by n)) as root_sha256 from l1""",
+l1 as (select n//1000 as n, sha256(string_agg(d,'' order by n)) as d from leaves group by 1),
+l2 as (select n//1000 as n, sha256(string_agg(d,'' order by n)) as d from l1 group by 1),
+l3 as (select n//1000 as n, sha256(string_agg(d,'' order by n)) as d from l2 group by 1)
+select sha256(string_agg(d,'' order by n)) as root_sha256 from l3""",
     ("receipts",),
 )
 def bindings_fingerprint_query(spark, folder):
-    return bindings_fingerprint(receipts(spark, folder), head_of(spark, folder))
+    return bindings_fingerprint(receipts(spark, folder))
 
 
 def damaged_exports(spark: SparkSession, folder: str) -> DataFrame:
