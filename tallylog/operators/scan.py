@@ -221,6 +221,21 @@ def covered_prefix(ranges: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
+def disjoint_ranges(ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """The same numbers as disjoint, non-adjacent ranges (start, end), from overlapping ones.
+
+    A range opens a new one when it starts beyond all earlier ends; ranges between two openings
+    belong together.
+    """
+    longest = ranges.groupBy(F.col(start).alias("s")).agg(F.max(end).alias("e")).where("e >= s")
+    reached = running(longest, "s", maxes={"before": F.col("e")}, before=True)
+    opens = (F.col("before").isNull() | (F.col("s") > F.col("before") + 1)).cast("bigint")
+    return (
+        running(reached.withColumn("opens", opens), "s", sums={"island": F.col("opens")})
+        .groupBy("island").agg(F.min("s").alias(start), F.max("e").alias(end)).drop("island")
+    )
+
+
 def broken_links(
     df: DataFrame, by: list[str], start: str, end: str, first: int = 1, block: int = BLOCK
 ) -> DataFrame:

@@ -8,8 +8,9 @@ from tallylog.functions.identity import record_digest, sealed_status_digest
 from tallylog.functions.text import is_digest, is_safe_id, present
 from tallylog.functions.times import ntz
 from tallylog.operators.ranges import in_ranges
-from tallylog.operators.scan import broken_links, sequence_gaps
+from tallylog.operators.scan import broken_links, disjoint_ranges, sequence_gaps
 from tallylog.schema import MAX_LONG, MAX_RANGE_RECEIPTS, MIN_RETENTION_DAYS
+from tallylog.session import checkpointed
 
 # Decision states and the authority states they need.
 PENDING, COMPLETED, ABORTED = "pending", "completed", "aborted"
@@ -124,7 +125,8 @@ def eligible_receipts(
 
     The body must be there and agree with its binding, be at least ``retention_days`` old (exactly
     that age counts) and lie in a verified set. ``catalog``: set_id, from_sequence,
-    through_sequence. Pass receipts and bindings above the floor only.
+    through_sequence. Pass receipts and bindings above the floor only. The result is two narrow
+    columns and written once, so planning and applying read it and never the bodies again.
     """
     if retention_days < MIN_RETENTION_DAYS:
         raise ValueError(f"retention is at least {MIN_RETENTION_DAYS} days")
@@ -142,15 +144,14 @@ def eligible_receipts(
         & (F.col("_d") == F.col("_record"))
     )
     flagged = joined.select("sequence", F.coalesce(sound, F.lit(False)).alias("_sound"))
-    # Overlapping sets may cover a number twice; a count per number decides, not the pairs.
+    # Overlapping sets are merged first, so a number meets one range at most.
     covered = in_ranges(
-        flagged, "sequence", catalog.select("from_sequence", "through_sequence"),
-        "from_sequence", "through_sequence", how="left_semi",
-    ).select("sequence", F.lit(True).alias("_covered"))
-    return flagged.join(covered, "sequence", "left").select(
-        "sequence",
-        (F.col("_sound") & F.coalesce("_covered", F.lit(False))).alias("eligible"),
+        flagged, "sequence", disjoint_ranges(catalog, "from_sequence", "through_sequence"),
+        "from_sequence", "through_sequence", how="left",
     )
+    return checkpointed(covered.select(
+        "sequence", (F.col("_sound") & F.col("from_sequence").isNotNull()).alias("eligible")
+    ))
 
 
 def plan_retirement(
@@ -162,7 +163,9 @@ def plan_retirement(
 
     The eligible prefix ends before the first receipt that is not eligible or not there, which is
     a plain aggregate. The prefix is cut into chunks; the set of a chunk is the verified one that
-    reaches furthest, then the smallest id.
+    reaches furthest from its start, then the smallest id. A chunk that its set does not reach to
+    the end of is cut there and is the last of the plan: the next range would start off the grid,
+    at the new floor + 1, and belongs to the next plan.
     """
     if not 1 <= chunk <= MAX_RANGE_RECEIPTS:
         raise ValueError(f"a range has 1 to {MAX_RANGE_RECEIPTS} receipts")
@@ -173,19 +176,20 @@ def plan_retirement(
         .groupBy(F.expr(f"(sequence - {floor} - 1) div {chunk}").alias("n"))
         .agg(F.min("sequence").alias("low"), F.max("sequence").alias("high"))
     )
-    # The best set at a chunk start may end inside the chunk; a second piece then follows in the
-    # next plan, since retirement always continues at floor + 1.
     sets = in_ranges(
         chunks, "low", catalog.select("set_id", "from_sequence", "through_sequence"),
         "from_sequence", "through_sequence",
     )
-    best = sets.groupBy("n", "low", "high").agg(
+    # One row a thousand receipts, written since the first cut is looked up in it.
+    best = checkpointed(sets.groupBy("n", "low", "high").agg(
         F.min_by(
             F.struct("set_id", "through_sequence"),
             F.struct((-F.col("through_sequence")).alias("reach"), F.col("set_id")),
         ).alias("best")
-    )
-    return best.select(
+    ))
+    cut = best.where(F.col("high") > F.col("best.through_sequence"))
+    first_cut = cut.agg(F.coalesce(F.min("n"), F.lit(MAX_LONG))).scalar()
+    return best.where(F.col("n") <= first_cut).select(
         F.col("low").alias("from_sequence"),
         F.least("high", "best.through_sequence").alias("through_sequence"),
         F.col("best.set_id").alias("set_id"),
@@ -212,11 +216,14 @@ def retire(
     that continue the floor without a break are completed and sealed; the others keep their row.
     Receipts of completed decisions lose their body row; a repeated run gives the same result.
     """
+    decisions = checkpointed(decisions)
     matched = match_authority(decisions, authority, AUTHORITY_ACTIVE)
+    # A range of no or too many receipts is not a decision; it is never expanded.
+    width = F.col("through_sequence") - F.col("from_sequence")
     candidates = matched.where(
         (F.col("status") == PENDING) & F.col("authority_ok")
         & (F.col("environment") == environment) & (F.col("store_id") == store_id)
-        & (F.col("from_sequence") > floor)
+        & (F.col("from_sequence") > floor) & width.between(0, MAX_RANGE_RECEIPTS - 1)
     ).select("operation_id", "from_sequence", "through_sequence")
     sound = in_ranges(
         eligible.where("eligible").select("sequence"), "sequence", candidates,
@@ -225,10 +232,10 @@ def retire(
         F.count(F.lit(1)).alias("n")
     ).where(F.col("through_sequence") - F.col("from_sequence") + 1 == F.col("n"))
     # Of decisions on one start the smallest id runs; the first break in the chain ends the run.
-    chain = sound.groupBy("from_sequence").agg(
+    chain = checkpointed(sound.groupBy("from_sequence").agg(
         F.min("operation_id").alias("operation_id"),
         F.min_by("through_sequence", "operation_id").alias("through_sequence"),
-    )
+    ))
     breaks = broken_links(
         chain.select("from_sequence", "through_sequence"), [], "from_sequence",
         "through_sequence", first=floor + 1,

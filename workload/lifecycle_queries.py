@@ -93,24 +93,38 @@ def retirement_eligible(spark, folder):
     return eligible_receipts(rows, bindings, sets, NOW)
 
 
+# The reference rule walks: a range starts at the floor + 1, is in the verified set that reaches
+# furthest from there and has at most ``CHUNK`` receipts. The plan ends with the first range that its
+# set cuts short. The sets overlap by 100, so a chunk of 130 gives several ranges and then a cut.
+CHUNK = 130
+_PLANNED = f"""{_ELIGIBLE},
+walk as (
+ select 1 as step, floor+1 as f, cast(null as bigint) as t, cast(null as varchar) as set_id, true as whole from b
+ union all
+ select step+1, pick.f, pick.t, pick.set_id, pick.whole from (
+  select w.step, coalesce(w.t+1, w.f) as f, least(coalesce(w.t+1, w.f)+{CHUNK - 1}, p.last, c.through_sequence) as t, c.set_id,
+   c.through_sequence>=least(coalesce(w.t+1, w.f)+{CHUNK - 1}, p.last) as whole,
+   row_number() over (partition by w.step order by c.through_sequence desc, c.set_id) as place
+  from walk w, p, catalog c
+  where w.whole and coalesce(w.t+1, w.f)<=p.last and c.status='verified' and coalesce(w.t+1, w.f) between c.from_sequence and c.through_sequence) pick
+ where pick.place=1),
+planned as (select f, t, set_id, whole from walk where t is not null)"""
+
+
 @query(
     "retirement_plan",
-    f"""with {_ELIGIBLE},
-chunks as (select (sequence-floor-1)//1000 as n, min(sequence) as low, max(sequence) as high from e, b, p where sequence<=last group by 1),
-best as (select n, low, high, set_id, through_sequence from chunks join catalog on status='verified' and low between from_sequence and through_sequence
-  qualify row_number() over (partition by n order by through_sequence desc, set_id)=1)
-select low as from_sequence, least(high, through_sequence) as through_sequence, set_id, high<=through_sequence as whole_chunk from best""",
+    f"with recursive {_PLANNED} select f as from_sequence, t as through_sequence, set_id, whole as whole_chunk from planned",
     ("receipts", "catalog"),
 )
 def retirement_plan(spark, folder):
     rows, bindings, sets, floor, head = retirement_input(spark, folder)
-    return plan_retirement(eligible_receipts(rows, bindings, sets, NOW), sets, floor, head)
+    return plan_retirement(eligible_receipts(rows, bindings, sets, NOW), sets, floor, head, CHUNK)
 
 
-def pending_plans(spark: SparkSession, folder: str) -> DataFrame:
-    """A pending decision per planned range; ranges cut by a set bound break the chain."""
-    plans = retirement_plan(spark, folder)
-    return plans.select(
+def pending_plans(plans: DataFrame) -> DataFrame:
+    """A pending decision per planned range; the third is missing, which breaks the chain."""
+    third = plans.orderBy("from_sequence").offset(2).limit(1).select("from_sequence")
+    return plans.join(third, "from_sequence", "left_anti").select(
         F.concat(F.lit("op-"), "from_sequence").alias("operation_id"),
         F.lit("prod").alias("environment"), F.lit(STORE).alias("store_id"),
         "from_sequence", "through_sequence",
@@ -121,26 +135,23 @@ def pending_plans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_PENDING = f"""{_ELIGIBLE},
-chunks as (select (sequence-floor-1)//1000 as n, min(sequence) as low, max(sequence) as high from e, b, p where sequence<=last group by 1),
-best as (select n, low, high, set_id, through_sequence from chunks join catalog on status='verified' and low between from_sequence and through_sequence
-  qualify row_number() over (partition by n order by through_sequence desc, set_id)=1),
-pend as (select low as f, least(high, through_sequence) as t, set_id from best),
+_PENDING = f"""{_PLANNED},
+pend as (select f, t, set_id from planned qualify row_number() over (order by f)<>3),
 linked as (select *, f-1=coalesce(lag(t) over (order by f),(select floor from b)) as ok from pend),
 ran as (select * from linked where f<coalesce((select min(f) from linked where not ok), 9223372036854775807))"""
 
 
 def applied(spark: SparkSession, folder: str):
-    rows, bindings, sets, floor, _ = retirement_input(spark, folder)
-    pending = pending_plans(spark, folder)
-    authority = pending.withColumn("status", F.lit("ACTIVE"))
+    rows, bindings, sets, floor, head = retirement_input(spark, folder)
     eligible = eligible_receipts(rows, bindings, sets, NOW)
+    pending = pending_plans(plan_retirement(eligible, sets, floor, head, CHUNK))
+    authority = pending.withColumn("status", F.lit("ACTIVE"))
     return retire(rows, pending, authority, eligible, floor, "prod", STORE, NOW)
 
 
 @query(
     "retirement_apply",
-    f"""with {_PENDING}
+    f"""with recursive {_PENDING}
 select 'op-'||f as operation_id, case when f in (select f from ran) then 'completed' else 'pending' end as status,
  case when f in (select f from ran) then t else f-1 end as retired_through,
  case when f in (select f from ran) then sha256('{{"operation_id":"op-'||f||'","environment":"prod","store_id":"{STORE}","from_sequence":"'||f||'","through_sequence":"'||t
@@ -155,7 +166,7 @@ def retirement_apply(spark, folder):
 
 @query(
     "retirement_remaining",
-    f"""with {_PENDING} select sequence from receipts, b where sequence>floor and sequence>coalesce((select max(t) from ran), floor)""",
+    f"""with recursive {_PENDING} select sequence from receipts, b where sequence>floor and sequence>coalesce((select max(t) from ran), floor)""",
     ("receipts", "catalog"),
 )
 def retirement_remaining(spark, folder):
