@@ -13,19 +13,21 @@ from pyspark.sql import DataFrame, functions as F
 from tallylog.session import checkpointed
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+#: Links for one task. Contracted links are few and narrow, so they are kept in as few parts.
+TASK_LINKS = 200_000
+
+
+def _large_star(links: DataFrame, parts: int) -> DataFrame:
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (
-        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    )
+    return both.where("v > u").join(least, "u").select(
+        F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    down = links.where("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+def _small_star(links: DataFrame, parts: int) -> DataFrame:
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).coalesce(parts)
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -42,14 +44,14 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     )
     seen = None
     while True:
-        # At the end every node points at its component: a star of depth one.
-        state = now.agg(
-            F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("u")
-        ).first()
-        if tuple(state) == seen or state[0] == 0:
+        # At the end every node points at its component: a star of depth one, which stays.
+        state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if state == seen or state[0] == 0:
             break
-        seen = tuple(state)
-        now = checkpointed(_small_star(_large_star(now).distinct()).distinct())
+        seen, parts = state, -(-state[0] // TASK_LINKS)
+        larger = _large_star(now.coalesce(parts), parts).distinct().coalesce(parts)
+        now = checkpointed(_small_star(larger, parts).distinct().coalesce(parts))
+    roots = now.select("v").distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        roots.select(F.col("v").alias("node"), F.col("v").alias("component"))
     )
