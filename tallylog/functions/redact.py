@@ -36,10 +36,6 @@ def redact_text(text: Column) -> Column:
     return F.when(has_marker(text), F.lit(REDACTED)).otherwise(text)
 
 
-def is_sensitive_key(name: Column) -> Column:
-    return F.lower(F.replace(name, F.lit("-"), F.lit("_"))).rlike(_KEY_PATTERN)
-
-
 def may_hold_secret(fields: Column) -> Column:
     """Cheap test on the JSON text: no marker, no key name and no escape means nothing to redact.
 

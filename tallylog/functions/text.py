@@ -129,7 +129,7 @@ def json_document(members: dict[str, Column], tail: tuple[str, Column] | None =
 
 def is_digest(value: Column) -> Column:
     """A lower-case hexadecimal SHA-256."""
-    return F.coalesce(value.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return F.coalesce(value.rlike(r"\A[0-9a-f]{64}\z"), F.lit(False))
 
 
 def is_safe_id(value: Column) -> Column:

@@ -46,13 +46,13 @@ def salted_lookup(
 
     Hot keys are those above ``HOT_SHARE`` of the rows, hence at most 10 000, which is what makes
     broadcasting that list safe. Their rows are spread over salts taken from ``spread`` and their
-    fact is repeated once per salt; all other keys use salt 0.
+    fact is repeated once per salt, that is once per ``HOT_ROWS`` rows; all other keys use salt 0.
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     hot = counts.where(
         (F.col("_n") > HOT_ROWS) & (F.col("_n") > total * F.lit(HOT_SHARE))
-    ).select(key, F.least(F.ceil(F.col("_n") / HOT_ROWS), F.lit(4096)).cast("int").alias("_salts"))
+    ).select(key, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_salts"))
     salted_rows = rows.join(F.broadcast(hot), key, "left").withColumn(
         "_salt",
         F.when(

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+#: Cells of one range: 10^12 numbers in the default cell need 15 million.
+MAX_CELLS = 1 << 24
+
 
 def in_ranges(
     rows: DataFrame, number: str, ranges: DataFrame, start: str, end: str,
@@ -13,8 +16,14 @@ def in_ranges(
 
     Ranges are repeated once per cell of ``cell`` numbers they touch, and both sides are
     equi-joined on the cell, so rows meet only the ranges near them and cells spread evenly.
-    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. A range over ``MAX_CELLS`` cells
+    would be repeated without bound and fails the job: choose a larger cell or merge ranges.
     """
+    cells_of = F.expr(f"`{end}` div {cell} - `{start}` div {cell} + 1")
+    ranges = ranges.where(
+        F.when(cells_of > MAX_CELLS, F.raise_error(F.lit(f"range of over {MAX_CELLS} cells")))
+        .otherwise(F.lit(True)).cast("boolean") & (F.col(end) >= F.col(start))
+    )
     cells = ranges.withColumn(
         "_cell",
         F.explode(F.sequence(F.expr(f"`{start}` div {cell}"), F.expr(f"`{end}` div {cell}"))),

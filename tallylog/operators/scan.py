@@ -201,6 +201,27 @@ def ordered_blocks(df: DataFrame, order: list[str]) -> DataFrame:
     return checkpointed(placed)
 
 
+def file_order(rows: DataFrame, path: str, start: str, name: str = "arrival") -> DataFrame:
+    """Number the rows of a file scan in file and line order, without moving them.
+
+    ``path`` and ``start`` are columns with ``_metadata.file_path`` and ``file_block_start``. A task
+    may read several pieces of files, in any order, but reads each piece from its start: the row
+    counter of the task orders the rows of a piece, and the rank of (path, start) orders the
+    pieces. Only this list, one row a piece, is ranked; with 128 MB pieces, 100 TB have 800 000.
+    ``name`` is unique, ascending and not dense; above ``ORDERED_BLOCK`` it has the rank.
+    """
+    pieces = rows.select(F.col(path).alias("_p"), F.col(start).alias("_s")).distinct()
+    ranked = checkpointed(
+        pieces.select("_p", "_s", (F.row_number().over(Window.orderBy("_p", "_s")) - 1).alias("_rank"))
+    )
+    counted = rows.withColumn(
+        "_row", F.monotonically_increasing_id().bitwiseAND(F.lit(ORDERED_BLOCK - 1))
+    )
+    placed = counted.join(ranked, (F.col(path) == F.col("_p")) & (F.col(start) == F.col("_s")))
+    number = F.col("_rank").cast("bigint") * F.lit(ORDERED_BLOCK) + F.col("_row")
+    return placed.withColumn(name, number).drop("_p", "_s", "_rank", "_row")
+
+
 #: ``order_no`` keeps the partition above this bit, so it is also a block size for ``running``.
 ORDERED_BLOCK = 1 << 33
 

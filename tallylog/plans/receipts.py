@@ -82,7 +82,7 @@ def append_receipts(
     """Give each new usage event the next gap-free sequence number, in arrival order.
 
     The same id with the same content is a duplicate, with other content a conflict; the first
-    stored content wins. ``bindings`` holds (event_id, content_sha256) of stored receipts and
+    stored content wins. Arrivals must be unique. ``bindings`` holds (event_id, content_sha256) of stored receipts and
     ``head`` their highest sequence.
     """
     checked = usage_envelope(events)
@@ -97,6 +97,9 @@ def append_receipts(
     judged = checkpointed(
         digested.select("arrival", "event_id", "content_sha256", "reject_reason")
     )
+    repeated = judged.groupBy("arrival").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        raise ValueError("arrivals must be unique: equal ones would share a sequence number")
     narrow = judged.where(F.col("reject_reason").isNull()).drop("reject_reason")
 
     # One row per id: the first arrival of this batch and the stored digest, if any.

@@ -22,11 +22,18 @@ _BODY_SCHEMA = (
 )
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as (path, body); a batch is at most ``MAX_BATCH_BYTES``."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("body")
-    )
+def read_batches(spark: SparkSession, path: str, max_bytes: int = MAX_BATCH_BYTES) -> DataFrame:
+    """Whole files as (path, body); a batch is at most ``MAX_BATCH_BYTES``.
+
+    A larger file is listed with a NULL body, which ``check_batches`` refuses as too large: its
+    size is tested before its content is read.
+    """
+    scan = spark.read.text(path, wholetext=True)
+    size, file = F.col("_metadata.file_size"), F.col("_metadata.file_path").alias("path")
+    listed = spark.read.format("binaryFile").load(path)
+    large = listed.where(F.col("length") > max_bytes).select(
+        "path", F.lit(None).cast("string").alias("body"))
+    return scan.where(size <= max_bytes).select(file, F.col("value").alias("body")).unionByName(large)
 
 
 def check_batches(
@@ -35,7 +42,8 @@ def check_batches(
     """Add ``batch_error`` (NULL when usable), ``event_count`` and the parsed ``events``.
 
     Fixed reasons, in the order they are tested: ``request body too large``, ``invalid json``,
-    ``too many events``, ``invalid trailing json``.
+    ``too many events``, ``invalid trailing json``. A NULL body stands for one that was too large to
+    be read.
     """
     small = F.when(F.octet_length("body") <= max_bytes, F.col("body"))
     df = computed_once(batches, _alone=F.try_parse_json(small), _holder=parse_strict(small)[0])
@@ -72,7 +80,7 @@ def check_batches(
     )
     events = F.coalesce(F.from_json(small, _BODY_SCHEMA)["events"], F.array())
     error = (
-        F.when(F.octet_length("body") > max_bytes, "request body too large")
+        F.when(F.coalesce(F.octet_length("body") > max_bytes, F.lit(True)), "request body too large")
         .when(~F.coalesce(shaped, F.lit(False)), "invalid json")
         .when(F.size("events") > max_events, "too many events")
         .when(~whole, "invalid trailing json")

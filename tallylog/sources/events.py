@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.utils import AnalysisException
 
 from tallylog.functions.labels import label_key, retention_policy, retention_tier
 from tallylog.functions.redact import redact_event
@@ -10,6 +11,7 @@ from tallylog.functions.times import epoch_micros
 from tallylog.operators.query import EventQuery, query_events
 from tallylog.operators.scan import BLOCK, monotone_times
 from tallylog.schema import EVENT_COLUMNS
+from tallylog.session import checkpointed
 
 #: Few values each; retention tiers are dropped as whole directories. Never partition on device,
 #: user, organisation, request or operation ids, paths or addresses.
@@ -49,10 +51,24 @@ def label_events(
 def write_events(events: DataFrame, path: str, mode: str = "append", block: int = BLOCK) -> None:
     """Append validated events; rows of one partition are written by several tasks, time-sorted.
 
+    An append goes on where the table ends: ``arrival`` is moved behind the largest stored one, and
+    index times continue those of their label set, so both stay unique and rising over any number
+    of appends. Only the label columns of the stored rows are read for that. One writer at a time;
+    use ``EventSink`` where a failed write must be repeatable.
+
     Partition values are few, so a hash on them alone would leave most tasks idle and one hot;
     an hour is added to spread a day, and adaptive execution splits what is still too large.
     """
-    labelled = label_events(events, block)
+    prior = None
+    if mode == "append" and (stored := _stored(events.sparkSession, path)) is not None:
+        head = stored.agg(F.max("arrival")).first()[0]
+        if head is not None:
+            events = events.withColumn("arrival", F.col("arrival") + F.lit(head + 1))
+            prior = checkpointed(
+                stored.withColumn("label_key", label_key(F.col("retention_tier")))
+                .groupBy("label_key").agg(F.max("push_nanos").alias("last"))
+            )
+    labelled = label_events(events, block, prior)
     (
         labelled.withColumn("_hour", F.hour("ts"))
         .hint("rebalance", "env", "retention_tier", "dt", "_hour")
@@ -65,6 +81,16 @@ def write_events(events: DataFrame, path: str, mode: str = "append", block: int
     )
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The events under a path, or None where there is nothing yet."""
+    try:
+        return read_events(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"{name} {kind}" for name, kind in STORED_COLUMNS.items())
     return spark.read.schema(schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallylog.functions.identity import journal_event_id
 from tallylog.functions.levels import syslog_level
@@ -13,6 +13,7 @@ from tallylog.functions.redact import redact_event
 from tallylog.functions.text import first_trimmed, parse_strict, present, scalar_texts, trim
 from tallylog.functions.times import from_epoch_micros, ntz
 from tallylog.operators.query import Instant
+from tallylog.operators.scan import file_order
 from tallylog.operators.stages import computed_once
 from tallylog.operators.validate import with_reject_reason
 from tallylog.schema import PROMOTED_FIELDS, conform_events
@@ -27,12 +28,26 @@ class JournalConfig:
     ingest_time: str = "1970-01-01 00:00:00"
 
 
-def read_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Text lines with an ``arrival`` number that follows file and line order inside a task."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"))
-    if limit:
-        lines = lines.limit(limit)
-    return lines.withColumn("arrival", F.monotonically_increasing_id())
+def lines_in_order(lines: DataFrame) -> DataFrame:
+    """(line, arrival) of text files scanned with ``line_columns``, in file and line order."""
+    return file_order(lines, "_path", "_start").drop("_path", "_start")
+
+
+def line_columns() -> list[Column]:
+    """What a scan of text files must select for ``lines_in_order``."""
+    return [
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+    ]
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines with an ``arrival`` number that follows file and line order.
+
+    A read is bounded by the files of its path; the stream bounds files per micro-batch and keeps
+    its place in its checkpoint.
+    """
+    return lines_in_order(spark.read.text(path).select(*line_columns()))
 
 
 #: Journal keys that stand in for a missing member of the JSON message.
@@ -96,7 +111,7 @@ def parse_journal(lines: DataFrame, config: JournalConfig = JournalConfig()) ->
     )
 
     micros = F.when(
-        F.col("k___REALTIME_TIMESTAMP").rlike(r"^[+-]?\d+$"),
+        F.col("k___REALTIME_TIMESTAMP").rlike(r"\A[+-]?\d+\z"),
         F.col("k___REALTIME_TIMESTAMP").try_cast("bigint"),
     )
     defaults = {

@@ -16,6 +16,11 @@ _COMMIT_SCHEMA = StructType(
 )
 
 
+def _missing(error: AnalysisException) -> bool:
+    """Only a path that is not there means an empty table; anything else is an error."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 class BatchTable:
     def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
         self.spark = spark
@@ -41,7 +46,9 @@ class BatchTable:
                 .option("recursiveFileLookup", "true")
                 .parquet(f"{self.path}/commits")
             )
-        except AnalysisException:
+        except AnalysisException as error:
+            if not _missing(error):
+                raise
             return self.spark.createDataFrame([], _COMMIT_SCHEMA)
 
     def has(self, batch_id: int) -> bool:
@@ -59,7 +66,9 @@ class BatchTable:
         full = StructType([*schema.fields, StructField("batch_id", LongType())])
         try:
             rows = self.spark.read.schema(full).parquet(f"{self.path}/data")
-        except AnalysisException:
+        except AnalysisException as error:
+            if not _missing(error):
+                raise
             return self.spark.createDataFrame([], full)
         return rows.join(self.commits().select("batch_id"), "batch_id", "left_semi").select(
             *full.fieldNames()

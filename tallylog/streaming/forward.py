@@ -18,10 +18,11 @@ from tallylog.operators.scan import (
 )
 from tallylog.plans.ingest import ingest_events
 from tallylog.plans.receipts import commit_receipts
-from tallylog.session import checkpointed, shared_folder
+from tallylog.session import checkpointed
 from tallylog.sources.backlog import backlog_stats
 from tallylog.sources.batches import batch_events, check_batches
 from tallylog.sources.events import STORED_COLUMNS, label_events
+from tallylog.sources.journal import line_columns, lines_in_order
 from tallylog.sources.receipts import RECEIPT_SCHEMA
 from tallylog.sources.tables import BatchTable
 
@@ -91,20 +92,32 @@ class EventSink:
         self.events.commit(batch_id, head)
 
 
-def _number_rows(df: DataFrame) -> DataFrame:
-    return df.withColumn("arrival", F.monotonically_increasing_id())
-
-
 def line_stream(
     spark: SparkSession, folder: str, files_per_trigger: int = 1000
 ) -> DataFrame:
-    """Text lines of exported log files in file order; the bound is per micro-batch, not a total."""
+    """Text lines of exported log files, to be forwarded in file and line order; the bound is per
+    micro-batch, not a total."""
     return (
         spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger)
-        .load(folder).select(F.col("value").alias("line"))
+        .load(folder).select(*line_columns())
     )
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Number the rows of a micro-batch anew, uniquely.
+
+    An ``arrival`` of the input is a wish for an order, not a number to trust: two files of one
+    batch may both begin at 0. Rows are ordered by file (``path``, if the stream has it), then by
+    that arrival, then by event id and by all that is left of a tie.
+    """
+    order = [c for c in ("path", "arrival") if c in rows.columns]
+    if not order:
+        return rows.withColumn("arrival", F.monotonically_increasing_id())
+    tie = F.xxhash64(*[c for c in rows.columns if c not in order])
+    placed = ordered_blocks(rows.withColumn("_tie", tie), [*order, "event_id", "_tie"])
+    return placed.withColumn("arrival", F.col("order_no")).drop("order_no", "_tie")
+
+
 def batch_stream(
     spark: SparkSession, folder: str, files_per_trigger: int = 1000, whole_files: bool = True
 ) -> DataFrame:
@@ -127,7 +140,7 @@ def forward_lines(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Parsed once: storing reads the rows for ids, labels, events and the quarantine.
-        parsed = checkpointed(parse(_number_rows(batch)))
+        parsed = checkpointed(parse(lines_in_order(batch)))
         usable = parsed.where(F.col("reject_reason").isNull()).drop("reject_reason")
         content = F.col("line") if "line" in parsed.columns else F.col("fields")
         bad = parsed.where(F.col("reject_reason").isNotNull()).select(
@@ -171,8 +184,8 @@ def collect_receipts(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         table = BatchTable(batch.sparkSession, table_path, RECEIPT_SCHEMA)
-        rows = batch if "arrival" in batch.columns else _number_rows(batch)
-        commit_receipts(table, rows, batch_id, received_at(), block)
+        if not table.has(batch_id):
+            commit_receipts(table, _in_order(batch), batch_id, received_at(), max(block, ORDERED_BLOCK))
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
 
@@ -243,7 +256,3 @@ def status_rows(listener: StatusListener, backlog: DataFrame, now: str) -> DataF
     return spark.createDataFrame(rows, names).withColumns(
         {name: F.lit(value) for name, value in stats.asDict().items()}
     )
-
-
-def checkpoint_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/streams/{name}"

@@ -14,8 +14,8 @@ from tallylog.plans.export import capture_export, export_line, read_exports, wri
 from tallylog.plans.ingest import ingest_events
 from tallylog.plans.receipts import commit_receipts
 from tallylog.schema import USAGE_MARKER, conform_events
-from tallylog.session import shared_folder
-from tallylog.sources.events import scan_events, write_events
+from tallylog.session import checkpointed, shared_folder
+from tallylog.sources.events import read_events, scan_events, write_events
 from tallylog.sources.journal import JournalConfig, parse_journal
 from tallylog.sources.receipts import receipt_table, scan_receipts
 from tallylog.streaming.forward import (
@@ -48,6 +48,40 @@ def event_store_scan(spark, folder):
     return scan_events(spark, path, q, unique=True).select(*_EVENT_OUT)
 
 
+@query(
+    "event_store_append",
+    """select event_id, 2 as copies, 2 as arrivals, 2 as push_times from log_events where trim(msg)<>'' and source<>'billing_usage'""",
+    ("log_events",),
+)
+def event_store_append(spark, folder):
+    """The same events appended twice: each copy has an arrival and an index time of its own."""
+    path = fresh_folder(spark, "appended")
+    accepted = checkpointed(ingest_events(log_events(spark, folder)).accepted)
+    write_events(accepted, path)
+    write_events(accepted, path)
+    counts = read_events(spark, path).groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("copies"), F.count_distinct("arrival").alias("arrivals"),
+        F.count_distinct("push_nanos").alias("push_times"),
+    )
+    return counts.select(
+        "event_id", *[F.col(c).cast("int") for c in ("copies", "arrivals", "push_times")])
+
+
+@query(
+    "event_store_unique",
+    _event_sql("level='error'", "asc", 1000),
+    ("log_events",),
+)
+def event_store_unique(spark, folder):
+    """A table with every event twice, scanned with de-duplication."""
+    path = fresh_folder(spark, "twice")
+    accepted = checkpointed(ingest_events(log_events(spark, folder)).accepted)
+    write_events(accepted, path)
+    write_events(accepted, path)
+    found = scan_events(spark, path, EventQuery(level="error", order="asc", limit=1000))
+    return found.select(*_EVENT_OUT)
+
+
 @query(
     "export_roundtrip",
     """select sequence, content_sha256, received_at, '{"k":"'||split_part(body,':',1)||'"}' as record from receipts""",
@@ -79,7 +113,7 @@ def usage_receipt_events(spark: SparkSession, folder: str) -> DataFrame:
         kind = kind.when(F.col("event_type") == name, number)
     rows = derived(spark, folder, "usage_text").withColumns(
         {
-            "arrival": (F.col("user_id") * 1000 + F.dayofmonth("window_day")) * 10 + kind,
+            "arrival": (F.col("user_id") * 100_000 + F.unix_date("window_day")) * 10 + kind,
             "event_id": F.concat_ws("-", F.lit("u"), "user_id", "window_day", "event_type"),
             "ts": F.col("window_day").cast("timestamp_ntz"),
             "fields": F.concat(F.lit('{"usage_event":'), "usage_json", F.lit("}")),
@@ -168,11 +202,17 @@ select sequence, event_id from fresh""",
     ("receipt_events",),
 )
 def stream_receipts(spark, folder):
-    """Usage events collected by a stream into the receipt table."""
+    """Usage events collected by a stream from two files that both begin at arrival 0."""
     path = fresh_folder(spark, "usage")
-    conform_events(derived(spark, folder, "receipt_events")).write.parquet(f"{path}/in")
-    schema = spark.read.parquet(f"{path}/in").schema
-    source = spark.readStream.schema(schema).parquet(f"{path}/in")
+    events = checkpointed(conform_events(derived(spark, folder, "receipt_events")))
+    middle = events.agg(F.floor(F.avg("arrival")) + 1).scalar()
+    first = events.where(F.col("arrival") < middle)
+    second = events.where(F.col("arrival") >= middle).withColumn("arrival", F.col("arrival") - middle)
+    first.coalesce(1).write.parquet(f"{path}/in/a")
+    second.coalesce(1).write.parquet(f"{path}/in/b")
+    schema = spark.read.parquet(f"{path}/in/a").schema
+    source = spark.readStream.schema(schema).parquet(f"{path}/in/*").select(
+        "*", F.col("_metadata.file_path").alias("path"))
     drain(
         collect_receipts(
             source, f"{path}/table", f"{path}/checkpoint", lambda: "2024-02-01 00:00:00"
