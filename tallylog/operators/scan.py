@@ -80,14 +80,20 @@ def _quote(name: str) -> str:
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Equi-join on keys that may be NULL, keeping the left columns."""
+    """Equi-join on keys that may be NULL, keeping the left columns.
+
+    Keys that are never NULL are compared plainly, so that the join keeps the partitioning of the
+    windows before it and moves no row again.
+    """
     renamed = right.select(
         *[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)],
         *[c for c in right.columns if c not in keys],
     )
     condition = F.lit(True)
     for i, key in enumerate(keys):
-        condition = condition & left[key].eqNullSafe(renamed[f"_r{i}"])
+        plain = key == "_block" or not left.schema[key].nullable
+        same = left[key] == renamed[f"_r{i}"] if plain else left[key].eqNullSafe(renamed[f"_r{i}"])
+        condition = condition & same
     return left.join(renamed, condition, "inner").drop(
         *[f"_r{i}" for i in range(len(keys))]
     )

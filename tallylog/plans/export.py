@@ -251,6 +251,7 @@ def capture_export(
     bound = usage_bindings(lines.withColumn("_usage", usage), "_usage")
     bad = (
         ~F.col("env").isin(*environments)
+        | ~is_safe_id(F.col("env"))
         | (record_digest(F.col("body")) != F.col("record_sha256"))
         | F.col("binding_reason").isNotNull()
         | F.col("received_at").isNull()

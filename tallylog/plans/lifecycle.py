@@ -50,14 +50,22 @@ def backfill_bindings(
     )
 
 
-def backfill_progress(bindings: DataFrame, legacy_through: int) -> DataFrame:
-    """One row: legacy_through, backfilled_through, done."""
-    return bindings.agg(
+def backfill_progress(
+    bindings: DataFrame, legacy_through: int, completed_at: str | None = None
+) -> DataFrame:
+    """One row: legacy_through, backfilled_through, done, legacy_age_floor.
+
+    Old receipts age from ``completed_at``, the durable end of the backfill; before that they have
+    no age floor.
+    """
+    progress = bindings.agg(
         F.lit(legacy_through).cast("bigint").alias("legacy_through"),
         F.coalesce(F.max(F.when(F.col("is_legacy"), F.col("sequence"))), F.lit(0)).alias(
             "backfilled_through"
         ),
     ).withColumn("done", F.col("backfilled_through") >= F.col("legacy_through"))
+    floor = ntz(completed_at) if completed_at else F.lit(None).cast("timestamp_ntz")
+    return progress.withColumn("legacy_age_floor", F.when(F.col("done"), floor))
 
 
 def receipt_time(legacy_age_floor: str) -> Column:

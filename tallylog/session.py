@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import zipfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +68,7 @@ def build_session(cores: str = "8", name: str = "tallylog") -> SparkSession:
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -93,6 +96,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Checkpoints made inside ``released_checkpoints``, or None outside of it.
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write a DataFrame to the reliable checkpoint folder and read it back from there.
 
@@ -100,4 +107,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     lost executor costs a re-read instead of a recomputation.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if (made := _MADE.get()) is not None:
+        made.append(out)
+    return out
+
+
+@contextmanager
+def released_checkpoints():
+    """Delete the checkpoints made in this block when it ends well, as after a committed batch.
+
+    After an error they stay for the retry's reader to look at; whatever a job leaves can be
+    removed with the folder, or by ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    token = _MADE.set([])
+    try:
+        yield
+        for df in _MADE.get():
+            context = df.sparkSession.sparkContext
+            file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+            if file.isDefined():
+                path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    finally:
+        _MADE.reset(token)

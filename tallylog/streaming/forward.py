@@ -18,7 +18,7 @@ from tallylog.operators.scan import (
 )
 from tallylog.plans.ingest import ingest_events
 from tallylog.plans.receipts import commit_receipts
-from tallylog.session import checkpointed
+from tallylog.session import checkpointed, released_checkpoints
 from tallylog.sources.backlog import backlog_stats
 from tallylog.sources.batches import batch_events, check_batches
 from tallylog.sources.events import STORED_COLUMNS, label_events
@@ -140,14 +140,15 @@ def forward_lines(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Parsed once: storing reads the rows for ids, labels, events and the quarantine.
-        parsed = checkpointed(parse(lines_in_order(batch)))
-        usable = parsed.where(F.col("reject_reason").isNull()).drop("reject_reason")
-        content = F.col("line") if "line" in parsed.columns else F.col("fields")
-        bad = parsed.where(F.col("reject_reason").isNotNull()).select(
-            "arrival", F.lit("line").alias("origin"), F.col("reject_reason").alias("reason"),
-            content.alias("content"),
-        )
-        sink.store(usable, bad, batch_id)
+        with released_checkpoints():
+            parsed = checkpointed(parse(lines_in_order(batch)))
+            usable = parsed.where(F.col("reject_reason").isNull()).drop("reject_reason")
+            content = F.col("line") if "line" in parsed.columns else F.col("fields")
+            bad = parsed.where(F.col("reject_reason").isNotNull()).select(
+                "arrival", F.lit("line").alias("origin"), F.col("reject_reason").alias("reason"),
+                content.alias("content"),
+            )
+            sink.store(usable, bad, batch_id)
 
     return lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
 
@@ -158,17 +159,18 @@ def forward_batches(
     """Replay queued batches; unreadable ones are kept whole in the quarantine."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # Path order is age order; the dense number of a path orders its events.
-        placed = ordered_blocks(batch, ["path"])
-        numbered = running(
-            placed, "order_no", sums={"batch_no": F.lit(1).cast("bigint")}, block=ORDERED_BLOCK
-        )
-        checked = checkpointed(check_batches(numbered))
-        bad = checked.where(F.col("batch_error").isNotNull()).select(
-            F.col("batch_no").alias("arrival"), F.lit("batch").alias("origin"),
-            F.col("batch_error").alias("reason"), F.col("body").alias("content"),
-        )
-        sink.store(batch_events(checked, "batch_no"), bad, batch_id)
+        with released_checkpoints():
+            # Path order is age order; the dense number of a path orders its events.
+            placed = ordered_blocks(batch, ["path"])
+            numbered = running(
+                placed, "order_no", sums={"batch_no": F.lit(1).cast("bigint")}, block=ORDERED_BLOCK
+            )
+            checked = checkpointed(check_batches(numbered))
+            bad = checked.where(F.col("batch_error").isNotNull()).select(
+                F.col("batch_no").alias("arrival"), F.lit("batch").alias("origin"),
+                F.col("batch_error").alias("reason"), F.col("body").alias("content"),
+            )
+            sink.store(batch_events(checked, "batch_no"), bad, batch_id)
 
     return batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
 
@@ -184,8 +186,11 @@ def collect_receipts(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         table = BatchTable(batch.sparkSession, table_path, RECEIPT_SCHEMA)
-        if not table.has(batch_id):
-            commit_receipts(table, _in_order(batch), batch_id, received_at(), max(block, ORDERED_BLOCK))
+        if table.has(batch_id):
+            return
+        with released_checkpoints():
+            rows = _in_order(batch)
+            commit_receipts(table, rows, batch_id, received_at(), max(block, ORDERED_BLOCK))
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
 

@@ -1,11 +1,15 @@
 """Streams: restart from a checkpoint, quarantine, late usage events, status."""
 
 import json
+import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallylog.sources.journal import JournalConfig, parse_journal
+from tallylog.session import shared_folder
+from tallylog.sources.batches import check_batches, read_batches
+from tallylog.sources.journal import JournalConfig, parse_journal, read_lines
 from tallylog.sources.receipts import receipt_table, scan_receipts
 from tallylog.streaming.forward import (
     EventSink, StatusListener, batch_stream, bounded_dedupe, collect_receipts, drain,
@@ -42,6 +46,51 @@ def test_forwarding_restarts_and_quarantines(spark, tmp_path):
     assert sink.events.read().count() == 3
 
 
+def test_lines_keep_file_order_and_checkpoints_go(spark, tmp_path):
+    """Three files of rising size in one micro-batch; the scan would pack the largest first."""
+    source = tmp_path / "in"
+    source.mkdir()
+    expected = []
+    for number, count in ((1, 2), (2, 40), (3, 800)):
+        names = [f"{number}-{i}" for i in range(count)]
+        expected += names
+        (source / f"{number}.json").write_text("\n".join(line(n, MESSAGE=n) for n in names))
+    rows = read_lines(spark, str(source)).orderBy("arrival").collect()
+    assert [json.loads(r.line)["MESSAGE"] for r in rows] == expected
+
+    shared_folder(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(os.listdir(folder))
+    sink = EventSink(spark, str(tmp_path / "store"))
+    drain(forward_lines(line_stream(spark, str(source)), sink, str(tmp_path / "cp"), parse_journal))
+    rows = sink.events.read().orderBy("arrival").collect()
+    assert [r.msg for r in rows] == expected
+    assert [r.arrival for r in rows] == list(range(1, len(expected) + 1))
+    assert set(os.listdir(folder)) <= before, "no checkpoint is left after the commit"
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
+
+
+def test_oversized_batch_files_are_not_read(spark, tmp_path):
+    (tmp_path / "1.json").write_text('{"events":[]}')
+    (tmp_path / "2.json").write_text(" " * 5000)
+    rows = check_batches(read_batches(spark, str(tmp_path), max_bytes=100)).collect()
+    found = {r.path[-6:]: (r.body is None, r.batch_error) for r in rows}
+    assert found == {"1.json": (False, None), "2.json": (True, "request body too large")}
+
+
 def test_queue_replay(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

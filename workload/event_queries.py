@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallylog.functions.identity import container_event_id
-from tallylog.functions.labels import label_key, retention_policy, retention_tier
+from tallylog.functions.labels import label_key, label_set, retention_policy, retention_tier
 from tallylog.functions.levels import normalize_level
 from tallylog.functions.redact import redact_fields, redact_text
 from tallylog.operators.dedupe import first_wins
@@ -54,7 +54,8 @@ def event_query_desc(spark, folder):
     q = EventQuery(
         since="2024-01-03T00:00:00Z", until="2024-01-20T12:00:00Z", env="prod", limit=1000
     )
-    return query_events(ingest_events(log_events(spark, folder)).accepted, q).select(*_EVENT_OUT)
+    accepted = ingest_events(log_events(spark, folder)).accepted
+    return query_events(accepted, q, dedupe=False).select(*_EVENT_OUT)
 
 
 @query(
@@ -66,7 +67,8 @@ def event_query_asc(spark, folder):
     q = EventQuery(
         level="error", status_class="5xx", unit="error.service", order="asc", limit=500
     )
-    return query_events(ingest_events(log_events(spark, folder)).accepted, q).select(*_EVENT_OUT)
+    accepted = ingest_events(log_events(spark, folder)).accepted
+    return query_events(accepted, q, dedupe=False).select(*_EVENT_OUT)
 
 
 @query(
@@ -383,6 +385,19 @@ def label_sets(spark, folder):
     )
 
 
+@query(
+    "label_maps",
+    f"""select arrival, {_LABEL_KEY} as labels from (select *, {_TIER} as tier from log_events) e""",
+    ("log_events",),
+)
+def label_maps(spark, folder):
+    """The label map of each event, its entries in byte order of their names."""
+    tier = retention_tier(F.col("source"), F.col("fields"))
+    labels = F.array_sort(F.map_entries(label_set(tier)))
+    pairs = F.transform(labels, lambda e: F.concat_ws("|", e["key"], e["value"]))
+    return device_events(spark, folder).select("arrival", F.array_join(pairs, "|").alias("labels"))
+
+
 @query(
     "push_times",
     f"""

@@ -93,6 +93,24 @@ def retirement_eligible(spark, folder):
     return eligible_receipts(rows, bindings, sets, NOW)
 
 
+@query(
+    "retirement_legacy",
+    """select sequence, sequence%3=0 and timestamp '2024-01-20 00:00:00'<=timestamp '2024-01-26 12:00:00'
+  or sequence%3<>0 and received_at<=timestamp '2024-01-26 12:00:00' as eligible from receipts""",
+    ("receipts",),
+)
+def retirement_legacy(spark, folder):
+    """Every third receipt is an old one without a time and ages from the end of the backfill."""
+    rows = receipts(spark, folder)
+    old = F.col("sequence") % 3 == 0
+    bindings = rows.withColumns(
+        {"is_legacy": old, "received_at": F.when(~old, F.col("received_at"))})
+    whole = rows.agg(
+        F.lit("set-0").alias("set_id"), F.min("sequence").alias("from_sequence"),
+        F.max("sequence").alias("through_sequence"))
+    return eligible_receipts(rows, bindings, whole, NOW, "2024-01-20 00:00:00")
+
+
 # The reference rule walks: a range starts at the floor + 1, is in the verified set that reaches
 # furthest from there and has at most ``CHUNK`` receipts. The plan ends with the first range that its
 # set cuts short. The sets overlap by 100, so a chunk of 130 gives several ranges and then a cut.
@@ -338,13 +356,17 @@ def backfill_bindings_query(spark, folder):
 @query(
     "backfill_progress",
     """with b as (select max(sequence) as head from receipts)
-select head//2 as legacy_through, (select max(sequence) from receipts where sequence<=head//3) as backfilled_through, false as done from b""",
+select head//2 as legacy_through, (select max(sequence) from receipts where sequence<=head//3) as backfilled_through, false as done, cast(null as timestamp) as legacy_age_floor from b
+union all select head//3, head//3, true, timestamp '2024-02-01 00:00:00' from b""",
     ("receipts",),
 )
 def backfill_progress_query(spark, folder):
+    """A backfill under way, and one that has ended."""
     head = head_of(spark, folder)
     bound = receipts(spark, folder).withColumn("is_legacy", F.col("sequence") <= head // 3)
-    return backfill_progress(bound, head // 2)
+    ended = "2024-02-01 00:00:00"
+    return backfill_progress(bound, head // 2, ended).unionByName(
+        backfill_progress(bound, head // 3, ended))
 
 
 @query(
