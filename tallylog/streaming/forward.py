@@ -51,6 +51,17 @@ class EventSink:
     def rejected(self) -> BatchTable:
         return BatchTable(self.spark, f"{self.path}/rejected", _QUARANTINE)
 
+    def _label_state(self, batch_id: int) -> DataFrame:
+        """The last index time of every label set before a batch.
+
+        Each batch writes the whole state, which is one row a label set, so one directory is read
+        however many batches there were.
+        """
+        before = self.labels.commits().where(F.col("batch_id") < int(batch_id))
+        last = before.agg(F.max("batch_id")).first()[0]
+        rows = self.labels.read() if last is not None else self.labels.read().limit(0)
+        return rows.where(F.col("batch_id") == F.lit(last)).select("label_key", "last")
+
     def store(self, events: DataFrame, quarantined: DataFrame, batch_id: int) -> None:
         """Store one batch. Called again for the same batch it does nothing, or finishes it.
 
@@ -66,9 +77,7 @@ class EventSink:
         outcome = ingest_events(events, known)
         numbered = dense_sequence(outcome.accepted, "arrival", "_n", head, self.block)
         numbered = numbered.withColumn("arrival", F.col("_n")).drop("_n")
-        prior = (
-            self.labels.read().where(before).groupBy("label_key").agg(F.max("last").alias("last"))
-        )
+        prior = self._label_state(batch_id)
         labelled = label_events(numbered, self.block, prior)
         self.events.write(
             labelled.select(*STORED_COLUMNS, "label_key"), batch_id,
@@ -78,8 +87,9 @@ class EventSink:
         written = self.spark.read.schema(f"{_EVENT_TABLE}, label_key string").parquet(
             f"{self.events.path}/data/batch_id={int(batch_id)}"
         )
+        newest = written.select("label_key", F.col("push_nanos").alias("last")).unionByName(prior)
         self.labels.write(
-            written.groupBy("label_key").agg(F.max("push_nanos").alias("last")), batch_id
+            newest.groupBy("label_key").agg(F.max("last").alias("last")), batch_id
         )
         self.labels.commit(batch_id)
         head = written.agg(F.coalesce(F.max("arrival"), F.lit(head))).first()[0]
