@@ -56,6 +56,8 @@ HUBS = 2
 DEPTHS = (1, 2, 4, 8)
 #: Documents on either side of one task of the exact search for stragglers.
 BLOCK = 512
+#: Tasks that the rows of one component are spread over.
+SALTS = 64
 #: Coordinates that must agree before the full sets are compared.
 AGREEING = int(0.6 * COORDINATES)
 
@@ -206,6 +208,13 @@ def _similar(size: int, percent: int):
     return similar
 
 
+def _spread_join(rows: DataFrame, leads: DataFrame) -> DataFrame:
+    """Join rows (id, lead) to one row per lead, when one lead may have most of the rows."""
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit("spread")), F.lit(SALTS)).cast("int"))
+    return salted.join(leads.withColumn("_salt", F.explode(salts)), ["lead", "_salt"]).drop("_salt")
+
+
 def _straggler_links(
     stragglers: DataFrame, crowd: DataFrame, texts: DataFrame, size: int, percent: int
 ) -> DataFrame:
@@ -241,13 +250,13 @@ def _straggler_links(
 
     cells = share(crowd, "blocks").join(share(stragglers, "chunks"), "lead")
     index = (
-        crowd.join(cells, "lead")
+        _spread_join(crowd, cells)
         .withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")))
         .withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1L)")))
         .join(texts, "id").select("lead", "block", "chunk", "id", "text")
     )
     queries = (
-        stragglers.join(cells, "lead")
+        _spread_join(stragglers, cells)
         .withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("chunks")))
         .withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1L)")))
         .join(texts, "id")
@@ -321,9 +330,9 @@ def near_duplicates(
             .where("component <> lead").select("id", "lead").distinct()
         )
         if not stragglers.isEmpty():
-            crowd = linked.select(F.col("node").alias("id"), F.col("component").alias("lead")).join(
-                stragglers.select("lead").distinct(), "lead", "left_semi"
-            ).select("id", "lead").unionByName(stragglers)
+            members = linked.select(F.col("node").alias("id"), F.col("component").alias("lead"))
+            leads = stragglers.select("lead").distinct()
+            crowd = _spread_join(members, leads).select("id", "lead").unionByName(stragglers)
             links = links.unionByName(_straggler_links(stragglers, crowd, texts, size, percent))
         mixed = joined.join(lead.where("2 * most < n").select("key"), "key", "left_semi")
         finer = _finer_pairs(classes, mixed)
