@@ -57,7 +57,7 @@ class BoundedCache(dict):
 
 
 #: 64-bit hash of a word given as bytes; one per Python worker.
-WORD_HASHES = BoundedCache(xxhash.xxh3_64_intdigest)
+WORD_HASHES = BoundedCache(xxhash.xxh3_64_intdigest, 150_000)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -190,11 +190,11 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                _compared(doc, text, sketch(text), following, sketch(following))
+                _expanded(*_compared(doc, text, sketch(text), following, sketch(following)))
                 for doc, text, following in zip(
                     *column_lists(batch, ["doc_id", "text", "next_text"]))
             ]
-            yield _batch(rows, _COMPACT, _COMPACT_TYPES)
+            yield _batch(rows, _RESULT, _RESULT_TYPES)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,4 +202,5 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
             yield _batch(rows, _RESULT, _RESULT_TYPES)
 
     compact = walked.where("part is null").drop("part", "first_text", "last_text")
-    return compact.unionByName(open_ends.mapInArrow(finish, _COMPACT)).mapInArrow(expand, _RESULT)
+    # One Python function a task: chained ones would each hold a worker.
+    return compact.mapInArrow(expand, _RESULT).unionByName(open_ends.mapInArrow(finish, _RESULT))
