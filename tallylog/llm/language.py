@@ -110,6 +110,8 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 #: Distinct n-grams of one language that a task holds before it passes them on.
 HELD = 500_000
+#: N-grams that are gathered before they are counted: 16 MB, whatever the batch.
+FOLDED = 2_000_000
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -129,17 +131,27 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 ["lang", "gram", "n"],
             )
 
+        found: dict[str, list] = {}
+        size = 0
+
+        def fold() -> None:
+            for language, parts in found.items():
+                pair = np.unique(np.concatenate(parts), return_counts=True)
+                held[language] = _merged([held[language], pair]) if language in held else pair
+            found.clear()
+
         for batch in batches:
-            found: dict[str, list] = {}
             for language, text in zip(*column_lists(batch, ["lang", "text"])):
                 codes = gram_codes(text)
                 if len(codes):
                     found.setdefault(language, []).append(codes)
-            for language, parts in found.items():
-                pair = np.unique(np.concatenate(parts), return_counts=True)
-                held[language] = _merged([held[language], pair]) if language in held else pair
-                if len(held[language][0]) > HELD:
-                    yield rows(language)
+                    size += len(codes)
+                if size > FOLDED:
+                    fold()
+                    size = 0
+            for language in [x for x in held if len(held[x][0]) > HELD]:
+                yield rows(language)
+        fold()
         for language in list(held):
             yield rows(language)
 
