@@ -14,8 +14,17 @@ member with the bucket's hubs only, among them the member with the most company
 - a crowd with stragglers, if one component holds at least half of it: each straggler is compared
   with that whole component and its other stragglers, exactly, in blocks of bounded size. The
   queries are the stragglers, and only links are put out;
-- mixed otherwise, as with texts that only share a passage: its members go on to finer buckets, of
-  8, 16, 32 and 64 coordinates, which give all pairs when small and stars when not.
+- mixed otherwise, as with texts that only share a passage: finer buckets, of 8, 16, 32 and 64
+  coordinates, join what they can; then the members are joined exactly on their rare shingles.
+
+Rare shingles. Of two sets in one order of all shingles, the first shared one has at least the
+overlap at or after it. So at a threshold t it lies among the first n - ceil(2 t n / (1 + t)) + 1 of
+the smaller set and the first n - ceil(t n) + 1 of the larger one; only these meet. The order is by
+the frequency in a sample of the members, so passages come last. It settles the cost alone: any
+order finds every pair. A shingle of at most ``SMALL`` members gives its pairs of two components that
+sizes and places allow. A more frequent one is treated as a bucket is: a crowd with stragglers, or
+else a blocked exact search of the smaller sets (by their shorter part) against all its members. Only
+that last case is quadratic in a group, in comparisons and not in rows.
 
 So a bucket with a third of all rows costs rows in proportion to its members, and no member of any
 bucket is left out.
@@ -48,7 +57,7 @@ from tallylog.session import checkpointed
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-#: Classes of a bucket that are paired with each other; larger buckets take stars and finer keys.
+#: Classes of a bucket that are paired with each other; larger buckets take the ways above.
 SMALL = 32
 #: Hubs of a larger bucket.
 HUBS = 2
@@ -58,6 +67,9 @@ DEPTHS = (1, 2, 4, 8)
 BLOCK = 512
 #: Tasks that the rows of one component are spread over.
 SALTS = 64
+#: Counters of the frequencies that order shingles, and the documents they are counted in. Both
+#: settle the order, hence the cost, and not the result.
+SLOT_BITS, ORDER_SAMPLE = 20, 20_000
 #: Coordinates that must agree before the full sets are compared.
 AGREEING = int(0.6 * COORDINATES)
 
@@ -228,7 +240,7 @@ def _straggler_links(
             order = np.argsort(sizes, kind="stable")
             sets, ids, sizes = [sets[i] for i in order], ids[order], sizes[order]
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            every = np.concatenate(sets)
+            every, label = np.concatenate(sets), np.arange(len(sets))
             for one, text in zip(queries["id"], queries["text"]):
                 own = shingle_set(ascii_words(text), size)
                 # Only sets of a size near its own can be alike enough.
@@ -241,8 +253,12 @@ def _straggler_links(
                 at[at == len(own)] = 0
                 hits = np.add.reduceat((own[at] == part).astype(np.int64), ends[low:high] - ends[low])
                 either = len(own) + sizes[low:high] - hits
-                found += [(one, other) for other in ids[low:high][100 * hits >= percent * either]
-                          if other != one]
+                hit = low + np.flatnonzero((100 * hits >= percent * either) & (ids[low:high] != one))
+                # One link to each group of sets that earlier links of this cell join.
+                groups, where = np.unique(label[hit], return_index=True)
+                found += [(one, other) for other in ids[hit[where]]]
+                if len(groups) > 1:
+                    label[np.isin(label, groups)] = groups[0]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     def share(rows: DataFrame, name: str) -> DataFrame:
@@ -267,6 +283,75 @@ def _straggler_links(
         compare, "a bigint, b bigint")
 
 
+def _shingle_order(members: DataFrame, size: int) -> np.ndarray:
+    """Frequency of each slot of shingles in a sample of the members (id, text)."""
+    total = members.count()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for text in column_lists(batch, ["text"])[0]:
+                slots = shingle_set(ascii_words(text), size) >> np.uint64(64 - SLOT_BITS)
+                seen += np.bincount(slots.astype(np.int64), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        for start in range(0, len(at), 1 << 16):
+            part = at[start : start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[part])], ["slot", "n"])
+
+    share = F.pmod(F.xxhash64("id", F.lit("order")), F.lit(total)) < ORDER_SAMPLE
+    counts = (
+        members.where(share).select("text").mapInArrow(count, "slot bigint, n bigint")
+        .groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    )
+    order = np.zeros(1 << SLOT_BITS, np.uint32)
+    order[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    return order
+
+
+_RARE = "token bigint, id bigint, component bigint, size int, at int, indexed boolean"
+
+
+def _rare_shingles(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """The first shingles of each member (id, component, text), with their places in the order.
+
+    ``indexed`` ones are those by which a set meets the sets that are at least as large.
+    """
+    order = _shingle_order(members, size)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for id_, component, text in zip(*column_lists(batch, ["id", "component", "text"])):
+                own = shingle_set(ascii_words(text), size)
+                n = len(own)
+                probed = n + percent * n // -100 + 1
+                indexed = n + 2 * percent * n // -(100 + percent) + 1
+                own = own[np.lexsort((own, order[own >> np.uint64(64 - SLOT_BITS)]))[:probed]]
+                at = np.arange(probed, dtype=np.int32)
+                out.append((own.view(np.int64), np.full(probed, id_), np.full(probed, component),
+                            np.full(probed, n, np.int32), at, at < indexed))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c)) for c in zip(*out)],
+                ["token", "id", "component", "size", "at", "indexed"],
+            )
+
+    return members.select("id", "component", "text").mapInArrow(first, _RARE)
+
+
+def _rare_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of two components that sizes and places of a shared shingle allow."""
+    group = held.groupBy("token").agg(
+        F.array_sort(F.collect_list(F.struct("size", "id", "at", "component", "indexed"))).alias("m"))
+    allowed = f"""filter(slice(m, i + 2, size(m)), y -> x.component <> y.component
+        and 100L * x.size >= {percent}L * y.size
+        and {100 + percent}L * least(x.size - x.at, y.size - y.at) >= {percent}L * (x.size + y.size))"""
+    return (
+        group.select("m", F.posexplode("m").alias("i", "x")).where("x.indexed")
+        .select(F.col("x.id").alias("one"), F.explode(F.expr(allowed)).alias("y"))
+        .select(F.least("one", "y.id").alias("a"), F.greatest("one", "y.id").alias("b"))
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -313,6 +398,59 @@ def near_duplicates(
             .select("a", "b")
         )
 
+    def joined_by_rare(mixed: DataFrame, linked: DataFrame) -> DataFrame:
+        """The components with every link between members of the mixed buckets."""
+        placed = mixed.select("key", "id").join(linked.withColumnRenamed("node", "id"), "id", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "id"))
+        parted = placed.groupBy("key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        members = checkpointed(
+            placed.join(parted, "key", "left_semi").select("id", "component").distinct()
+        ).join(texts.dropDuplicates(["id"]), "id")
+        rare = checkpointed(_rare_shingles(members, size, percent))
+        shared = rare.groupBy("token").agg(
+            F.count(F.lit(1)).alias("n"), F.max("indexed").alias("any"),
+            F.min("component").alias("low"), F.max("component").alias("high"),
+        ).where("n > 1 and any and low < high")
+        held = checkpointed(rare.join(shared.select("token", "n"), "token"))
+        links = linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
+            confirmed(likely(_rare_pairs(held.where(F.col("n") <= SMALL), percent))))
+        hot = held.where(F.col("n") > SMALL)
+        if hot.isEmpty():
+            return components(links, "a", "b")
+        lead = checkpointed(
+            hot.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
+            .groupBy("token").agg(
+                F.max_by("component", "m").alias("lead"), F.max("m").alias("most"),
+                F.sum("m").alias("n"))
+        )
+        stragglers = checkpointed(
+            hot.join(lead.where("2 * most >= n"), "token").where("component <> lead")
+            .select("id", "lead").distinct()
+        )
+        # Shingles with the same members, as those of one passage have, are looked at once.
+        groups = (
+            hot.join(lead.where("2 * most < n").select("token"), "token", "left_semi")
+            .groupBy("token").agg(
+                F.count(F.lit(1)).alias("n"),
+                F.bit_xor(F.xxhash64("id", "indexed")).alias("x"),
+                F.sum(F.xxhash64("indexed", "id").bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"))
+            .groupBy("n", "x", "s").agg(F.min("token").alias("token")).select("token")
+        )
+        several = checkpointed(hot.join(groups, "token", "left_semi").select(
+            "id", F.col("token").alias("lead"), "indexed"))
+        if not stragglers.isEmpty():
+            crowd = _spread_join(
+                linked.select(F.col("node").alias("id"), F.col("component").alias("lead")),
+                stragglers.select("lead").distinct(),
+            ).select("id", "lead").unionByName(stragglers)
+            links = links.unionByName(_straggler_links(stragglers, crowd, texts, size, percent))
+        if not several.isEmpty():
+            links = links.unionByName(_straggler_links(
+                several.where("indexed").select("id", "lead"), several.select("id", "lead"),
+                texts, size, percent))
+        return components(links, "a", "b")
+
     linked = checkpointed(components(confirmed(close), "a", "b"))
     if not large.isEmpty():
         links = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -338,7 +476,9 @@ def near_duplicates(
         finer = _finer_pairs(classes, mixed)
         if finer is not None:
             links = links.unionByName(confirmed(likely(finer)))
-        linked = components(links, "a", "b")
+        linked = checkpointed(components(links, "a", "b"))
+        if finer is not None:
+            linked = joined_by_rare(mixed, linked)
     found = first.join(linked, F.col("first") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "first").alias("component")
     )

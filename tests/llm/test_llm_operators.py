@@ -223,6 +223,44 @@ def test_large_buckets_lose_no_link(session):
     assert all(of[1000 + i] == 1000 + i for i in range(200))
 
 
+def test_pairs_in_a_crowd_with_a_passage_are_all_found(session):
+    # Every two of the crowd are 0.78 alike by the passage, the planted pairs 0.80 to 0.83.
+    passage = " ".join(f"s{i}" for i in range(222))
+    rows = [(i, passage + "".join(f" own{i}x{j}" for j in range(31))) for i in range(1000)]
+    for i in range(0, 200, 2):
+        same = 4 + i % 5 % 4
+        rows[i + 1] = (i + 1, passage + "".join(
+            f" own{i + (j >= same)}x{j}" for j in range(31)))
+    found = minhash.near_duplicates(session.createDataFrame(rows, "doc_id bigint, text string"), 4)
+    of = {r["id"]: r["component_id"] for r in found.collect()}
+    assert sum(of[i + 1] == i for i in range(0, 200, 2)) == 100
+    assert all(of[i] == i for i in of if i >= 200 or i % 2 == 0)
+
+
+def test_texts_of_frequent_shingles_only_lose_no_link(session):
+    # Six of 40 paragraphs each: no shingle is rare, and no component has half of a bucket.
+    import random
+
+    deal = random.Random(1)
+    paragraphs = [" ".join(f"p{p}w{i}" for i in range(25)) for p in range(40)]
+    start = " ".join(f"s{i}" for i in range(300))
+    rows = [(i, " ".join([start] + [paragraphs[p] for p in sorted(deal.sample(range(40), 6))]))
+            for i in range(400)]
+    found = minhash.near_duplicates(session.createDataFrame(rows, "doc_id bigint, text string"), 4)
+    of = {r["id"]: r["component_id"] for r in found.collect()}
+    from tallylog.llm.common import ascii_words, jaccard, shingle_set
+
+    sets, root = [shingle_set(ascii_words(t), 4) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both, either = jaccard(sets[i], sets[j])
+            if 100 * both >= 80 * either and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert of == dict(enumerate(root))
+    assert 40 < len(set(root)) < len(rows)
+
+
 def test_components(session):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (50, 100)]
     found = components.components(session.createDataFrame(links, "a bigint, b bigint"), "a", "b")
