@@ -1,10 +1,16 @@
 """License scans: normalised text against license templates by Dice over word bigrams.
 
 Words are runs of a-z and 0-9 after lower-casing A-Z. A text is compared as a whole, by paragraph
-(split at an empty line) and by line, since a notice is mostly one of these in a longer text. The
-Dice coefficient of two bigram sets of sizes a and b is at most 2 min(a, b) / (a + b), so with the
+(split at an empty line) and by line, and by every window of its words that is as long as a template,
+so a notice is found wherever it stands: wrapped, or between other sentences. The Dice coefficient of two bigram sets of sizes a and b is at most 2 min(a, b) / (a + b), so with the
 least coefficient t only templates of size a t / (2 - t) to a (2 - t) / t can match; templates are
-sorted by size and the others are never looked at. What is left must share a bigram.
+sorted by size and the others are never looked at. What is left must share a bigram. As a match
+shares at least a t / (2 - t) bigrams with a template of size a, units and windows are only looked
+at for templates of which the whole text has so many.
+
+``scan_sql`` states the three whole units over ``TEMPLATES`` only; the scan also has ``NOTICES`` and
+windows and so can find more. Of Apache, GPL and MPL the standard headers are templates, not the
+whole license texts.
 
 Each document is scanned where it lies, in Arrow batches; nothing is moved. The templates are a
 parameter and go along with the function; they are short texts in a number that does not grow with
@@ -64,9 +70,72 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved."],
 }
 
+#: Whole short licenses by their paragraphs, standard headers and common sentences.
+NOTICES = {
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
+    ],
+    "Apache-2.0": [
+        "This project is licensed under the Apache License 2.0.",
+        "Unless required by applicable law or agreed to in writing, software distributed under "
+        "the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
+        "KIND, either express or implied. See the License for the specific language governing "
+        "permissions and limitations under the License.",
+    ],
+    "BSD-3-Clause": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used "
+        "to endorse or promote products derived from this software without specific prior written "
+        "permission.",
+        "This project is licensed under the BSD 3-Clause License.",
+    ],
+    "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies.",
+    ],
+    "LGPL-3.0": [
+        "This library is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
+    ],
+    "MIT": [
+        "Licensed under the MIT License.",
+        "This project is licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+        "software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons "
+        "to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+        "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
+        "copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/.",
+    ],
+}
+#: What a scan compares with.
+ALL = {
+    name: TEMPLATES.get(name, []) + NOTICES.get(name, []) for name in {**TEMPLATES, **NOTICES}
+}
+
 _WORDS = re.compile(rb"[a-z0-9]+")
 #: Smaller units first, as ties are settled.
-UNITS = ("line", "paragraph", "text")
+UNITS = ("line", "paragraph", "text", "window")
 
 
 def bigrams(text: bytes) -> set[tuple[bytes, bytes]]:
@@ -84,6 +153,13 @@ class Templates:
             for text in texts
             if (grams := bigrams(text.encode()))
         )
+        # Number of bigrams of a window for each template: with repeated ones.
+        self.spans = sorted(
+            (name, len(_WORDS.findall(text.encode().lower())) - 1, grams)
+            for name, texts in templates.items()
+            for text in texts
+            if (grams := bigrams(text.encode()))
+        )
         self.sizes = [f[0] for f in found]
         self.found, self.least = found, least
         self.known = set().union(*[f[2] for f in found]) if found else set()
@@ -114,13 +190,42 @@ class Templates:
                 out.append((name, dice))
         return out
 
+    @staticmethod
+    def window(grams: list[tuple[bytes, bytes]], span: int, template: set) -> float:
+        """The greatest Dice of a window of ``span`` bigrams, at any place."""
+        best, held, both = 0.0, {}, 0
+        for at, gram in enumerate(grams):
+            held[gram] = held.get(gram, 0) + 1
+            if held[gram] == 1:
+                both += gram in template
+            if at >= span:
+                gone = grams[at - span]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                    both -= gone in template
+            if at >= span - 1 and both:
+                best = max(best, 2.0 * both / (len(held) + len(template)))
+        return best
+
     def scan(self, text: bytes | None) -> tuple[list[str], str | None, float | None, str | None]:
         """All licenses of a text, and the best one with its coefficient and unit."""
         if not text:
             return [], None, None, None
+        words = _WORDS.findall(text.lower())
+        grams = list(zip(words, words[1:]))
+        shared = self.known.intersection(grams)
+        within = [s for s in self.spans if len(shared & s[2]) * self.ratio >= len(s[2])]
+        if not within:
+            return [], None, None, None
         best, names = None, set()
         cut = {"line": text.split(b"\n"), "paragraph": text.split(b"\n\n"), "text": [text]}
-        for place, kind in enumerate(UNITS):
+        for name, span, template in within:
+            dice = self.window(grams, span, template)
+            if dice >= self.least:
+                names.add(name)
+                best = min(best or (2.0,), (-dice, name, UNITS.index("window")))
+        for place, kind in enumerate(UNITS[:3]):
             if place and len(cut[kind]) == len(cut[UNITS[place - 1]]):
                 continue  # the same units once more
             for unit in cut[kind]:
@@ -133,7 +238,7 @@ class Templates:
 
 
 def scan_licenses(
-    docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST
+    docs: DataFrame, templates: dict[str, list[str]] = ALL, least: float = LEAST
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, licenses, and the best license with its Dice and unit."""
 

@@ -190,6 +190,36 @@ def test_license_bounds_lose_no_match():
     assert known.scan(None) == known.scan(b"") == known.scan(b"word") == ([], None, None, None)
 
 
+def test_notices_are_found_wherever_they_stand():
+    import textwrap
+
+    known = licenses.Templates(licenses.ALL, 0.8)
+    grant = textwrap.fill(next(t for t in licenses.NOTICES["MIT"] if "sublicense" in t), 60)
+    cases = {
+        "MIT": [
+            f"Copyright (c) 2024 A. Writer\n\n{grant}\n\nAnd more text.",
+            " * " + grant.replace("\n", "\n * "), "Licensed under the MIT License.",
+            "This project is licensed under the MIT License.",
+            "Released under the MIT License. See the file for what else there is to say on it.",
+        ],
+        "Proprietary": ["Copyright 2024 Example Corp. All rights reserved."],
+        "CC-BY-4.0": ["The photographs in this book are by the author and are, as a rule, licensed "
+                      "under CC BY 4.0, but for three that are not."],
+    }
+    for name, texts in cases.items():
+        for text in texts:
+            assert name in known.scan(text.encode())[0], text
+    assert known.scan(b"The rights of all, reserved or not, under the law of the land.")[0] == []
+    # Every window is looked at: the best one equals a plain search.
+    for name, span, template in known.spans:
+        words = licenses._WORDS.findall(("all of it is here under the " + grant + " 2 0").lower().encode())
+        grams = list(zip(words, words[1:]))
+        plain = max((
+            2 * len(part & template) / (len(part) + len(template))
+            for i in range(len(grams) - span + 1) for part in [set(grams[i : i + span])]), default=0.0)
+        assert known.window(grams, span, template) == plain
+
+
 def test_quantizer_bounds_hold():
     rng = np.random.default_rng(3)
     x = vectors.unit(rng.normal(size=(600, 16)))
