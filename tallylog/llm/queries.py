@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from tallylog.llm import (
-    binary, chat, fingerprints, language, licenses, minhash, packing, pieces, quality,
-    vectors,
+    alignment, binary, chat, fingerprints, language, licenses, minhash, packing, pieces, quality,
+    variants, vectors,
 )
 from tallylog.llm.common import held_out, prepared, table
 
@@ -86,6 +86,16 @@ def licensed(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("licenses", F.array_join("licenses", ","))
 
 
+@query("op12_galloping_alignment")
+def aligned(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_documents(table(spark, folder, "documents"))
+
+
+@query("op13_spelling_tiles")
+def grouped(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
