@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from tallylog.llm import (
-    alignment, binary, chat, fingerprints, language, licenses, minhash, packing, pieces, quality,
-    variants, vectors,
+    alignment, binary, chat, fingerprints, identifiers, language, licenses, minhash, packing, pieces,
+    quality, variants, vectors,
 )
 from tallylog.llm.common import held_out, prepared, table
 
@@ -86,6 +86,11 @@ def licensed(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("licenses", F.array_join("licenses", ","))
 
 
+@query("op11_bootstrapped_identifiers")
+def personal(spark: SparkSession, folder: str) -> DataFrame:
+    return identifiers.find_identifiers(table(spark, folder, "documents"))
+
+
 @query("op12_galloping_alignment")
 def aligned(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align_documents(table(spark, folder, "documents"))

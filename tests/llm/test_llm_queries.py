@@ -74,7 +74,7 @@ def test_all_are_registered():
     import __spark_entry__
 
     numbers = {n.split("_")[0] for n in QUERIES if n != "pipeline"}
-    assert numbers == {f"op{i}" for i in range(1, 11)} and "pipeline" in QUERIES
+    assert numbers == {f"op{i}" for i in range(1, 14)} and "pipeline" in QUERIES
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
