@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallylog.functions.canonical import shortest_numbers
 from tallylog.functions.identity import journal_event_id
 from tallylog.functions.levels import syslog_level
 from tallylog.functions.redact import redact_event
@@ -99,6 +100,8 @@ def parse_journal(lines: DataFrame, config: JournalConfig = JournalConfig()) ->
         texts=scalar_texts(members, PROMOTED_FIELDS),
         fields=F.nullif(F.to_json(extra), F.lit("{}")),
     )
+    # The log's own writer reads numbers as 64-bit ones, so extra fields have them in that spelling.
+    texts = texts.withColumn("fields", shortest_numbers(F.col("fields")))
     values = computed_once(
         texts, [*keys.columns, "message", "fields"],
         **{

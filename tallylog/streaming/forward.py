@@ -22,6 +22,7 @@ from tallylog.session import checkpointed, released_checkpoints
 from tallylog.sources.backlog import backlog_stats
 from tallylog.sources.batches import batch_events, check_batches
 from tallylog.sources.events import STORED_COLUMNS, label_events
+from tallylog.sources.idindex import IdIndex
 from tallylog.sources.journal import line_columns, lines_in_order
 from tallylog.sources.receipts import RECEIPT_SCHEMA
 from tallylog.sources.tables import BatchTable
@@ -47,6 +48,10 @@ class EventSink:
     def labels(self) -> BatchTable:
         return BatchTable(self.spark, f"{self.path}/labels", _LABELS)
 
+    @property
+    def index(self) -> IdIndex:
+        return IdIndex(self.spark, f"{self.path}/ids")
+
     @property
     def rejected(self) -> BatchTable:
         return BatchTable(self.spark, f"{self.path}/rejected", _QUARANTINE)
@@ -65,16 +70,16 @@ class EventSink:
     def store(self, events: DataFrame, quarantined: DataFrame, batch_id: int) -> None:
         """Store one batch. Called again for the same batch it does nothing, or finishes it.
 
-        Ids already stored are found by a join against the table, not in memory, so there is no
-        bound on how late a replay may come. The events commit is the last step.
+        Ids already stored are found by an index of all of them, so there is no bound on how late a
+        replay may come. The events commit is the last step.
         """
         if self.events.has(batch_id):
             return
-        before = F.col("batch_id") < int(batch_id)
-        head = self.events.head()
-        # Only the ids are read from earlier batches.
-        known = self.events.read().where(before).select("event_id")
-        outcome = ingest_events(events, known)
+        earlier = self.events.commits().where(F.col("batch_id") < int(batch_id))
+        head, batches = earlier.agg(F.coalesce(F.max("head"), F.lit(0)), F.count(F.lit(1))).first()
+        # The index reads only what may hold an id of this batch.
+        known = self.index.known(events.select("event_id").where("event_id is not null").distinct(), batches)
+        outcome = ingest_events(events, checkpointed(known))
         numbered = dense_sequence(outcome.accepted, "arrival", "_n", head, self.block)
         numbered = numbered.withColumn("arrival", F.col("_n")).drop("_n")
         prior = self._label_state(batch_id)
@@ -88,6 +93,7 @@ class EventSink:
             f"{self.events.path}/data/batch_id={int(batch_id)}"
         )
         newest = written.select("label_key", F.col("push_nanos").alias("last")).unionByName(prior)
+        self.index.write(written.select("event_id"), batches)
         self.labels.write(
             newest.groupBy("label_key").agg(F.max("last").alias("last")), batch_id
         )
@@ -100,6 +106,7 @@ class EventSink:
         self.rejected.write(refused.unionByName(quarantined), batch_id)
         self.rejected.commit(batch_id)
         self.events.commit(batch_id, head)
+        self.index.tidy(batches + 1)
 
 
 def line_stream(
