@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -83,6 +85,48 @@ def canonical_json(text: Column) -> Column:
     return F.coalesce(native, _canonical_documents(F.when(hard, text)))
 
 
+#: A number that may be written in another way than a 64-bit number is: a fraction, an exponent, or
+#: more digits than such a number holds.
+_OTHER_SPELLING = r"(?:\A|[:,\[])\s*-?(?:[0-9]+[.eE]|[0-9]{16})"
+_STRING_OR_NUMBER = re.compile(r'"(?:[^"\\]|\\.)*"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?', re.S)
+
+
+def shortest_number(text: str) -> str:
+    """A JSON number as the shortest text of its 64-bit value: plain from 1e-6 up to 1e21, else with
+    an exponent without leading zeros. One beyond that range keeps its text."""
+    value = float(text)
+    if math.isinf(value):
+        return text
+    if value == 0:
+        return "-0" if text.startswith("-") else "0"
+    exact = Decimal(repr(value)).normalize()
+    if 1e-6 <= abs(value) < 1e21:
+        return format(exact, "f")
+    sign, digits, _ = exact.as_tuple()
+    exponent = exact.adjusted()
+    first, rest = str(digits[0]), "".join(map(str, digits[1:]))
+    return f"{'-' if sign else ''}{first}{'.' + rest if rest else ''}e{'+' if exponent > 0 else ''}{exponent}"
+
+
+def _respelled(text: str) -> str:
+    return _STRING_OR_NUMBER.sub(
+        lambda m: m[0] if m[0][0] == '"' else shortest_number(m[0]), text)
+
+
+@pandas_udf(StringType())
+def _respelled_documents(texts: pd.Series) -> pd.Series:
+    return texts.map(_respelled, na_action="ignore")
+
+
+def shortest_numbers(text: Column) -> Column:
+    """JSON text with all its numbers as ``shortest_number``; the rest stays as it is.
+
+    Only texts with another spelling go through Arrow.
+    """
+    other = F.coalesce(text.rlike(_OTHER_SPELLING), F.lit(False))
+    return F.coalesce(_respelled_documents(F.when(other, text)), text)
+
+
 def _event_fields(body: str | None) -> list[str | None] | None:
     if body is None:
         return None

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallylog.functions.identity import record_digest
 from tallylog.functions.text import is_digest, is_safe_id, json_document, present
+from tallylog.operators.multiset import as_text, combined, fingerprint
 from tallylog.operators.scan import broken_links, covered_prefix, sequence_gaps
 from tallylog.plans.changes import change_log_violations
 from tallylog.plans.export import digest_tree, unique_digests
 from tallylog.plans.lifecycle import ABORTED, COMPLETED, PENDING, cache_bytes, seal
 from tallylog.schema import MAX_RANGE_RECEIPTS, MAX_RECEIPT_ID_BYTES
+from tallylog.sources.tables import BatchTable
 
 
 @dataclass(frozen=True)
@@ -219,20 +221,59 @@ def audit_store(
 
 def audit_snapshot(
     store: StoreState, expected_store_id: str, expected_head: int, receipts: DataFrame,
-    bindings: DataFrame, environments: list[str], **tables: DataFrame,
+    bindings: DataFrame, environments: list[str], expected_fingerprint: str | None = None,
+    **tables: DataFrame,
 ) -> DataFrame:
-    """Audit of a copied store, with its identity and frontier."""
+    """Audit of a copied store, with its identity, frontier and the fingerprint of all bindings.
+
+    ``expected_fingerprint`` is the text that the source kept, see ``FingerprintLog``.
+    """
     found = []
     if store.store_id != expected_store_id:
         found.append(("identity", store.store_id))
     if store.head != expected_head:
         found.append(("head", str(store.head)))
     own = receipts.sparkSession.createDataFrame(found, "rule string, detail string")
+    if expected_fingerprint is not None:
+        ours = fingerprint(bindings, list(FINGERPRINTED)).select(as_text().alias("f"))
+        own = own.unionByName(
+            _rule(ours.where(F.col("f") != expected_fingerprint), "fingerprint", F.col("f")))
     return own.unionByName(audit_store(store, receipts, bindings, environments, **tables))
 
 
 # --- fingerprints ----------------------------------------------------------------------------
 
+#: Columns of a binding that a copy must repeat.
+FINGERPRINTED = ("sequence", "event_id", "content_sha256", "record_sha256")
+
+
+@dataclass(frozen=True)
+class FingerprintLog:
+    """Fingerprints of the batches of a committed table, each computed once from that batch alone."""
+
+    table: BatchTable
+    path: str
+    columns: tuple[str, ...] = FINGERPRINTED
+
+    @property
+    def _kept(self) -> BatchTable:
+        words = ", ".join(f"w{i} decimal(38,0)" for i in range(8))
+        return BatchTable(self.table.spark, self.path, f"n bigint, {words}")
+
+    def record(self, batch_id: int) -> None:
+        """Keep the fingerprint of a committed batch; again, it changes nothing."""
+        if self._kept.has(batch_id):
+            return
+        rows = self.table.read().where(F.col("batch_id") == int(batch_id))
+        self._kept.write(fingerprint(rows, list(self.columns)).coalesce(1), batch_id)
+        self._kept.commit(batch_id)
+
+    def total(self) -> DataFrame:
+        """One row: n, the words and ``fingerprint`` as text, over all recorded batches."""
+        return combined(self._kept.read()).withColumn("fingerprint", as_text())
+
+
+
 def bindings_fingerprint(bindings: DataFrame) -> DataFrame:
     """One row ``root_sha256`` over all bindings in sequence order, as a digest tree."""
     document = json_document(

@@ -401,6 +401,116 @@ def manifest_violations(manifests: DataFrame, parts: DataFrame) -> DataFrame:
     return out
 
 
+class CaptureError(RuntimeError):
+    """A capture holds receipts that must not be exported."""
+
+
+@dataclass(frozen=True)
+class SetIdentity:
+    """What a capture's manifest says beside its rows. Times are UTC texts."""
+
+    set_id: str
+    environment: str
+    stack: str
+    store_id: str
+    encryption_key_id: str
+    created_at: str
+    source_environments: tuple[str, ...]
+    recipient_fingerprints: tuple[str, ...]
+
+
+#: Columns of a set's parts.
+PART_COLUMNS = (
+    "set_id", "name", "kind", "ordinal", "byte_offset", "plain_bytes", "sealed_bytes",
+    "plain_sha256", "sealed_sha256",
+)
+
+
+def part_digests(lines: DataFrame, order: str = "sequence") -> DataFrame:
+    """(part, plain_sha256) of lines (part, ``order``, line): the digest of the digests of blocks of
+    at most 1000 consecutive lines. So no task holds a part, and a changed, lost or moved line shows.
+    """
+    leaves = lines.select(
+        "part", F.expr(f"`{order}` div {DIGEST_BLOCK}").alias("b"), F.col(order).alias("n"),
+        F.sha2("line", 256).alias("d"))
+    level = unique_digests(leaves, "part", "b", "n")
+    for keys, number in ((["part", "b"], "n"), (["part"], "b")):
+        refs = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), "d")))
+        level = level.groupBy(*keys).agg(refs.alias("refs")).select(*keys, F.sha2(
+            F.array_join(F.transform("refs", lambda r: r["d"]), ""), 256).alias("d"))
+    return level.withColumnRenamed("d", "plain_sha256")
+
+
+def _named_parts(parts: DataFrame, digests: DataFrame, set_id: str, kind: str) -> DataFrame:
+    name = F.concat(F.lit(f"{kind}-"), F.lpad(F.col("ordinal").cast("string"), 6, "0"))
+    return parts.join(digests.withColumnRenamed("part", "ordinal"), "ordinal").select(
+        F.lit(set_id).alias("set_id"), name.alias("name"), F.lit(kind).alias("kind"), "ordinal",
+        "byte_offset", "plain_bytes", "plain_sha256",
+    )
+
+
+def snapshot_lines(bindings: DataFrame) -> DataFrame:
+    """(sequence, line): the bindings of a store as the text lines of its snapshot."""
+    return bindings.select("sequence", json_document({
+        "sequence": F.col("sequence").cast("string"), "event_id": F.col("event_id"),
+        "content_sha256": F.col("content_sha256"), "record_sha256": F.col("record_sha256"),
+    }).alias("line"))
+
+
+def capture_manifest(
+    capture: Capture, bindings: DataFrame, identity: SetIdentity, sealed: DataFrame | None = None,
+    part_bytes: int = MAX_PART_BYTES, block: int = BLOCK,
+) -> tuple[DataFrame, DataFrame]:
+    """(one manifest row, its parts) of a capture and the snapshot of the store's bindings.
+
+    ``sealed`` (name, sealed_bytes, sealed_sha256) are the parts as an outer step sealed them; without
+    it they count as they are. The manifest's digest is that of its own values, parts included.
+    Receipts that must stop a capture raise ``CaptureError``.
+    """
+    rejected, records = capture.totals.select("rejected", "record_count").first()
+    if rejected:
+        raise CaptureError(f"{rejected} of {records} receipts must not be exported")
+    lines = checkpointed(snapshot_lines(bindings).withColumn(
+        "bytes", (F.octet_length("line") + 1).cast("bigint")))
+    packed = checkpointed(pack_greedy(lines, "sequence", "bytes", part_bytes, block=block))
+    placed = in_ranges(
+        lines.select("sequence", "line"), "sequence",
+        packed.select("from_sequence", "through_sequence", F.col("ordinal").alias("part")),
+        "from_sequence", "through_sequence", cell=1 << 10)
+    parts = _named_parts(packed, part_digests(placed), identity.set_id, "snapshot").unionByName(
+        _named_parts(capture.parts, part_digests(capture.lines), identity.set_id, "events"))
+    if sealed is None:
+        parts = parts.withColumns(
+            {"sealed_bytes": F.col("plain_bytes"), "sealed_sha256": F.col("plain_sha256")})
+    else:
+        parts = parts.join(sealed.select("name", "sealed_bytes", "sealed_sha256"), "name", "left")
+    # At most ``MAX_SET_PARTS`` rows.
+    parts = checkpointed(parts.select(*PART_COLUMNS))
+    listed = F.array_sort(F.collect_list(F.struct("kind", "ordinal", "name", "plain_sha256", "sealed_sha256")))
+    of_parts = parts.agg(
+        F.sum(F.when(F.col("kind") == "snapshot", F.col("plain_bytes"))).alias("snapshot_bytes"),
+        listed.alias("_parts"))
+    empty = F.col("record_count") == 0
+    texts = {k: F.lit(getattr(identity, k)) for k in (
+        "set_id", "environment", "stack", "store_id", "encryption_key_id")}
+    roots = digest_tree(capture.ranges, "range_no", "bindings_sha256").select(
+        F.coalesce("root_sha256", F.sha2(F.lit(""), 256)).alias("bindings_sha256"))
+    snapshot = F.filter("_parts", lambda p: p["kind"] == "snapshot")
+    row = capture.totals.crossJoin(of_parts).crossJoin(roots).select(  # one row each
+        F.lit(1).alias("version"), *[v.alias(k) for k, v in texts.items()],
+        F.lit(identity.created_at).cast("timestamp_ntz").alias("created_at"),
+        F.array(*map(F.lit, identity.source_environments)).alias("source_environments"),
+        F.array(*map(F.lit, identity.recipient_fingerprints)).alias("recipient_fingerprints"),
+        F.when(empty, F.lit(0)).otherwise(F.lit(capture.from_sequence)).cast("bigint").alias("from_sequence"),
+        F.when(empty, F.lit(0)).otherwise(F.lit(capture.through_sequence)).cast("bigint").alias("through_sequence"),
+        "record_count", "high_water", "max_received_at", "bindings_sha256", "snapshot_bytes",
+        F.sha2(F.array_join(F.transform(snapshot, lambda p: p["plain_sha256"]), ""), 256).alias("snapshot_sha256"),
+        "_parts",
+    )
+    whole = F.sha2(F.to_json(F.struct(*row.columns)), 256)
+    return checkpointed(row.withColumn("manifest_sha256", whole).drop("_parts")), parts
+
+
 # --- reconciliation --------------------------------------------------------------------------
 
 def reconcile_exports(

@@ -162,6 +162,45 @@ def eligible_receipts(
     ))
 
 
+def _furthest(points: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(point, set_id, reach): the set that reaches furthest from each point that lies in one; of
+    several the smallest id."""
+    sets = in_ranges(
+        points.select("point"), "point", catalog.select("set_id", "from_sequence", "through_sequence"),
+        "from_sequence", "through_sequence",
+    )
+    best = F.min(F.struct((-F.col("through_sequence")).alias("less"), "set_id")).alias("best")
+    return sets.groupBy("point").agg(best).select(
+        "point", F.col("best.set_id").alias("set_id"), (-F.col("best.less")).alias("reach"))
+
+
+def cover_chain(catalog: DataFrame, first: int, last: int) -> DataFrame:
+    """(point, set_id, reach): the sets that cover first..last by the fewest stretches.
+
+    From ``first`` on, each stretch is the set that reaches furthest from where the one before ended.
+    Every end of a set has such a successor, which is one range look-up; the stretches on the way
+    from ``first`` are then found by doubling: each round adds what the stretches found so far reach
+    by jumps twice as long. So the rounds are the logarithm of the number of stretches.
+    """
+    spark = catalog.sparkSession
+    start = spark.createDataFrame([(int(first),)], "point bigint")
+    ends = catalog.select((F.col("through_sequence") + 1).alias("point")).where(
+        F.col("point").between(first + 1, last))
+    best = checkpointed(_furthest(start.unionByName(ends).distinct(), catalog))
+    jumps = best.select("point", (F.col("reach") + 1).alias("next"))
+    found, known = checkpointed(start), 1
+    while True:
+        reached = found.join(jumps, "point").select(F.col("next").alias("point"))
+        found = checkpointed(found.unionByName(reached).distinct())
+        count = found.count()
+        if count == known:
+            break
+        known = count
+        further = jumps.select(F.col("point").alias("next"), F.col("next").alias("_next"))
+        jumps = checkpointed(jumps.join(further, "next").select("point", F.col("_next").alias("next")))
+    return best.join(found, "point", "left_semi")
+
+
 def plan_retirement(
     eligible: DataFrame, catalog: DataFrame, floor: int, head: int,
     chunk: int = MAX_RANGE_RECEIPTS,
@@ -170,38 +209,22 @@ def plan_retirement(
     inside one verified set.
 
     The eligible prefix ends before the first receipt that is not eligible or not there, which is
-    a plain aggregate. The prefix is cut into chunks; the set of a chunk is the verified one that
-    reaches furthest from its start, then the smallest id. A chunk that its set does not reach to
-    the end of is cut there and is the last of the plan: the next range would start off the grid,
-    at the new floor + 1, and belongs to the next plan.
+    a plain aggregate. It is covered by a chain of sets, each reaching furthest from where the one
+    before ended, and each stretch is cut into ranges. The plan covers the whole prefix, however the
+    sets overlap.
     """
     if not 1 <= chunk <= MAX_RANGE_RECEIPTS:
         raise ValueError(f"a range has 1 to {MAX_RANGE_RECEIPTS} receipts")
     live = eligible.where((F.col("sequence") > floor) & (F.col("sequence") <= head))
     last = eligible_prefix(live, floor, head).scalar()
-    chunks = (
-        live.where(F.col("sequence") <= last)
-        .groupBy(F.expr(f"(sequence - {floor} - 1) div {chunk}").alias("n"))
-        .agg(F.min("sequence").alias("low"), F.max("sequence").alias("high"))
-    )
-    sets = in_ranges(
-        chunks, "low", catalog.select("set_id", "from_sequence", "through_sequence"),
-        "from_sequence", "through_sequence",
-    )
-    # One row a thousand receipts, written since the first cut is looked up in it.
-    best = checkpointed(sets.groupBy("n", "low", "high").agg(
-        F.min_by(
-            F.struct("set_id", "through_sequence"),
-            F.struct((-F.col("through_sequence")).alias("reach"), F.col("set_id")),
-        ).alias("best")
-    ))
-    cut = best.where(F.col("high") > F.col("best.through_sequence"))
-    first_cut = cut.agg(F.coalesce(F.min("n"), F.lit(MAX_LONG))).scalar()
-    return best.where(F.col("n") <= first_cut).select(
-        F.col("low").alias("from_sequence"),
-        F.least("high", "best.through_sequence").alias("through_sequence"),
-        F.col("best.set_id").alias("set_id"),
-        (F.col("high") <= F.col("best.through_sequence")).alias("whole_chunk"),
+    chain = cover_chain(catalog, floor + 1, last).where(F.col("point") <= last)
+    end = F.least(F.col("reach"), F.lit(last))
+    return chain.select(
+        F.explode(F.sequence("point", end, F.lit(int(chunk)).cast("bigint"))).alias("from_sequence"),
+        end.alias("_end"), "set_id",
+    ).select(
+        "from_sequence",
+        F.least(F.col("from_sequence") + (chunk - 1), "_end").alias("through_sequence"), "set_id",
     )
 
 

@@ -205,6 +205,26 @@ def journal_events(spark, folder):
     )
 
 
+@query(
+    "journal_numbers",
+    """select event_id, '{"big":1.2345678901234568e+40,"cents":'||event_id*100||',"deep":[0.5,{"x":-3}],"half":'||event_id||'.5,"tiny":1e-7,"word":"1e2, 2.0"}' as fields from events""",
+)
+def journal_numbers(spark, folder):
+    """Extra fields whose numbers are written in other ways than a 64-bit number is written."""
+    e = spread(base(spark, folder, "events")).select("event_id", "ts")
+    number = F.col("event_id").cast("string")
+    message = F.concat(
+        F.lit('{"msg":"m","half":'), number, F.lit('.50,"cents":'), number, F.lit('e2,"big":'),
+        F.lit("12345678901234567890123456789012345678901"), F.lit(',"tiny":0.00000010,"deep":'),
+        F.lit('[5e-1,{"x":-3.0}],"word":"1e2, 2.0"}'))
+    line = F.to_json(F.struct(
+        F.concat(F.lit("s="), number).alias("__CURSOR"), F.lit("b").alias("_BOOT_ID"),
+        F.lit("h").alias("_HOSTNAME"), F.lit("u").alias("_SYSTEMD_UNIT"), message.alias("MESSAGE"),
+        F.lit("1780297323000000").alias("__REALTIME_TIMESTAMP")))
+    parsed = parse_journal(e.select(line.alias("line"), F.col("event_id").alias("arrival")))
+    return parsed.select(F.col("arrival").alias("event_id"), "fields")
+
+
 @query(
     "initial_window",
     """select event_id, ts from events where ts>=timestamp '2024-01-20 10:45:00'""",
@@ -220,10 +240,12 @@ def initial_window_query(spark, folder):
 with lines as (select doc_id, unnest(string_split(text, chr(10))) as raw,
    unnest(range(len(string_split(text, chr(10))))) as n from documents),
 msgs as (select doc_id, n, regexp_replace(raw,'^[\\s\\x{{85}}\\pZ]+|[\\s\\x{{85}}\\pZ]+$','','g') as m from lines),
-safe as (select doc_id, n, case when regexp_matches(lower(m),'{_MARKERS}') then '[REDACTED]' else m end as m from msgs where m<>''),
-timed as (select *, '2024-01-01T00:00:'||lpad(cast(n%60 as varchar),2,'0')||'.'||lpad(cast(doc_id%1000 as varchar),3,'0')||'000456Z' as t from safe)
+stamped as (select *, m='' as blank, '2024-01-01T00:00:'||lpad(cast(n%60 as varchar),2,'0')||'.'||lpad(cast(doc_id%1000 as varchar),3,'0')||'000456Z' as stamp from msgs),
+timed as (select doc_id, n, blank, case when blank then '1970-01-01T00:00:00Z#'||(doc_id*100000+n) else stamp end as t,
+  case when blank then stamp when regexp_matches(lower(m),'{_MARKERS}') then '[REDACTED]' else m end as m from stamped)
 select doc_id*100000+n as arrival, 'docker-log-'||left(sha256('gateway'||chr(0)||t||chr(0)||m),24) as event_id,
- make_timestamp(2024,1,1,0,0,cast(n%60 as double)) + to_milliseconds(doc_id%1000) as ts, cast(456 as smallint) as ts_sub,
+ case when blank then timestamp '1970-01-01 00:00:00' else make_timestamp(2024,1,1,0,0,cast(n%60 as double)) + to_milliseconds(doc_id%1000) end as ts,
+ cast(case when blank then 0 else 456 end as smallint) as ts_sub, cast(null as varchar) as reject_reason,
  case when contains(lower(m),'[error]') or contains(lower(m),' error') then 'error'
   when contains(lower(m),'[warning]') or contains(lower(m),' warning') then 'warn'
   when contains(lower(m),'[debug]') or contains(lower(m),' debug') then 'debug' else 'info' end as level,
@@ -232,7 +254,8 @@ select doc_id*100000+n as arrival, 'docker-log-'||left(sha256('gateway'||chr(0)|
 from timed""",
 )
 def container_events(spark, folder):
-    """Every line of every document as a container log line."""
+    """Every line of every document as a container log line. A blank one is a time alone, which cannot
+    be split: it is the message of a line without a time."""
     docs = spread(base(spark, folder, "documents")).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw")
     )
@@ -240,13 +263,13 @@ def container_events(spark, folder):
         F.lit("2024-01-01T00:00:"), F.lpad((F.col("n") % 60).cast("string"), 2, "0"), F.lit("."),
         F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit("000456Z"),
     )
-    lines = docs.where(F.col("raw").rlike(r"[^\s\x85\p{Z}]")).select(
+    lines = docs.select(
         (F.col("doc_id") * 100000 + F.col("n")).alias("arrival"),
         F.concat(stamp, F.lit(" "), "raw").alias("line"),
     )
     parsed = parse_container(lines, ContainerConfig("gateway", env="prod", version="1", host="h"))
-    return parsed.where(F.col("reject_reason").isNull()).select(
-        "arrival", "event_id", "ts", "ts_sub", "level", "msg", "service",
+    return parsed.select(
+        "arrival", "event_id", "ts", "ts_sub", "level", "msg", "service", "reject_reason",
         F.from_json("fields", "log_line string")["log_line"].alias("log_line"),
     )
 

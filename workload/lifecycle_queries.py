@@ -111,32 +111,30 @@ def retirement_legacy(spark, folder):
     return eligible_receipts(rows, bindings, whole, NOW, "2024-01-20 00:00:00")
 
 
-# The reference rule walks: a range starts at the floor + 1, is in the verified set that reaches
-# furthest from there and has at most ``CHUNK`` receipts. The plan ends with the first range that its
-# set cuts short. The sets overlap by 100, so a chunk of 130 gives several ranges and then a cut.
-CHUNK = 130
+# The rule walks: a stretch starts at the floor + 1, is in the verified set that reaches furthest from
+# there, and the next one starts where it ends; stretches are cut into ranges of at most 1000.
 _PLANNED = f"""{_ELIGIBLE},
 walk as (
- select 1 as step, floor+1 as f, cast(null as bigint) as t, cast(null as varchar) as set_id, true as whole from b
+ select 0 as step, cast(null as bigint) as f, b.floor as t, cast(null as varchar) as set_id from b
  union all
- select step+1, pick.f, pick.t, pick.set_id, pick.whole from (
-  select w.step, coalesce(w.t+1, w.f) as f, least(coalesce(w.t+1, w.f)+{CHUNK - 1}, p.last, c.through_sequence) as t, c.set_id,
-   c.through_sequence>=least(coalesce(w.t+1, w.f)+{CHUNK - 1}, p.last) as whole,
+ select pick.step, pick.f, pick.t, pick.set_id from (
+  select w.step+1 as step, w.t+1 as f, least(p.last, c.through_sequence) as t, c.set_id,
    row_number() over (partition by w.step order by c.through_sequence desc, c.set_id) as place
   from walk w, p, catalog c
-  where w.whole and coalesce(w.t+1, w.f)<=p.last and c.status='verified' and coalesce(w.t+1, w.f) between c.from_sequence and c.through_sequence) pick
+  where w.t<p.last and c.status='verified' and w.t+1 between c.from_sequence and c.through_sequence) pick
  where pick.place=1),
-planned as (select f, t, set_id, whole from walk where t is not null)"""
+planned as (select s as f, least(s+999, t) as t, set_id from (
+ select unnest(generate_series(f, t, 1000)) as s, t, set_id from walk where f is not null) stretch)"""
 
 
 @query(
     "retirement_plan",
-    f"with recursive {_PLANNED} select f as from_sequence, t as through_sequence, set_id, whole as whole_chunk from planned",
+    f"with recursive {_PLANNED} select f as from_sequence, t as through_sequence, set_id from planned",
     ("receipts", "catalog"),
 )
 def retirement_plan(spark, folder):
     rows, bindings, sets, floor, head = retirement_input(spark, folder)
-    return plan_retirement(eligible_receipts(rows, bindings, sets, NOW), sets, floor, head, CHUNK)
+    return plan_retirement(eligible_receipts(rows, bindings, sets, NOW), sets, floor, head)
 
 
 def pending_plans(plans: DataFrame) -> DataFrame:
@@ -162,7 +160,7 @@ ran as (select * from linked where f<coalesce((select min(f) from linked where n
 def applied(spark: SparkSession, folder: str):
     rows, bindings, sets, floor, head = retirement_input(spark, folder)
     eligible = eligible_receipts(rows, bindings, sets, NOW)
-    pending = pending_plans(plan_retirement(eligible, sets, floor, head, CHUNK))
+    pending = pending_plans(plan_retirement(eligible, sets, floor, head))
     authority = pending.withColumn("status", F.lit("ACTIVE"))
     return retire(rows, pending, authority, eligible, floor, "prod", STORE, NOW)
 
@@ -326,15 +324,14 @@ def cache_bytes_query(spark, folder):
 @query(
     "protection_status",
     """with t as (select max(verified_at) as last_verified, max(high_water) as protected_high_water, max(created_at) as last_protected_at from catalog
-  where status='verified' and through_sequence<(select max(sequence)*3//4 from receipts))
+  where status='verified')
 select (select max(sequence) from receipts) as high_water, cast(0 as bigint) as retired_through, last_verified, last_protected_at, protected_high_water,
  (select received_at from receipts where sequence=protected_high_water+1) as earliest_unprotected_at, true as protection_overdue from t""",
     ("receipts", "catalog"),
 )
 def protection_status_query(spark, folder):
     head = head_of(spark, folder)
-    sets = verified(spark, folder).where(F.col("through_sequence") < head * 3 // 4)
-    return protection_status(sets, receipts(spark, folder), head, 0, NOW)
+    return protection_status(verified(spark, folder), receipts(spark, folder), head, 0, NOW)
 
 
 @query(

@@ -9,21 +9,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallylog.operators.packing import pack_greedy
 from tallylog.operators.ranges import in_ranges
 from tallylog.operators.query import EventQuery
-from tallylog.plans.changes import compact_table
-from tallylog.plans.export import capture_export, export_line, read_exports, write_exports
+from tallylog.plans.audit import FingerprintLog, StoreState, audit_snapshot
+from tallylog.plans.changes import (
+    compact_online, compact_table, current_snapshot, publish_snapshot, read_change_log, snapshot_table,
+)
+from tallylog.plans.export import (
+    SetIdentity, audit_exports, capture_export, capture_manifest, export_line, manifest_violations,
+    read_exports, write_exports,
+)
 from tallylog.plans.ingest import ingest_events
+from tallylog.plans.lifecycle import promote_catalog
 from tallylog.plans.receipts import commit_receipts
 from tallylog.schema import USAGE_MARKER, conform_events
 from tallylog.session import checkpointed, shared_folder
 from tallylog.sources.events import read_events, scan_events, write_events
 from tallylog.sources.journal import JournalConfig, parse_journal
 from tallylog.sources.receipts import receipt_table, scan_receipts
+from tallylog.sources.tables import BatchTable
+from tallylog.streaming.consume import (
+    Consumer, PageCursors, commit_stream, consume, hot_and_cached_range, next_page, table_range,
+)
 from tallylog.streaming.forward import (
     EventSink, batch_stream, collect_receipts, drain, forward_batches, forward_lines, line_stream,
 )
 from workload.event_queries import _EVENT_OUT, _event_sql, ingest_bodies, journal_lines, log_events
 
-from workload.receipt_queries import _RECEIPT_CTE, receipts
+from workload.receipt_queries import _RECEIPT_CTE, head_of, receipts, split_store
 from workload.registry import query
 from workload.tables import derived
 
@@ -202,14 +213,14 @@ select sequence, event_id from fresh""",
     ("receipt_events",),
 )
 def stream_receipts(spark, folder):
-    """Usage events collected by a stream from two files that both begin at arrival 0."""
+    """Usage events collected by a stream from two folders that both begin at arrival 0."""
     path = fresh_folder(spark, "usage")
     events = checkpointed(conform_events(derived(spark, folder, "receipt_events")))
     middle = events.agg(F.floor(F.avg("arrival")) + 1).scalar()
     first = events.where(F.col("arrival") < middle)
     second = events.where(F.col("arrival") >= middle).withColumn("arrival", F.col("arrival") - middle)
-    first.coalesce(1).write.parquet(f"{path}/in/a")
-    second.coalesce(1).write.parquet(f"{path}/in/b")
+    first.write.parquet(f"{path}/in/a")
+    second.write.parquet(f"{path}/in/b")
     schema = spark.read.parquet(f"{path}/in/a").schema
     source = spark.readStream.schema(schema).parquet(f"{path}/in/*").select(
         "*", F.col("_metadata.file_path").alias("path"))
@@ -219,3 +230,223 @@ def stream_receipts(spark, folder):
         )
     )
     return scan_receipts(receipt_table(spark, f"{path}/table")).select("sequence", "event_id")
+
+
+class Stopped(Exception):
+    """Stands for a consumer that dies."""
+
+
+@query(
+    "cursor_walk",
+    """with n as (select max(sequence) as head from receipts)
+select sequence, event_id, case when sequence <= head // 3 then head // 3 when sequence <= 2 * (head // 3) then 2 * (head // 3) else head end as horizon, 1 as times
+from receipts, n""",
+    ("receipts",),
+)
+def cursor_walk(spark, folder):
+    """A consumer that dies in its second horizon, resumes from its stored cursor, and meets the
+    receipts that were committed meanwhile, older ones by their own time, in a later horizon."""
+    path = fresh_folder(spark, "cursor")
+    rows = receipts(spark, folder).withColumn("is_legacy", F.lit(False))
+    table = receipt_table(spark, f"{path}/receipts")
+    head = head_of(spark, folder)
+    bounds = [0, head // 3, 2 * (head // 3), head]
+    columns = [c.split()[0] for c in table.schema.split(", ")]
+
+    def add(number: int) -> None:
+        low, high = bounds[number], bounds[number + 1]
+        part = rows.where((F.col("sequence") > low) & (F.col("sequence") <= high))
+        table.write(part.select(*columns), number)
+        table.commit(number, high)
+
+    delivered = BatchTable(spark, f"{path}/delivered", "sequence bigint, event_id string, horizon bigint")
+    seen = []
+
+    def narrow(part):
+        seen.append(part)
+        if len(seen) == 2:
+            raise Stopped("after the second horizon was read")
+        return part.select("sequence", "event_id")
+
+    consumer = Consumer(table_range(table), delivered, narrow)
+
+    def run() -> None:
+        # One commit a micro-batch, so each is a horizon of its own.
+        drain(consume(commit_stream(spark, table, 1), consumer, f"{path}/checkpoint"))
+
+    add(0)
+    add(1)
+    try:
+        run()
+    except Exception as error:  # the stream wraps what its handler raised
+        if "Stopped" not in str(error) or consumer.position() != bounds[1]:
+            raise
+    add(2)
+    run()
+    counts = delivered.read().groupBy("sequence", "event_id", "horizon").agg(
+        F.count(F.lit(1)).cast("int").alias("times"))
+    return counts
+
+
+@query(
+    "cursor_pages",
+    """select sequence, event_id, octet_length(encode(body)) as bytes, case when sequence % 2 = 0 then 'cached' else 'hot' end as state from receipts where sequence <= 2500""",
+    ("receipts",),
+)
+def cursor_pages(spark, folder):
+    """Pages over live and cached bodies at a stored cursor: read, lost, read again, acknowledged."""
+    bindings = checkpointed(receipts(spark, folder))
+    head = head_of(spark, folder)
+    bodies = bindings.select("sequence", "body")
+    even = F.col("sequence") % 2 == 0
+    read = hot_and_cached_range(bindings, bodies.where(~even), bodies.where(even), head)
+    cursors = PageCursors(spark, fresh_folder(spark, "cursors"))
+    cursors.save("other", "kept")
+    store, pages = "ab" * 16, []
+    for step in range(4):
+        page = next_page(read, store, head, cursors, "billing", 1000 if step < 3 else 500)
+        pages.append(page.rows.select("sequence", "event_id", F.octet_length("body").alias("bytes"), "state"))
+        if step != 1:  # the second page is not acknowledged, as if its reader had died
+            cursors.save("billing", page.next_cursor)
+    if cursors.load("other") != "kept":
+        raise LookupError("another consumer's cursor was changed")
+    if not pages[1].exceptAll(pages[2]).isEmpty():
+        raise LookupError("a page that was not acknowledged must come again")
+    return pages[0].unionByName(pages[2]).unionByName(pages[3])
+
+
+@query(
+    "compacted_online",
+    """with last as (select bucket, key, arg_max(value, generation) as value, arg_max(kind, generation) as kind from change_log group by 1,2)
+select bucket, key, value from last where kind='put'
+union all select bucket, key, value from snapshot where key not in (select key from last)""",
+    ("change_log", "snapshot"),
+)
+def compacted_online(spark, folder):
+    """A snapshot rewritten while its log grows: the log's later parts arrive between the rounds."""
+    path = fresh_folder(spark, "online")
+    log = derived(spark, folder, "change_log")
+    head = log.agg(F.max("generation")).first()[0]
+    end = head - 20  # the last writes come late enough to be caught up in the final round
+    bounds = [0, end // 2, 3 * end // 4, end, head]
+    sets = log.select("generation", F.array(F.struct(
+        "bucket", "key", "kind", "value", F.lit(None).cast("bigint").alias("sequence"))).alias("writes"))
+
+    def arrive(number: int) -> None:
+        if number + 1 < len(bounds):
+            low, high = bounds[number], bounds[number + 1]
+            sets.where((F.col("generation") > low) & (F.col("generation") <= high)).write.parquet(
+                f"{path}/log/part={number}")
+
+    table = snapshot_table(spark, f"{path}/snapshots")
+    arrive(0)
+    publish_snapshot(table, derived(spark, folder, "snapshot"), 0)
+    compact_online(
+        table, lambda after: read_change_log(spark, f"{path}/log/*", after),
+        between=lambda r: arrive(r + 1), max_seconds=600)
+    rows, generation = current_snapshot(table)
+    if generation != head:
+        raise LookupError(f"the snapshot ends at {generation} and not at {head}")
+    return rows
+
+
+_SUMS = "||':'||".join(f"cast(sum(cast('0x'||substr(d,{1 + 8 * i},8) as bigint)) as varchar)" for i in range(8))
+
+
+def _multiset_sql(rows: str) -> str:
+    """The fingerprint text of a table (sequence, event_id, content_sha256, record_sha256)."""
+    told = "||".join(
+        f"'V'||octet_length(encode(cast({c} as varchar)))||':'||{c}"
+        for c in ("sequence", "event_id", "content_sha256", "record_sha256"))
+    return f"(select count(*)||':'||{_SUMS} from (select sha256({told}) as d from {rows}))"
+
+
+@query(
+    "snapshot_fingerprint",
+    f"""with damaged as (select sequence, event_id, content_sha256, case when sequence = 7 then 'x' else record_sha256 end as record_sha256 from receipts)
+select 'copy' as side, '' as detail union all select 'damaged', {_multiset_sql('damaged')}
+union all select 'source', {_multiset_sql('receipts')}""",
+    ("receipts",),
+)
+def snapshot_fingerprint(spark, folder):
+    """Three committed batches whose fingerprints add up; an equal copy in another order and one with
+    a single changed digest, which only the fingerprint rule of the audit can tell."""
+    path = fresh_folder(spark, "fingerprints")
+    rows = checkpointed(receipts(spark, folder))
+    table = receipt_table(spark, f"{path}/receipts")
+    columns = [c.split()[0] for c in table.schema.split(", ")]
+    log = FingerprintLog(table, f"{path}/log")
+    for number in range(3):
+        table.write(rows.where(F.col("sequence") % 3 == number).select(*columns), number)
+        table.commit(number)
+        log.record(number)
+    total = log.total()
+    kept = total.select("fingerprint").first()[0]
+    state = StoreState("prod", "ab" * 16, head_of(spark, folder))
+
+    def found(copy: DataFrame) -> DataFrame:
+        rules = audit_snapshot(
+            state, state.store_id, state.head, copy, copy, ["env-0", "env-1"], kept)
+        return rules.where(F.col("rule") == "fingerprint")
+
+    damaged = rows.withColumn(
+        "record_sha256", F.when(F.col("sequence") == 7, "x").otherwise(F.col("record_sha256")))
+    copy = found(rows.repartition("event_id")).agg(
+        F.coalesce(F.max("detail"), F.lit("")).alias("detail"))
+    return (
+        copy.select(F.lit("copy").alias("side"), "detail")
+        .unionByName(found(damaged).select(F.lit("damaged").alias("side"), "detail"))
+        .unionByName(total.select(F.lit("source").alias("side"), F.col("fingerprint").alias("detail")))
+    )
+
+
+@query(
+    "capture_manifest",
+    """with n as (select count(*) as c from usage_text where event_type in ('click','purchase'))
+select c as record_count, cast(1 as bigint) as from_sequence, c as through_sequence, c as high_water, cast(0 as bigint) as violations,
+ 'promoted' as outcome, 'unchanged' as again, '' as findings, 'bindings_digest' as findings_bad, true as contiguous from n""",
+    ("usage_text",),
+)
+def capture_manifest_query(spark, folder):
+    """Sound receipts captured, described by a manifest, checked against its rules, promoted to the
+    catalog twice, and audited from the written export, also with a wrong digest of the bindings."""
+    path = fresh_folder(spark, "captured")
+    table = receipt_table(spark, f"{path}/receipts")
+    events = usage_receipt_events(spark, folder)
+    sound = F.col("event_id").rlike("-(click|purchase)$")
+    commit_receipts(table, events.where(sound), 0, "2024-02-01 00:00:00")
+    stored, head = scan_receipts(table), table.head()
+    capture = capture_export(stored, 0, 0, head, ["prod"], part_bytes=1 << 20)
+    identity = SetIdentity(
+        "set-1", "prod", "stack", "ab" * 16, "key-1", "2024-02-02 00:00:00", ("prod",), ("ef" * 32,))
+    manifest, parts = capture_manifest(capture, stored, identity, part_bytes=1 << 20)
+    violations = manifest_violations(manifest, parts).count()
+
+    uploaded = manifest.withColumn("status", F.lit("uploaded"))
+    verified = manifest.withColumn("verified_at", F.lit("2024-02-03 00:00:00").cast("timestamp_ntz"))
+    now = "2024-02-03 00:00:00"
+    promoted = checkpointed(promote_catalog(uploaded, verified, manifest.limit(0), now))
+    again = promote_catalog(uploaded, verified, promoted, now)
+
+    write_exports(capture.lines, f"{path}/export")
+    exports = checkpointed(read_exports(spark, f"{path}/export").drop("decode_error"))
+    told = manifest.select(
+        "from_sequence", "through_sequence", "record_count", "high_water",
+        F.col("max_received_at").cast("string").alias("max_received_at"),
+        F.col("bindings_sha256").alias("root_sha256"),
+    ).first().asDict()
+
+    def findings(**changes) -> DataFrame:
+        rules = audit_exports(exports, stored, {**told, "environments": ["prod"], **changes}, 0, 0)
+        return rules.agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("f"))
+
+    offsets = parts.groupBy("kind").agg(
+        (F.sum("plain_bytes") == F.max(F.col("byte_offset") + F.col("plain_bytes"))).alias("whole"))
+    return manifest.select(
+        "record_count", "from_sequence", "through_sequence", "high_water",
+        F.lit(violations).cast("bigint").alias("violations"),
+        promoted.select("outcome").scalar().alias("outcome"), again.select("outcome").scalar().alias("again"),
+        findings().scalar().alias("findings"),
+        findings(root_sha256="0" * 64).scalar().alias("findings_bad"),
+        offsets.agg(F.bool_and("whole")).scalar().alias("contiguous"),
+    )
