@@ -175,49 +175,128 @@ def test_sketches_merge_and_estimate_containment():
     assert fingerprints.edited_text("abcd", "XYZ") == "abXY"
 
 
+def plain_license_scan(text, known):
+    """The scan over all templates, units and windows, without any bound."""
+    words = licenses._WORDS.findall(text.lower())
+    units = [(3, i, words[i : i + t.span + 1], t) for t in known.found for i in range(len(words) - t.span)]
+    for place, cut in enumerate((b"\n", b"\n\n", None)):
+        start = 0
+        for unit in text.split(cut) if cut else [text]:
+            part = licenses._WORDS.findall(unit.lower())
+            units += [(place, start, part, t) for t in known.found]
+            start += len(part)
+    found = []
+    for place, start, part, t in units:
+        grams = set(zip(part, part[1:]))
+        dice = 2 * len(grams & t.grams) / (len(grams) + t.size) if grams else 0
+        if dice >= known.least and t.told(part):
+            found.append(licenses.Match(-dice, t.name, place, start, start + len(part)))
+    return licenses.decided(found)
+
+
 def test_license_bounds_lose_no_match():
-    known = licenses.Templates(licenses.TEMPLATES, 0.8)
+    known = licenses.Templates(licenses.merged(licenses.TEMPLATES, licenses.NOTICES), 0.8)
     for name, texts in licenses.TEMPLATES.items():
         for text in texts:
             for unit in (text, text.upper(), text + " indeed", text.rsplit(" ", 1)[0]):
-                grams = licenses.bigrams(unit.encode())
-                plain = {
-                    (n, 2 * len(grams & t) / (len(grams) + s)) for s, n, t in known.found
-                    if 2 * len(grams & t) / (len(grams) + s) >= 0.8
-                }
-                assert set(known.matches(unit.encode())) == plain
+                whole = f"some words\n{unit}\nmore of it".encode()
+                # Of the windows of one place only the best is kept, which changes no decision here.
+                assert known.scan(whole) == plain_license_scan(whole, known)
             assert name in known.scan(f"some words\n{text}\nmore".encode())[0]
     assert known.scan(None) == known.scan(b"") == known.scan(b"word") == ([], None, None, None)
 
 
+#: Notices as authors write them, none of them from the test tables, and the one right license.
+WRITTEN = [
+    ("This software is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This tool is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("Released under the GPL v2 license.", "GPL-2.0"),
+    ("It is released under the GPLv3 license, as ever.", None),
+    ("Licensed under the GNU General Public License v3.0.", "GPL-3.0"),
+    ("Licensed under the GNU Affero General Public License v3.0.", "AGPL-3.0"),
+    ("Licensed under the GNU Lesser General Public License v2.1.", "LGPL-2.1"),
+    ("Licensed under the GNU Lesser General Public License v3.0.", "LGPL-3.0"),
+    ("# This program is free software; you can redistribute it and/or modify\n# it under the terms of "
+     "the GNU General Public License\n# as published by the Free Software Foundation; either version 2\n"
+     "# of the License, or (at your option) any later version.", "GPL-2.0"),
+    ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of "
+     "the GNU General Public License as published by\n# the Free Software Foundation, either version 3 "
+     "of the License, or\n# (at your option) any later version.", "GPL-3.0"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the "
+     "GNU Affero General Public License as published by the Free Software Foundation, either version 3 "
+     "of the License, or (at your option) any later version.", "AGPL-3.0"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU "
+     "Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of "
+     "the License, or (at your option) any later version.", "LGPL-2.1"),
+    ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU "
+     "Lesser General Public License as published by the Free Software Foundation, either version 3 of "
+     "the License, or (at your option) any later version.", "LGPL-3.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "MPL-1.1"),
+    ("The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you "
+     "may not use this file except in compliance with the License.", "MPL-1.1"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+     "CC-BY-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+     "International License.", "CC-BY-NC-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "CC-BY-3.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("Text: licensed under CC BY-NC-SA 3.0.", "CC-BY-NC-SA-3.0"),
+    ("All pictures are licensed under CC BY 4.0, but for the maps.", "CC-BY-4.0"),
+    ("All pictures are licensed under CC BY-ND 2.5, but for the maps.", "CC-BY-ND-2.5"),
+    ("This project is licensed under the Apache License 2.0.", "Apache-2.0"),
+    ("This project is licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+    ("This project is licensed under the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("Copyright (c) 2019, A. Writer. All rights reserved.\n\nRedistribution and use in source and binary "
+     "forms, with or without modification, are permitted provided that the following conditions are met:\n"
+     "1. Redistributions of source code must retain the above copyright notice.", "BSD-2-Clause"),
+    ("Copyright (c) 2019, A. Writer\nAll rights reserved.\n\nRedistribution and use in source and binary "
+     "forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+     "3. Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse "
+     "or promote products derived from\nthis software without specific prior written permission.",
+     "BSD-3-Clause"),
+    ("Copyright 2024 Example Corp. All rights reserved.", "Proprietary"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+     "fee is hereby granted, provided that the above copyright notice and this permission notice appear in "
+     "all copies.", "ISC"),
+    ("The rights of all, reserved or not, under the law of the land.", None),
+    ("The commons of a village were for the general public, licensed or not, under version 2 of the map.", None),
+]
+
+
+@pytest.mark.parametrize("text, license", WRITTEN)
+def test_neighbouring_licenses_are_told_apart(text, license):
+    known = licenses.Templates(licenses.ALL, 0.8)
+    for whole in (text, f"First some words of prose.\n\n{text}\n\nMore of it, as it goes on."):
+        found = known.scan(whole.encode())
+        assert found[:2] == ([license] if license else [], license)
+        assert found == plain_license_scan(whole.encode(), known)
+
+
 def test_notices_are_found_wherever_they_stand():
     import textwrap
 
     known = licenses.Templates(licenses.ALL, 0.8)
     grant = textwrap.fill(next(t for t in licenses.NOTICES["MIT"] if "sublicense" in t), 60)
-    cases = {
-        "MIT": [
-            f"Copyright (c) 2024 A. Writer\n\n{grant}\n\nAnd more text.",
-            " * " + grant.replace("\n", "\n * "), "Licensed under the MIT License.",
-            "This project is licensed under the MIT License.",
-            "Released under the MIT License. See the file for what else there is to say on it.",
-        ],
-        "Proprietary": ["Copyright 2024 Example Corp. All rights reserved."],
-        "CC-BY-4.0": ["The photographs in this book are by the author and are, as a rule, licensed "
-                      "under CC BY 4.0, but for three that are not."],
-    }
-    for name, texts in cases.items():
-        for text in texts:
-            assert name in known.scan(text.encode())[0], text
-    assert known.scan(b"The rights of all, reserved or not, under the law of the land.")[0] == []
-    # Every window is looked at: the best one equals a plain search.
-    for name, span, template in known.spans:
-        words = licenses._WORDS.findall(("all of it is here under the " + grant + " 2 0").lower().encode())
-        grams = list(zip(words, words[1:]))
-        plain = max((
-            2 * len(part & template) / (len(part) + len(template))
-            for i in range(len(grams) - span + 1) for part in [set(grams[i : i + span])]), default=0.0)
-        assert known.window(grams, span, template) == plain
+    for text in (
+        f"Copyright (c) 2024 A. Writer\n\n{grant}\n\nAnd more text.",
+        " * " + grant.replace("\n", "\n * "), "Licensed under the MIT License.",
+        "This project is licensed under the MIT License.",
+        "Released under the MIT License. See the file for what else there is to say on it.",
+    ):
+        assert known.scan(text.encode())[0] == ["MIT"], text
+    both = known.scan(b"Licensed under CC BY 4.0.\nThe code: Released under the MIT License.")
+    assert both[0] == ["CC-BY-4.0", "MIT"]
+
+
+def test_whole_license_texts_from_files(spark, tmp_path):
+    body = " ".join(f"term{i % 90} of part{i // 7}" for i in range(400))
+    (tmp_path / "Own-1.0.txt").write_text(f"Own License version 1. {body}")
+    (tmp_path / "Own-2.0.txt").write_text(f"Own License version 2. {body}")
+    found = licenses.read_templates(spark, str(tmp_path))
+    assert sorted(found) == ["Own-1.0", "Own-2.0"]
+    known = licenses.Templates(licenses.merged(licenses.ALL, found), 0.8)
+    assert known.scan(f"About.\n\nOwn License version 2. {body}\n".encode())[0] == ["Own-2.0"]
 
 
 def test_quantizer_bounds_hold():
