@@ -36,6 +36,9 @@ from tallylog.session import checkpointed
 COSINE = 0.98
 #: Vectors that centroids and codewords are fitted on; a bound of the fit alone.
 SAMPLE = 20_000
+#: Most lists, which keep their length up to 64 million vectors of one dimension; a larger ``SAMPLE``
+#: can place more.
+LISTS = 4096
 SUBSPACES, CODEWORDS = 8, 256
 #: Index vectors of a block and query vectors of a chunk.
 BLOCK, CHUNK = 2048, 2048
@@ -44,7 +47,11 @@ SLACK = 1e-3
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmin((centres * centres).sum(1)[None, :] - 2.0 * (x @ centres.T), axis=1)
+    square = (centres * centres).sum(1)[None, :]
+    return np.concatenate([
+        np.argmin(square - 2.0 * (x[at : at + 2048] @ centres.T), axis=1)
+        for at in range(0, max(1, len(x)), 2048)
+    ])
 
 
 def _means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -68,6 +75,10 @@ class Quantizer:
 
     def __init__(self, sample: np.ndarray, lists: int):
         self.centres = _means(sample, lists)
+        # Distances of all centroids, once: as many numbers as the square of the lists.
+        square = (self.centres * self.centres).sum(1)
+        apart = square[:, None] + square[None] - 2.0 * (self.centres @ self.centres.T)
+        self.apart = np.sqrt(np.maximum(apart, 0.0))
         rest = sample - self.centres[_nearest(sample, self.centres)]
         dim = sample.shape[1]
         self.edges = np.unique(np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int))
@@ -87,8 +98,7 @@ class Quantizer:
         """Rows by lists: whether a neighbour within ``reach`` can lie in the list."""
         square = (self.centres * self.centres).sum(1)[None, :] - 2.0 * (x @ self.centres.T)
         own = square[np.arange(len(x)), near]
-        apart = np.sqrt(((self.centres[:, None] - self.centres[None]) ** 2).sum(-1))
-        return square - own[:, None] <= 2.0 * apart[near] * (reach + SLACK)
+        return square - own[:, None] <= 2.0 * self.apart[near] * (reach + SLACK)
 
     def table(self, x: np.ndarray, number: int) -> list[np.ndarray]:
         """Per subspace, the square distances of each row's residual in a list to all codewords."""
@@ -166,7 +176,7 @@ def _linked_classes(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
     if len(sample) == 0:
         sample = unit([classes.select("embedding").first()[0]])
     # Lists grow with the square root of the data, as far as the sample can place centroids.
-    words = Quantizer(sample, int(min(1024, len(sample), max(1, np.sqrt(total) / 2))))
+    words = Quantizer(sample, int(min(LISTS, len(sample), max(1, np.sqrt(total) / 2))))
 
     def assign(batches):
         for rows in batches:
