@@ -19,11 +19,11 @@ gaps, but equal conversations number their turns alike. An empty table gives no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallylog.operators.scan import running
+from tallylog.session import checkpointed
 
-#: Turns that are put together before a conversation is.
+#: Turns that are put together, and summed up, before a conversation is.
 TURN_BLOCK = 1024
 
 #: Marks of the rendered text.
@@ -61,15 +61,28 @@ def prefix_hashes(placed: DataFrame) -> DataFrame:
     by_turn = whole.groupBy("conv_id", "turn").agg(
         F.count(F.lit(1)).alias("rows"), *[F.sum(p).alias(n) for p, n in zip(parts, _PARTS)]
     )
-    sums = {"n": F.col("rows")} | {f"p{i}": F.col(h) for i, h in enumerate(_PARTS)}
-    return running(by_turn, "turn", ["conv_id"], sums=sums).select(
-        "conv_id", "turn", "n", F.struct("n", *[f"p{i}" for i in range(4)]).alias("hash")
+    # Running sums inside blocks of turn numbers, and the sums of all earlier blocks.
+    summed = ["rows", *_PARTS]
+    blocked = by_turn.withColumn("block", F.floor(F.col("turn") / TURN_BLOCK))
+    inside = Window.partitionBy("conv_id", "block").orderBy("turn").rowsBetween(
+        Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    carries = blocked.groupBy("conv_id", "block").agg(*[F.sum(c).alias(c) for c in summed]).select(
+        "conv_id", "block",
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"before_{c}") for c in summed])
+    running = blocked.select(
+        "conv_id", "turn", "block", *[F.sum(c).over(inside).alias(c) for c in summed])
+    n, *parts = [F.col(c) + F.col(f"before_{c}") for c in summed]
+    return running.join(carries, ["conv_id", "block"]).select(
+        "conv_id", "turn", n.alias("n"),
+        F.struct(n.alias("n"), *[p.alias(f"p{i}") for i, p in enumerate(parts)]).alias("hash"),
     )
 
 
 def maximal_conversations(placed: DataFrame) -> DataFrame:
     """(conv_id, n_turns, copies) of the conversations that no longer one continues."""
-    prefixes = prefix_hashes(placed)
+    prefixes = checkpointed(prefix_hashes(placed))
     full = prefixes.groupBy("conv_id").agg(
         F.max("turn").alias("last"), F.max_by("hash", "turn").alias("hash")
     )
@@ -102,7 +115,7 @@ def render(placed: DataFrame, chosen: DataFrame) -> DataFrame:
 def format_conversations(turns: DataFrame) -> DataFrame:
     """One row per conversation that stays: conv_id, n_turns, copies and text."""
     placed = placed_turns(turns)
-    chosen = maximal_conversations(placed)
+    chosen = checkpointed(maximal_conversations(placed))
     return chosen.join(render(placed, chosen), "conv_id")
 
 

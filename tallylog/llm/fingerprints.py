@@ -3,9 +3,11 @@
 The sketch of a document holds every hash of its five-word shingles that lies below a fixed
 fraction (1/``SCALE``) of the 64-bit range. The threshold is the same for all documents, so a
 sketch grows with its document, the sketch of a union is the union of the sketches, and the share of
-one sketch found in another estimates containment without bias even between a sentence and a book.
-When no hash lies below the threshold, the smallest hash is kept, so only a text without words has
-an empty sketch; the union rule still holds (hashes below the threshold, or else the smallest).
+one sketch found in another estimates containment, however unequal the two are. When no hash lies
+below the threshold, the smallest hash is kept, so only a text without words has an empty sketch; the
+union rule still holds (hashes below the threshold, or else the smallest). Such a stand-in says
+nothing about containment, which is then undefined (null): so it is for some 45 % of the texts of ten
+words, and for 1 % of those of forty.
 
 A fingerprint is the base64 text of the sorted hashes, 8 bytes each. Likeness is the estimated
 Jaccard similarity: 1 for two empty sketches, 0 when one is empty.
@@ -59,11 +61,17 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / either
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the first document's shingles that the second one has."""
+def sampled(hashes: np.ndarray, scale: int = SCALE) -> bool:
+    """Whether a sketch holds hashes below the threshold and not a stand-in."""
+    return len(hashes) > 0 and int(hashes[0]) < (1 << 64) // scale
+
+
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float | None:
+    """Estimated share of the first document's shingles that the second one has; 1 for a text without
+    words, None where the sketch is too small to tell."""
     if len(a) == 0:
         return 1.0
-    return jaccard(a, b)[0] / len(a)
+    return jaccard(a, b)[0] / len(a) if sampled(a, scale) else None
 
 
 def as_text(hashes: np.ndarray) -> str:
@@ -134,7 +142,7 @@ def _expanded(doc, n_chars, sha, own, kept, added, next_both, next_size) -> tupl
     next_likeness = next_both / (size + next_size - next_both) if size + next_size else 1.0
     return (
         doc, n_chars, sha.hex(), as_text(own), as_text(other), likeness(own, other), next_likeness,
-        containment(own, other), next_both / size if size else 1.0,
+        containment(own, other), next_both / size if sampled(own) else None if size else 1.0,
     )
 
 

@@ -165,7 +165,9 @@ def learn_profiles(docs: DataFrame, depth: int = DEPTH) -> Profiles:
     What reaches the driver is ``depth`` rows a language, and languages are few.
     """
     totals = count_grams(docs).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    # Ties in unsigned order, as in a document's ranks; flipping the sign bit makes it the signed one.
+    unsigned = F.col("gram").bitwiseXOR(F.lit(-(1 << 63)))
+    place = Window.partitionBy("lang").orderBy(F.desc("n"), unsigned)
     top = totals.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= depth)
     rows = top.select("lang", "gram", F.col("rank") - 1).collect()
     return Profiles([tuple(r) for r in rows], depth)

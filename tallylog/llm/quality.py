@@ -120,10 +120,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, config: FtrlConfig = FtrlC
     share = min(1.0, config.sample / max(1, total))
     bound = int(-(1 << 63) + share * ((1 << 64) - 1))
     chosen = marked.where(order <= min(bound, (1 << 63) - 1))
+    # Of rows that repeat an id one teaches, so the training task's rows are bounded as the labels are.
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
-        .select(order.alias("_order"), F.col("text"), F.col("_label"))
+        .groupBy("doc_id", "_label").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("_row"))
+        .select(order.alias("_order"), F.col("_row.text").alias("text"), F.col("_label"))
         .repartition(1)
     )
 
