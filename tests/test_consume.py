@@ -125,7 +125,7 @@ def test_compaction_catches_up(spark, tmp_path):
     assert reached == 212  # 12 are few enough to be the last round, and 9 never came
     base = table.read().where("batch_id = 0").drop("batch_id")
     assert as_map(rows) == as_map(apply_change_log(base, writes(spark, 1, 212)))
-    log.end = 300
+    log.end, log.growth = 300, []
     rows, reached = current_snapshot(compacted(spark, tmp_path / "s", log))
     assert reached == 300
     assert as_map(rows) == as_map(apply_change_log(base, writes(spark, 1, 300)))
