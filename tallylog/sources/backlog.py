@@ -8,9 +8,9 @@ from tallylog.functions.times import ntz
 from tallylog.operators.scan import ORDERED_BLOCK, ordered_blocks, running
 
 
-def list_backlog(spark: SparkSession, folder: str) -> DataFrame:
+def list_backlog(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """(path, size, modified) of the queued files; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     return files.select(
         "path", F.col("length").alias("size"),
         F.col("modificationTime").cast("timestamp_ntz").alias("modified"),

@@ -26,6 +26,7 @@ from tallylog.sources.idindex import IdIndex
 from tallylog.sources.journal import line_columns, lines_in_order
 from tallylog.sources.receipts import RECEIPT_SCHEMA
 from tallylog.sources.tables import BatchTable
+from tallylog.streaming.backlog import StatusTable
 
 _EVENT_TABLE = ", ".join(f"{name} {kind}" for name, kind in STORED_COLUMNS.items())
 _LABELS = "label_key string, last bigint"
@@ -150,8 +151,30 @@ def batch_stream(
     )
 
 
+@dataclass(frozen=True)
+class Tracking:
+    """Where a stream writes its status, under which name, and what time it is."""
+
+    table: StatusTable
+    stream: str
+    now: Callable[[], str]
+
+    def around(self, handle: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+        def tracked(batch: DataFrame, batch_id: int) -> None:
+            try:
+                handle(batch, batch_id)
+                count = batch.count()
+            except Exception as error:
+                self.table.failed(self.stream, error)
+                raise
+            self.table.stored(self.stream, batch_id, count, self.now())
+
+        return tracked
+
+
 def forward_lines(
-    lines: DataFrame, sink: EventSink, checkpoint: str, parse: Callable[[DataFrame], DataFrame]
+    lines: DataFrame, sink: EventSink, checkpoint: str, parse: Callable[[DataFrame], DataFrame],
+    tracking: Tracking | None = None,
 ) -> DataStreamWriter:
     """Parse log lines (``parse_journal`` or ``parse_container`` with its config) into the sink."""
 
@@ -167,11 +190,12 @@ def forward_lines(
             )
             sink.store(usable, bad, batch_id)
 
-    return lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
+    step = tracking.around(handle) if tracking else handle
+    return lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
 
 
 def forward_batches(
-    batches: DataFrame, sink: EventSink, checkpoint: str
+    batches: DataFrame, sink: EventSink, checkpoint: str, tracking: Tracking | None = None
 ) -> DataStreamWriter:
     """Replay queued batches; unreadable ones are kept whole in the quarantine."""
 
@@ -189,7 +213,8 @@ def forward_batches(
             )
             sink.store(batch_events(checked, "batch_no"), bad, batch_id)
 
-    return batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
+    step = tracking.around(handle) if tracking else handle
+    return batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
 
 
 def collect_receipts(

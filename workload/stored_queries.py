@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallylog.operators.packing import pack_greedy
 from tallylog.operators.ranges import in_ranges
+from tallylog.operators.scan import ORDERED_BLOCK, ordered_blocks, running
 from tallylog.operators.query import EventQuery
 from tallylog.plans.audit import FingerprintLog, StoreState, audit_snapshot
 from tallylog.plans.changes import (
@@ -22,6 +23,7 @@ from tallylog.plans.lifecycle import promote_catalog
 from tallylog.plans.receipts import commit_receipts
 from tallylog.schema import USAGE_MARKER, conform_events
 from tallylog.session import checkpointed, shared_folder
+from tallylog.sources.backlog import list_backlog
 from tallylog.sources.events import read_events, scan_events, write_events
 from tallylog.sources.journal import JournalConfig, parse_journal
 from tallylog.sources.receipts import receipt_table, scan_receipts
@@ -29,8 +31,9 @@ from tallylog.sources.tables import BatchTable
 from tallylog.streaming.consume import (
     Consumer, PageCursors, commit_stream, consume, hot_and_cached_range, next_page, table_range,
 )
+from tallylog.streaming.backlog import BacklogLedger, StatusTable
 from tallylog.streaming.forward import (
-    EventSink, batch_stream, collect_receipts, drain, forward_batches, forward_lines, line_stream,
+    EventSink, Tracking, batch_stream, collect_receipts, drain, forward_batches, forward_lines, line_stream,
 )
 from workload.event_queries import _EVENT_OUT, _event_sql, ingest_bodies, journal_lines, log_events
 
@@ -450,3 +453,106 @@ def capture_manifest_query(spark, folder):
         findings(root_sha256="0" * 64).scalar().alias("findings_bad"),
         offsets.agg(F.bool_and("whole")).scalar().alias("contiguous"),
     )
+
+
+QUEUED = 3000  # every queued body is padded to this size, so that SQL knows the size of a file
+_FILES = f"""b as (select distinct event_id//10 as batch_no from events), n as (select count(*) as c from b),
+f as (select batch_no*16//c as q, count(*)*{QUEUED + 1} as size from b, n group by 1),
+t as (select sum(size)//3 as cap, sum(size) as total from f),
+over as (select q, size from (select q, size, coalesce(sum(size) over (order by q rows between unbounded preceding and 1 preceding),0) as older from f), t
+ where older<total-cap)"""
+
+
+@query(
+    "stream_backlog_cap",
+    f"""with {_FILES}
+select 'dropped' as kind, 'q='||lpad(cast(q as varchar),2,'0') as name, size as bytes from over
+union all select 'event', 'e-'||event_id, 0 from events e, n where (event_id//10)%10 not in (3,5,8) and (event_id//10)*16//c not in (select q from over)""",
+)
+def stream_backlog_cap(spark, folder):
+    """A queue of three times its cap: the oldest files are dropped, recorded and never read, the rest
+    is replayed. A second trim finds nothing more."""
+    path = fresh_folder(spark, "capped")
+    bodies = ingest_bodies(spark, folder)
+    count = bodies.count()
+    queued = bodies.select(
+        F.lpad(F.expr(f"batch_no * 16 div {count}").cast("string"), 2, "0").alias("q"),
+        F.rpad("body", QUEUED, " ").alias("value"))
+    queued.repartition("q").write.partitionBy("q").text(f"{path}/in")
+    ledger = BacklogLedger(spark, f"{path}/in", f"{path}/dropped", count * (QUEUED + 1) // 3, "*.txt")
+    ledger.trim()
+    if ledger.trim():
+        raise LookupError("a queue under its cap must stay as it is")
+    sink = EventSink(spark, f"{path}/store")
+    source = batch_stream(spark, f"{path}/in/*", whole_files=False)
+    drain(forward_batches(source, sink, f"{path}/checkpoint"))
+    dropped = ledger.dropped.read().groupBy(
+        F.regexp_extract("path", "(q=[0-9]+)/", 1).alias("name")).agg(F.sum("size").alias("bytes"))
+    events = sink.events.read().select("event_id").distinct()
+    return dropped.select(F.lit("dropped").alias("kind"), "name", "bytes").unionByName(
+        events.select(F.lit("event").alias("kind"), F.col("event_id").alias("name"),
+                      F.lit(0).cast("bigint").alias("bytes")))
+
+
+@query(
+    "stream_status",
+    """select 1 as step, 'batch 0' as cursor, count(*) as uploaded, '2024-01-01 00:00:01' as uploaded_at, false as degraded, '' as error from events
+union all select 2, 'batch 0', count(*), '2024-01-01 00:00:01', true, 'the store is away' from events
+union all select 3, 'batch 1', 1, '2024-01-01 00:00:02', false, '' from (select 1)""",
+)
+def stream_status(spark, folder):
+    """The status table after a good micro-batch, after a failing one, and after its repetition."""
+    path = fresh_folder(spark, "status")
+    lines = journal_lines(spark, folder).select(F.col("line").alias("value"))
+    table, sink, times = StatusTable(spark, f"{path}/status"), EventSink(spark, f"{path}/store"), []
+
+    def now() -> str:
+        times.append(None)
+        return f"2024-01-01 00:00:0{len(times)}"
+
+    def run(broken: bool) -> None:
+        def parse(df: DataFrame) -> DataFrame:
+            if broken:
+                raise Stopped("the store is away")
+            return parse_journal(df, JournalConfig(env="staging"))
+
+        source = line_stream(spark, f"{path}/in/*")
+        drain(forward_lines(source, sink, f"{path}/checkpoint", parse, Tracking(table, "journal", now)))
+
+    def seen(step: int) -> DataFrame:
+        return checkpointed(table.read().select(
+            F.lit(step).alias("step"), "cursor", F.col("last_uploaded_count").alias("uploaded"),
+            F.col("last_upload_at").alias("uploaded_at"), "degraded", F.col("last_error").alias("error")))
+
+    lines.write.text(f"{path}/in/a")
+    run(False)
+    states = [seen(1)]
+    lines.orderBy("value").limit(1).write.text(f"{path}/in/b")
+    try:
+        run(True)
+    except Exception as error:  # the stream wraps what its handler raised
+        if "the store is away" not in str(error):
+            raise
+    states.append(seen(2))
+    run(False)
+    return states[0].unionByName(states[1]).unionByName(seen(3))
+
+
+@query(
+    "queue_listing",
+    f"""with {_FILES}
+select 'q='||lpad(cast(q as varchar),2,'0') as name, size, sum(size) over (order by q) as through from f""",
+)
+def queue_listing(spark, folder):
+    """Queued files listed by name and size alone, with the bytes up to each in replay order."""
+    path = fresh_folder(spark, "queue")
+    bodies = ingest_bodies(spark, folder)
+    count = bodies.count()
+    bodies.select(
+        F.lpad(F.expr(f"batch_no * 16 div {count}").cast("string"), 2, "0").alias("q"),
+        F.rpad("body", QUEUED, " ").alias("value"),
+    ).repartition("q").write.partitionBy("q").text(f"{path}/in")
+    files = list_backlog(spark, f"{path}/in", "*.txt")
+    placed = ordered_blocks(files, ["path"])
+    sized = running(placed, "order_no", sums={"through": F.col("size")}, block=ORDERED_BLOCK)
+    return sized.select(F.regexp_extract("path", "(q=[0-9]+)/", 1).alias("name"), "size", "through")
