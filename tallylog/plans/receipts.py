@@ -70,6 +70,8 @@ class AppendOutcome:
     receipts: DataFrame
     #: One row per event: arrival, event_id, status, error.
     results: DataFrame
+    #: Number of the new receipts, which follow the head without a gap.
+    count: int
 
 
 def append_receipts(
@@ -90,13 +92,12 @@ def append_receipts(
         F.col("event_id"), F.col("env"), F.col("stream"), F.col("source"),
         F.col("ts"), F.col("ts_sub"), F.col("_canonical"),
     )
-    digested = computed_once(
+    # Parsing and digests are the dear steps, so their rows are written once; what becomes of a row
+    # is then decided on four narrow columns.
+    digested = checkpointed(computed_once(
         checked, content_sha256=F.when(F.col("reject_reason").isNull(), digest)
-    )
-    # Everything but the bodies is decided on four narrow columns, which are written once.
-    judged = checkpointed(
-        digested.select("arrival", "event_id", "content_sha256", "reject_reason")
-    )
+    ).drop("_event"))
+    judged = digested.select("arrival", "event_id", "content_sha256", "reject_reason")
     repeated = judged.groupBy("arrival").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.isEmpty():
         raise ValueError("arrivals must be unique: equal ones would share a sequence number")
@@ -105,19 +106,19 @@ def append_receipts(
     # One row per id: the first arrival of this batch and the stored digest, if any.
     firsts = first_arrivals(narrow, first_digest=F.col("content_sha256"))
     stored = bindings.select("event_id", F.col("content_sha256").alias("stored_digest"))
-    bound = firsts.join(stored, "event_id", "left").select(
+    bound = checkpointed(firsts.join(stored, "event_id", "left").select(
         "event_id",
         F.col("arrival").alias("first_arrival"),
         F.coalesce("stored_digest", "first_digest").alias("bound_digest"),
         F.col("stored_digest").isNotNull().alias("is_stored"),
-    )
+    ))
 
     fresh = bound.where(~F.col("is_stored")).select(F.col("first_arrival").alias("arrival"))
     numbered = dense_sequence(fresh, "arrival", "sequence", head, block)
     body = receipt_body(F.col("sequence"), F.col("content_sha256"), F.col("_event"))
     # The stored event carries the redacted message; ``_event`` is rendered again from it.
     rows = computed_once(
-        digested.drop("_event").withColumn("msg", redact_text(F.col("msg"))),
+        digested.withColumn("msg", redact_text(F.col("msg"))),
         _event=event_json(F.col("_canonical")),
     )
     receipts = (
@@ -144,7 +145,11 @@ def append_receipts(
         "arrival", "event_id", F.lit(REJECTED).alias("status"),
         F.col("reject_reason").alias("error"),
     )
-    return AppendOutcome(receipts, known.unionByName(rejected))
+    return AppendOutcome(receipts, known.unionByName(rejected), fresh.count())
+
+
+#: Receipts of one file of a batch, as long as that makes no more than so many files.
+FILE_RECEIPTS, MOST_FILES = 1 << 13, 10_000
 
 
 def commit_receipts(
@@ -158,13 +163,13 @@ def commit_receipts(
     # Directories of this batch id may be left from a failed try; they are pruned, not read.
     stored = bindings_of(table.read().where(F.col("batch_id") < int(batch_id)))
     outcome = append_receipts(events, stored, head, received_at, block)
-    ordered = outcome.receipts.repartitionByRange("sequence").sortWithinPartitions("sequence")
+    # The sequences are dense, so a row's file follows from its number, without a sample.
+    size = max(FILE_RECEIPTS, -(-outcome.count // MOST_FILES))
+    files = max(1, -(-outcome.count // size))
+    number = F.expr(f"cast((sequence - {head} - 1) div {size} as int)")
+    ordered = outcome.receipts.repartitionById(files, number).sortWithinPartitions("sequence")
     table.write(ordered, batch_id)
-    written = table.spark.read.schema(RECEIPT_SCHEMA).parquet(
-        f"{table.path}/data/batch_id={int(batch_id)}"
-    )
-    top = written.agg(F.coalesce(F.max("sequence"), F.lit(head))).first()[0]
-    table.commit(batch_id, top)
+    table.commit(batch_id, head + outcome.count)
 
 
 class CursorError(ValueError):
