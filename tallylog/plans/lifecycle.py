@@ -412,6 +412,10 @@ def resolve_operations(
 
 # --- cache -----------------------------------------------------------------------------------
 
+#: Sequences of one join key of a set.
+SET_CELL = 1 << 14
+
+
 def check_rehydration(
     exports: DataFrame, catalog: DataFrame, bindings: DataFrame, floor: int,
     legacy_age_floor: str = "1970-01-01 00:00:00",
@@ -421,7 +425,8 @@ def check_rehydration(
 
     It must lie in the verified range of its set and at or below the floor, agree with its binding
     and receipt time, and follow the record before it in its set. Sets are checked in bulk; the
-    record before is found by an equi-join on (set, sequence), which no large set can skew.
+    record before is found by an equi-join on (set, sequence), and what is known of a set is repeated
+    for each cell of sequences in its range, so one set with all records is many join keys.
     """
     bound = bindings.select(
         "sequence", F.col("content_sha256").alias("_content"),
@@ -431,11 +436,15 @@ def check_rehydration(
     sets = catalog.where(F.col("status") == "verified").select(
         "set_id", F.col("from_sequence").alias("_from"), F.col("through_sequence").alias("_through")
     )
+    # A record outside of its set's range meets no cell of it, which is what not_in_set says.
+    facts = firsts.join(sets.where("_through >= _from"), "set_id").withColumn("_cell", F.explode(
+        F.expr(f"sequence(_from div {SET_CELL}, _through div {SET_CELL})")))
     before = exports.select("set_id", (F.col("sequence") + 1).alias("sequence")).distinct()
     joined = (
-        exports.join(bound, "sequence", "left")
+        exports.withColumn("_cell", F.expr(f"sequence div {SET_CELL}"))
+        .join(bound, "sequence", "left")
         .join(before.withColumn("_follows", F.lit(True)), ["set_id", "sequence"], "left")
-        .join(firsts.join(sets, "set_id", "left"), "set_id", "left")
+        .join(facts, ["set_id", "_cell"], "left")
         .withColumn(
             "_inside",
             F.when(F.col("sequence").between(F.col("_from"), F.col("_through")), F.lit(True)),
@@ -458,7 +467,7 @@ def check_rehydration(
         )
     )
     return joined.withColumn("reason", reason).drop(
-        "_content", "_record", "_time", "_inside", "_follows", "_first", "_from", "_through"
+        "_content", "_record", "_time", "_inside", "_follows", "_first", "_from", "_through", "_cell"
     )
 
 

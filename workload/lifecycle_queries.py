@@ -13,7 +13,7 @@ from tallylog.plans.changes import apply_change_log, change_log_violations
 from tallylog.plans.lifecycle import (
     backfill_bindings, backfill_progress, cache_bytes, check_rehydration, eligible_receipts,
     evict_cache, match_authority, plan_retirement, promote_catalog, protection_status,
-    resolve_operations, retire, seal,
+    rehydrate_cache, resolve_operations, retire, seal,
 )
 from tallylog.sources.backlog import backlog_over_cap, backlog_stats, replay_order
 from workload.receipt_queries import head_of, receipts, split_store
@@ -293,6 +293,33 @@ def rehydrate_check(spark, folder):
     return checked.select("set_id", "sequence", "reason")
 
 
+@query(
+    "rehydrate_cache",
+    """with b as (select max(sequence)//2 as floor from receipts)
+select sequence, length(body) as bytes, sequence%5=0 as was_cached from receipts, b where sequence<=floor""",
+    ("receipts",),
+)
+def rehydrate_cache_query(spark, folder):
+    """One set that holds every retired record, installed over a cache with some of them, changed."""
+    floor = head_of(spark, folder) // 2
+    rows = receipts(spark, folder)
+    retired = rows.where(F.col("sequence") <= floor)
+    exports = retired.select(
+        F.lit("set-all").alias("set_id"), "sequence", "content_sha256", "received_at",
+        F.col("body").alias("record"))
+    whole = spark.createDataFrame(
+        [("set-all", 1, floor, "verified")],
+        "set_id string, from_sequence bigint, through_sequence bigint, status string")
+    cache = retired.where(F.col("sequence") % 5 == 0).select(
+        "sequence", F.concat("body", F.lit("!")).alias("body"))
+    checked = check_rehydration(exports, whole, rows, floor)
+    budget = retired.agg(F.sum(F.octet_length("body"))).first()[0]
+    held = cache.select("sequence", F.lit(True).alias("_held"))
+    return rehydrate_cache(checked, cache, budget).join(held, "sequence", "left").select(
+        "sequence", F.octet_length("body").cast("bigint").alias("bytes"),
+        F.coalesce("_held", F.lit(False)).alias("was_cached"))
+
+
 _CACHE = """cache as (select sequence, case when body like 'view:%' then body||'!' else body end as body from receipts
   where sequence<=(select max(sequence)//2 from receipts) and body not like 'error:%')"""
 
