@@ -44,12 +44,13 @@ document and each get its component. Extra columns are not looked at. An empty t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallylog.llm.common import ascii_words, column_lists, jaccard, mixed64, shingle_set
 from tallylog.llm.components import components
@@ -65,6 +66,10 @@ HUBS = 2
 DEPTHS = (1, 2, 4, 8)
 #: Documents on either side of one task of the exact search for stragglers.
 BLOCK = 512
+#: Documents of a block of the cells in which pairs are confirmed.
+CELL = 256
+#: Bits of a filter for each wanted value, and the most that a filter has (64 MB).
+FILTER_BITS, MOST_BITS = 16, 1 << 29
 #: Tasks that the rows of one component are spread over.
 SALTS = 64
 #: Counters of the frequencies that order shingles, and the documents they are counted in. Both
@@ -140,10 +145,34 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
     ).mapInArrow(sign, _SIGNED)
 
 
+def _likely_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose value is in ``wanted`` (a column of that name), and few others.
+
+    A bitmap of bounded size is sent to the scan, so the other rows are left before anything moves.
+    False positives cost rows only: an exact join must follow.
+    """
+    bits = min(MOST_BITS, max(1 << 15, FILTER_BITS * wanted.count()))
+
+    def slot(values: DataFrame) -> DataFrame:
+        return values.withColumn("_slot", F.pmod(F.xxhash64(column, F.lit("slot")), F.lit(bits)) + 1)
+
+    parts = slot(wanted).groupBy(F.bitmap_bucket_number("_slot").alias("_part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    byte = "cast(conv(hex(substring(_bits, cast(_at div 8 + 1 as int), 1)), 16, 10) as int)"
+    placed = slot(rows).withColumns(
+        {"_part": F.bitmap_bucket_number("_slot"), "_at": F.bitmap_bit_position("_slot")})
+    return (
+        placed.join(F.broadcast(parts), "_part")
+        .where(F.expr(f"shiftright({byte}, cast(_at % 8 as int)) % 2 = 1"))
+        .select(*rows.columns)
+    )
+
+
 def _bucketed(members: DataFrame) -> DataFrame:
-    """Members (id, band, key) of the buckets that hold several, with their number n."""
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return checkpointed(members.join(counts, "key"))
+    """Members of the buckets (key) that hold several, with their number n."""
+    counts = checkpointed(
+        members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return checkpointed(_likely_among(members, "key", counts.select("key")).join(counts, "key"))
 
 
 def _small_pairs(held: DataFrame) -> DataFrame:
@@ -199,25 +228,57 @@ def _agreeing():
     return agree
 
 
-def _similar(size: int, percent: int):
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        held: dict[bytes, np.ndarray] = {}
-
-        def shingles(text: bytes) -> np.ndarray:
-            if text not in held:
-                if len(held) > 64:
-                    held.clear()
-                held[text] = shingle_set(ascii_words(text), size)
-            return held[text]
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b), all distinct, whose full shingle sets are alike enough.
 
-        out = []
-        for one, two in zip(a, b):
-            both, either = jaccard(shingles(one), shingles(two))
-            out.append(100 * both >= percent * either and either > 0)
-        return pd.Series(out, dtype=bool)
+    Pairs are dealt to cells so that a text moves once a cell and not once a pair. A pair goes to the
+    group of the smallest document that its first end reaches in two steps, which most pairs of a
+    cluster share; it settles the cost alone. Small groups share a cell; a large one is cut into
+    blocks of ``CELL`` documents and has a cell for each two of its blocks.
+    """
+    steps = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+        pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    one = checkpointed(
+        steps.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("low")))
+    two = steps.join(one.withColumnRenamed("node", "other"), "other").groupBy("node").agg(
+        F.min("low").alias("lead"))
+    placed = checkpointed(two)
+    sizes = placed.groupBy("lead").agg(F.count(F.lit(1)).alias("m"))
+    cells = max(1, placed.count() // CELL)
+    large = F.col("m") > CELL
+    mixed = F.pmod(F.xxhash64("lead", F.lit("cell")), F.lit(cells))
+    groups = sizes.select(
+        "lead", large.alias("own"), F.when(large, F.col("lead")).otherwise(mixed).alias("cell"),
+        F.when(large, F.ceil(F.col("m") / CELL)).otherwise(F.lit(1)).alias("blocks"))
+
+    def block(end: str) -> Column:
+        return F.pmod(F.xxhash64(end, F.lit("block")), F.col("blocks"))
+
+    keys = ["own", "cell", "x", "y"]
+    led = pairs.join(placed.withColumnRenamed("node", "a"), "a").withColumnRenamed("b", "id")
+    dealt = checkpointed(
+        _spread_join(led, groups).withColumnRenamed("id", "b")
+        .select("own", "cell", block("a").alias("x"), block("b").alias("y"), "a", "b")
+    )
+    ends = dealt.select(*keys, F.explode(F.array("a", "b")).alias("id")).distinct()
+    # Both sides come from one table; new names keep their columns apart.
+    members = ends.join(texts, "id").select(*[F.col(c).alias(c) for c in (*keys, "id", "text")])
+
+    def compare(key, rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        sets: dict[int, list[np.ndarray]] = {}  # rows that repeat an id may differ
+        for id_, text in zip(held["id"], held["text"]):
+            sets.setdefault(id_, []).append(shingle_set(ascii_words(text), size))
+        found = []
+        for a, b in zip(rows["a"], rows["b"]):
+            for one, two in product(sets.get(a, ()), sets.get(b, ())):
+                both, either = jaccard(one, two)
+                if 100 * both >= percent * either and either > 0:
+                    found.append((a, b))
+                    break
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return similar
+    return dealt.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(
+        compare, "a bigint, b bigint")
 
 
 def _spread_join(rows: DataFrame, leads: DataFrame) -> DataFrame:
@@ -382,21 +443,16 @@ def near_duplicates(
     large = held.where(F.col("n") > SMALL)
     close = likely(_small_pairs(held).unionByName(_star_pairs(large)))
     # Whole texts of all that may still be compared, moved once.
-    needed = close.select(F.explode(F.array("a", "b")).alias("id")).unionByName(
-        large.select("id")).distinct()
-    texts = checkpointed(
-        docs.select(
-            F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text")
-        ).where("text is not null").join(needed, "id", "left_semi")
-    )
+    needed = checkpointed(close.select(F.explode(F.array("a", "b")).alias("id")).unionByName(
+        large.select("id")).distinct())
+    every = docs.select(
+        F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text")
+    ).where("text is not null")
+    # An inner join, since a semi-join would be pushed below the filter; the wanted ids are distinct.
+    texts = checkpointed(_likely_among(every, "id", needed).join(needed, "id"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-            .where(_similar(size, percent)("text_a", "text_b"))
-            .select("a", "b")
-        )
+        return _confirmed(pairs, texts, size, percent)
 
     def joined_by_rare(mixed: DataFrame, linked: DataFrame) -> DataFrame:
         """The components with every link between members of the mixed buckets."""
