@@ -72,9 +72,9 @@ CELL = 256
 FILTER_BITS, MOST_BITS = 16, 1 << 29
 #: Tasks that the rows of one component are spread over.
 SALTS = 64
-#: Counters of the frequencies that order shingles, and the documents they are counted in. Both
-#: settle the order, hence the cost, and not the result.
-SLOT_BITS, ORDER_SAMPLE = 20, 20_000
+#: Counters of the frequencies that order shingles, and the documents and tasks that they are counted
+#: in. All settle the order, hence the cost, and not the result.
+SLOT_BITS, ORDER_SAMPLE, ORDER_TASKS = 20, 20_000, 16
 #: Coordinates that must agree before the full sets are compared.
 AGREEING = int(0.6 * COORDINATES)
 
@@ -345,7 +345,11 @@ def _straggler_links(
 
 
 def _shingle_order(members: DataFrame, size: int) -> np.ndarray:
-    """Frequency of each slot of shingles in a sample of the members (id, text)."""
+    """Frequency of each slot of shingles in a sample of the members (id, text).
+
+    The sample is counted in few tasks, and a slot that a task sees once counts as not seen, so what
+    the tasks put out is the frequent slots and not the shingles of the sample.
+    """
     total = members.count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,15 +358,16 @@ def _shingle_order(members: DataFrame, size: int) -> np.ndarray:
             for text in column_lists(batch, ["text"])[0]:
                 slots = shingle_set(ascii_words(text), size) >> np.uint64(64 - SLOT_BITS)
                 seen += np.bincount(slots.astype(np.int64), minlength=len(seen))
-        at = np.flatnonzero(seen)
+        at = np.flatnonzero(seen > 1)
         for start in range(0, len(at), 1 << 16):
             part = at[start : start + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[part])], ["slot", "n"])
 
     share = F.pmod(F.xxhash64("id", F.lit("order")), F.lit(total)) < ORDER_SAMPLE
     counts = (
-        members.where(share).select("text").mapInArrow(count, "slot bigint, n bigint")
-        .groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+        members.where(share).select("text").repartition(ORDER_TASKS)
+        .mapInArrow(count, "slot bigint, n bigint")
+        .groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     )
     order = np.zeros(1 << SLOT_BITS, np.uint32)
     order[counts["slot"].to_numpy()] = counts["n"].to_numpy()
