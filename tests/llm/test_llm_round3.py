@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tallylog.llm import alignment, identifiers, variants
+from tallylog.llm import (
+    alignment, fingerprints, identifiers, language, quality, variants, vectors,
+)
 from tallylog.llm.common import prepared
 from tallylog.llm.queries import QUERIES
 from test_llm_operators import CLASHES, DOCS, LONG, ROWS, with_clashes
@@ -332,3 +334,57 @@ def test_edges_of_words_and_identifiers(session, edge, empty):
     assert len(rows) == len(ROWS)
     assert {r["base_sha256"] for r in rows if r["spans"] == ""} == {hashlib.sha256(b"").hexdigest()}
     assert set(CLASHES).isdisjoint(rows[0].asDict())
+
+
+# Mended operators
+
+
+def test_a_learned_profile_ranks_as_its_text_does(session):
+    """Ties are many in a short text; the profile of one text is at distance 0 from it."""
+    text = "abc abd über die Brücke"
+    learned = language.learn_profiles(
+        session.createDataFrame([(text, "de")], "text string, lang string"))
+    assert learned.predict(text) == ("de", 1.0)
+    codes = language.ranked(text, language.DEPTH)
+    ranks = dict(zip(learned.codes.tolist(), learned.ranks[:, 0].tolist()))
+    assert ranks == {int(c): i for i, c in enumerate(codes)}
+
+
+def test_containment_is_open_where_a_sketch_is_too_small():
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(5000)]
+    long = " ".join(words)
+    open_, told = 0, []
+    for _ in range(200):
+        at = int(rng.integers(4900))
+        found = fingerprints.containment(
+            fingerprints.sketch(" ".join(words[at : at + 14])), fingerprints.sketch(long))
+        open_ += found is None
+        told += [found] if found is not None else []
+    assert set(told) == {1.0} and 20 < open_ < 100
+
+
+def test_repeated_rows_of_one_id_teach_once(session):
+    labels = session.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
+    rows = [(i, f"good words here {i}" if i % 2 else f"bad bad bad {i}") for i in range(12)]
+    once = session.createDataFrame(rows, "doc_id bigint, text string")
+    many = session.createDataFrame(rows + rows[2:3] * 40, "doc_id bigint, text string").repartition(3)
+    (a, bias_a), (b, bias_b) = (quality.train_quality(d, labels) for d in (once, many))
+    assert bias_a == bias_b and (a.value == b.value).all()
+
+
+def test_probes_stay_small_with_many_lists():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    sample = vectors.unit(rng.normal(size=(1100, 512)))
+    tracemalloc.start()
+    known = vectors.Quantizer(sample, 1024)
+    near, _, _ = known.encode(sample[:200])
+    probed = known.probes(sample[:200], near, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert probed.shape == (200, 1024) and probed[np.arange(200), near].all()
+    assert peak < 500e6
+    apart = np.sqrt(((known.centres[:5, None] - known.centres[None]) ** 2).sum(-1))
+    assert np.allclose(known.apart[:5], apart, atol=1e-6)
