@@ -56,9 +56,10 @@ def words_of(doc_id: int | None, text: str) -> Counter:
     lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
     counts = Counter(_RUNS.findall(lowered))
     start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    for run in [r for r in counts if zlib.crc32(r.encode(), start) % DAMAGED == 0]:
+    damaged = [r for r in counts if zlib.crc32(r.encode(), start) % DAMAGED == 0]
+    # All are taken out first: what one leaves may be another, and no run is damaged twice.
+    for run, times in [(r, counts.pop(r)) for r in damaged]:
         at = zlib.crc32(run.encode(), start) % len(run)
-        times = counts.pop(run)
         counts[run[:at] + run[at + 1 :]] += times
     return counts
 
