@@ -222,8 +222,10 @@ def stream_receipts(spark, folder):
     middle = events.agg(F.floor(F.avg("arrival")) + 1).scalar()
     first = events.where(F.col("arrival") < middle)
     second = events.where(F.col("arrival") >= middle).withColumn("arrival", F.col("arrival") - middle)
-    first.write.parquet(f"{path}/in/a")
-    second.write.parquet(f"{path}/in/b")
+    # A stream takes files by name, so a folder of many files has to be cut along its arrivals.
+    for part, name in ((first, "a"), (second, "b")):
+        ranged = part.repartitionByRange("arrival").sortWithinPartitions("arrival")
+        ranged.write.parquet(f"{path}/in/{name}")
     schema = spark.read.parquet(f"{path}/in/a").schema
     source = spark.readStream.schema(schema).parquet(f"{path}/in/*").select(
         "*", F.col("_metadata.file_path").alias("path"))
