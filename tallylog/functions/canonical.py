@@ -12,6 +12,8 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from tallylog.functions.text import parse_strict
+
 
 class _Number(str):
     """A JSON number kept as its source text."""
@@ -67,12 +69,35 @@ def _canonical_documents(texts: pd.Series) -> pd.Series:
     return texts.map(_canonical, na_action="ignore")
 
 
+#: What stands before a number that is a value: the colon of a name, a comma or a bracket. A colon
+#: alone is not enough, since texts of times have it. Strings start with a quote.
+_BEFORE = r'[",\[](?:(?<=")\s*:|(?<!"))\s*-?'
 #: A number whose text Spark's JSON functions may change: a fraction, an exponent, a negative zero
-#: or more than 18 digits. Numbers follow ``: , [`` or start the text; strings start with a quote.
-INEXACT_NUMBER = r"(?:\A|[:,\[])\s*-?(?:[0-9]+[.eE]|[0-9]{19}|0\b(?<=-0))"
-#: Text whose canonical form Spark's own parser does not give: such a number, any escape, any
-#: character that needs one, or one outside the basic plane.
-_HARD = rf"[\\<>&\x{{2028}}\x{{2029}}\x{{10000}}-\x{{10FFFF}}]|{INEXACT_NUMBER}"
+#: or more than 18 digits.
+_INEXACT = r"(?:[0-9]+[.eE]|[0-9]{19}|0\b(?<=-0))"
+
+
+def _holds_number(text: Column, number: str) -> Column:
+    # The comma stands for the start of the text.
+    return F.concat(F.lit(","), text).rlike(_BEFORE + number)
+
+
+def has_inexact_number(text: Column) -> Column:
+    """Whether JSON text may have such a number; a string with a comma before one counts too."""
+    return _holds_number(text, _INEXACT)
+
+
+def _is_hard(text: Column) -> Column:
+    """Text whose canonical form Spark's own parser does not give: such a number, any escape, any
+    character that needs one, or one outside the basic plane.
+
+    Plain searches come first, and wide characters are looked at only where there are some.
+    """
+    found = F.octet_length(text) != F.char_length(text)
+    found = found & text.rlike(r"[\x{2028}\x{2029}\x{10000}-\x{10FFFF}]")
+    for mark in "\\<>&":
+        found = found | F.contains(text, F.lit(mark))
+    return found | has_inexact_number(text)
 
 
 def canonical_json(text: Column) -> Column:
@@ -80,14 +105,15 @@ def canonical_json(text: Column) -> Column:
 
     Plain documents are sorted inside the JVM; only the hard ones go through Arrow.
     """
-    hard = F.coalesce(text.rlike(_HARD), F.lit(False))
-    native = F.to_json(F.try_parse_json(F.when(~hard, text)))
+    hard = F.coalesce(_is_hard(text), F.lit(False))
+    holder, whole = parse_strict(F.when(~hard, text))
+    native = F.when(whole, F.to_json(F.try_variant_get(holder, "$[0]", "variant")))
     return F.coalesce(native, _canonical_documents(F.when(hard, text)))
 
 
 #: A number that may be written in another way than a 64-bit number is: a fraction, an exponent, or
 #: more digits than such a number holds.
-_OTHER_SPELLING = r"(?:\A|[:,\[])\s*-?(?:[0-9]+[.eE]|[0-9]{16})"
+_OTHER_SPELLING = r"(?:[0-9]+[.eE]|[0-9]{16})"
 _STRING_OR_NUMBER = re.compile(r'"(?:[^"\\]|\\.)*"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?', re.S)
 
 
@@ -123,7 +149,7 @@ def shortest_numbers(text: Column) -> Column:
 
     Only texts with another spelling go through Arrow.
     """
-    other = F.coalesce(text.rlike(_OTHER_SPELLING), F.lit(False))
+    other = F.coalesce(_holds_number(text, _OTHER_SPELLING), F.lit(False))
     return F.coalesce(_respelled_documents(F.when(other, text)), text)
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,12 +24,14 @@ KEY_NAMES = (
     "payload", "private_key", "client_key", "access_key",
 )
 
-_TEXT_PATTERN = "|".join(TEXT_MARKERS)
-_KEY_PATTERN = "|".join(KEY_NAMES)
+
+def _contains_any(text: Column, names: tuple[str, ...]) -> Column:
+    """Plain searches: a pattern of alternatives tries each of them at every character."""
+    return reduce(or_, [F.contains(text, F.lit(name)) for name in names])
 
 
 def has_marker(text: Column) -> Column:
-    return F.coalesce(F.lower(text).rlike(_TEXT_PATTERN), F.lit(False))
+    return F.coalesce(_contains_any(F.lower(text), TEXT_MARKERS), F.lit(False))
 
 
 def redact_text(text: Column) -> Column:
@@ -43,9 +46,11 @@ def may_hold_secret(fields: Column) -> Column:
     looked at in full.
     """
     lowered = F.lower(fields)
+    folded = tuple(name for name in KEY_NAMES if "_" in name)
+    plain = (set(TEXT_MARKERS) | set(KEY_NAMES) | {"\\u"}) - set(folded)
     return F.coalesce(
-        lowered.rlike(rf"{_TEXT_PATTERN}|\\u")
-        | F.replace(lowered, F.lit("-"), F.lit("_")).rlike(_KEY_PATTERN),
+        _contains_any(lowered, tuple(sorted(plain)))
+        | _contains_any(F.replace(lowered, F.lit("-"), F.lit("_")), folded),
         F.lit(False),
     )
 

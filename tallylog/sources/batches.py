@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallylog.functions.canonical import INEXACT_NUMBER, canonical_json, exact_event_fields
+from tallylog.functions.canonical import canonical_json, exact_event_fields, has_inexact_number
 from tallylog.functions.text import parse_strict
 from tallylog.functions.times import parse_rfc3339, rfc3339_sub
 from tallylog.operators.stages import computed_once
@@ -96,7 +96,7 @@ def batch_events(checked: DataFrame, order: str) -> DataFrame:
     ``order`` is a BIGINT column that orders the batches; a batch has at most 2^20 events.
     """
     usable = checked.where(F.col("batch_error").isNull())
-    inexact = F.when(F.col("body").rlike(INEXACT_NUMBER), F.col("body"))
+    inexact = F.when(has_inexact_number(F.col("body")), F.col("body"))
     rows = usable.withColumn("_exact", exact_event_fields(inexact)).select(
         order, "_exact", F.posexplode("events").alias("position", "event")
     )
