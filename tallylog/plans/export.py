@@ -230,6 +230,30 @@ def capture_bounds(captured_through: int, floor: int, head: int) -> tuple[int, i
     return (start, head) if start <= head else (0, 0)
 
 
+def _with_usage(rows: DataFrame, body: str) -> DataFrame:
+    """Add ``_usage``, the usage event's text in a receipt body. It is named many times later."""
+    fields = F.from_json(F.col(body), "event struct<fields string>")["event"]["fields"]
+    opened = computed_once(rows, _fields=fields)
+    usage = F.from_json(canonical_json(F.col("_fields")), "usage_event string")["usage_event"]
+    return computed_once(opened, _usage=usage).drop("_fields")
+
+
+def fitting_part_bytes(rows: DataFrame, part_bytes: int, block: int = BLOCK) -> int:
+    """``part_bytes``, or the larger size at which rows (sequence, bytes) surely need no more than
+    half of the parts of a set; the other half is for the set's other kind of parts.
+
+    A part that is not the last of its block lacks less than one row of its size. Parts never exceed
+    ``MAX_PART_BYTES``: what does not fit then breaks the manifest's rule on totals.
+    """
+    total, longest, blocks = rows.agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0)),
+        F.coalesce(F.expr(f"max(sequence) div {block} - min(sequence) div {block} + 1"), F.lit(0)),
+    ).first()
+    whole = max(MAX_SET_PARTS // 2 - blocks, 1)
+    needed = longest + -(-total // whole)
+    return min(max(part_bytes, needed), max(part_bytes, MAX_PART_BYTES))
+
+
 def capture_export(
     receipts: DataFrame, captured_through: int, floor: int, head: int,
     environments: list[str], part_bytes: int = MAX_PART_BYTES, block: int = BLOCK,
@@ -243,12 +267,10 @@ def capture_export(
         raise ValueError("1 to 8 distinct source environments are needed")
     start, through = capture_bounds(captured_through, floor, head)
     span = receipts.where((F.col("sequence") >= start) & (F.col("sequence") <= through))
-    fields = F.from_json(F.col("body"), "event struct<fields string>")["event"]["fields"]
-    usage = F.from_json(canonical_json(fields), "usage_event string")["usage_event"]
     lines = computed_once(span, line=export_line()).withColumn(
         "bytes", (F.octet_length("line") + 1).cast("bigint")
     )
-    bound = usage_bindings(lines.withColumn("_usage", usage), "_usage")
+    bound = usage_bindings(_with_usage(lines, "body"), "_usage")
     bad = (
         ~F.col("env").isin(*environments)
         | ~is_safe_id(F.col("env"))
@@ -264,7 +286,8 @@ def capture_export(
             F.coalesce(bad, F.lit(True)).alias("bad"),
         )
     )
-    parts = pack_greedy(judged, "sequence", "bytes", part_bytes, block=block)
+    wanted = fitting_part_bytes(judged, part_bytes, block)
+    parts = pack_greedy(judged, "sequence", "bytes", wanted, block=block)
     bounds = parts.select("from_sequence", "through_sequence", F.col("ordinal").alias("part"))
     placed = in_ranges(
         lines.select("sequence", "line"), "sequence", bounds, "from_sequence",
@@ -472,7 +495,8 @@ def capture_manifest(
         raise CaptureError(f"{rejected} of {records} receipts must not be exported")
     lines = checkpointed(snapshot_lines(bindings).withColumn(
         "bytes", (F.octet_length("line") + 1).cast("bigint")))
-    packed = checkpointed(pack_greedy(lines, "sequence", "bytes", part_bytes, block=block))
+    wanted = fitting_part_bytes(lines, part_bytes, block)
+    packed = checkpointed(pack_greedy(lines, "sequence", "bytes", wanted, block=block))
     placed = in_ranges(
         lines.select("sequence", "line"), "sequence",
         packed.select("from_sequence", "through_sequence", F.col("ordinal").alias("part")),
@@ -606,8 +630,6 @@ def audit_exports(
 
 def export_root(exports: DataFrame, start: int, through: int) -> DataFrame:
     """``root_sha256`` of the ordered usage bindings of an export set."""
-    fields = F.from_json(F.col("record"), "event struct<fields string>")["event"]["fields"]
-    usage = F.from_json(canonical_json(fields), "usage_event string")["usage_event"]
-    bound = usage_bindings(exports.withColumn("_usage", usage), "_usage")
+    bound = usage_bindings(_with_usage(exports, "record"), "_usage")
     ranges = range_digests(bound, start)
     return digest_tree(ranges, "range_no", "bindings_sha256")
