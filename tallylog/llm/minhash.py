@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallylog.llm.common import ascii_words, column_lists, jaccard, mixed64, shingle_set
-from tallylog.llm.components import components
+from tallylog.llm.components import TASK_LINKS, components
 from tallylog.session import checkpointed
 
 BANDS, ROWS = 32, 4
@@ -68,8 +68,9 @@ DEPTHS = (1, 2, 4, 8)
 BLOCK = 512
 #: Documents of a block of the cells in which pairs are confirmed.
 CELL = 256
-#: Bits of a filter for each wanted value, and the most that a filter has (64 MB).
-FILTER_BITS, MOST_BITS = 16, 1 << 29
+#: Bits of a filter for each wanted value, those for an id (whose rows are wide), and the most that a
+#: filter has (64 MB).
+FILTER_BITS, ID_BITS, MOST_BITS = 16, 64, 1 << 29
 #: Tasks that the rows of one component are spread over.
 SALTS = 64
 #: Counters of the frequencies that order shingles, and the documents and tasks that they are counted
@@ -145,13 +146,29 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
     ).mapInArrow(sign, _SIGNED)
 
 
-def _likely_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+def _few(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Narrow rows, checkpointed, in as few parts as hold ``TASK_LINKS`` each.
+
+    What a later step leaves over is often little; one part then meets another without an exchange.
+    Rows are counted unless ``most``, which they do not exceed by much, is known.
+    """
+    kept = checkpointed(rows)
+    return kept.coalesce(_parts(kept.count() if most is None else most))
+
+
+def _parts(rows: int) -> int:
+    return max(1, -(-rows // TASK_LINKS))
+
+
+def _likely_among(
+    rows: DataFrame, column: str, wanted: DataFrame, bits_each: int = FILTER_BITS
+) -> DataFrame:
     """The rows whose value is in ``wanted`` (a column of that name), and few others.
 
     A bitmap of bounded size is sent to the scan, so the other rows are left before anything moves.
     False positives cost rows only: an exact join must follow.
     """
-    bits = min(MOST_BITS, max(1 << 15, FILTER_BITS * wanted.count()))
+    bits = min(MOST_BITS, max(1 << 15, bits_each * wanted.count()))
 
     def slot(values: DataFrame) -> DataFrame:
         return values.withColumn("_slot", F.pmod(F.xxhash64(column, F.lit("slot")), F.lit(bits)) + 1)
@@ -168,6 +185,12 @@ def _likely_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     )
 
 
+def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the given distinct ids, found before anything wide moves."""
+    # An inner join, since a semi-join would be pushed below the filter.
+    return _likely_among(rows, "id", ids, ID_BITS).join(ids, "id").select(*rows.columns)
+
+
 def _bucketed(members: DataFrame) -> DataFrame:
     """Members of the buckets (key) that hold several, with their number n."""
     counts = checkpointed(
@@ -199,8 +222,8 @@ def _star_pairs(large: DataFrame) -> DataFrame:
         F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
 
 
-def _finer_pairs(classes: DataFrame, mixed: DataFrame) -> DataFrame | None:
-    """Pairs of the finer buckets under the given large ones; None if there is none."""
+def _finer_pairs(classes: DataFrame, mixed: DataFrame, most: int) -> DataFrame:
+    """Pairs of the finer buckets under the given large ones, of which there is one at least."""
     found, large = None, mixed
     for depth in DEPTHS:
         if large.isEmpty():
@@ -210,11 +233,11 @@ def _finer_pairs(classes: DataFrame, mixed: DataFrame) -> DataFrame | None:
         held = _bucketed(
             large.select("key", "id", "band").join(classes.select("id", "bands"), "id")
             .select("id", "band", F.xxhash64("key", more).alias("key"))
-        )
+        ).coalesce(_parts(most))
         large = held.where(F.col("n") > SMALL)
         pairs = _small_pairs(held).unionByName(_star_pairs(large))
         found = pairs if found is None else found.unionByName(pairs)
-    return found
+    return found.coalesce(_parts(most))
 
 
 def _agreeing():
@@ -236,13 +259,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     cluster share; it settles the cost alone. Small groups share a cell; a large one is cut into
     blocks of ``CELL`` documents and has a cell for each two of its blocks.
     """
-    steps = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
-        pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    one = checkpointed(
-        steps.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("low")))
+    # Not a union, which would part what lies in one place.
+    most = 2 * pairs.count()
+    pairs = pairs.coalesce(_parts(most))
+    steps = pairs.select(F.expr("inline(array(struct(a as node, b as other), struct(b as node, a as other)))"))
+    one = _few(
+        steps.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("low")), most)
     two = steps.join(one.withColumnRenamed("node", "other"), "other").groupBy("node").agg(
         F.min("low").alias("lead"))
-    placed = checkpointed(two)
+    placed = _few(two, most)
     sizes = placed.groupBy("lead").agg(F.count(F.lit(1)).alias("m"))
     cells = max(1, placed.count() // CELL)
     large = F.col("m") > CELL
@@ -256,9 +281,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
     keys = ["own", "cell", "x", "y"]
     led = pairs.join(placed.withColumnRenamed("node", "a"), "a").withColumnRenamed("b", "id")
-    dealt = checkpointed(
+    dealt = _few(
         _spread_join(led, groups).withColumnRenamed("id", "b")
-        .select("own", "cell", block("a").alias("x"), block("b").alias("y"), "a", "b")
+        .select("own", "cell", block("a").alias("x"), block("b").alias("y"), "a", "b"),
+        most,
     )
     ends = dealt.select(*keys, F.explode(F.array("a", "b")).alias("id")).distinct()
     # Both sides come from one table; new names keep their columns apart.
@@ -325,6 +351,8 @@ def _straggler_links(
     def share(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
 
+    crowd = _few(crowd)
+    texts = _likely_among(texts, "id", crowd.select("id").distinct(), ID_BITS)
     cells = share(crowd, "blocks").join(share(stragglers, "chunks"), "lead")
     index = (
         _spread_join(crowd, cells)
@@ -433,9 +461,10 @@ def near_duplicates(
     classes = checkpointed(
         known.join(first, "digest").where("id = first").select("id", "bands", "low")
     )
-    lows = classes.groupBy("id").agg(F.min("low").alias("low"))
 
-    def likely(pairs: DataFrame) -> DataFrame:
+    def likely(pairs: DataFrame, owners: DataFrame) -> DataFrame:
+        """The distinct pairs of rows of ``owners`` whose signatures agree enough."""
+        lows = owners.groupBy("id").agg(F.min("low").alias("low"))
         return checkpointed(
             pairs.distinct()
             .join(lows.select(F.col("id").alias("a"), F.col("low").alias("low_a")), "a")
@@ -445,49 +474,56 @@ def near_duplicates(
         )
 
     held = _bucketed(classes.select("id", F.posexplode("bands").alias("band", "key")))
-    large = held.where(F.col("n") > SMALL)
-    close = likely(_small_pairs(held).unionByName(_star_pairs(large)))
+    large = checkpointed(held.where(F.col("n") > SMALL))
+    most = large.count()
+    large = large.coalesce(_parts(most))
+    close = likely(_small_pairs(held).unionByName(_star_pairs(large)), classes)
     # Whole texts of all that may still be compared, moved once.
     needed = checkpointed(close.select(F.explode(F.array("a", "b")).alias("id")).unionByName(
         large.select("id")).distinct())
     every = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text")
     ).where("text is not null")
-    # An inner join, since a semi-join would be pushed below the filter; the wanted ids are distinct.
-    texts = checkpointed(_likely_among(every, "id", needed).join(needed, "id"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return _confirmed(pairs, texts, size, percent)
+    texts = checkpointed(_of_ids(every, needed))
 
-    def joined_by_rare(mixed: DataFrame, linked: DataFrame) -> DataFrame:
-        """The components with every link between members of the mixed buckets."""
+    def joined_by_rare(
+        mixed: DataFrame, own: DataFrame, own_texts: DataFrame, linked: DataFrame
+    ) -> DataFrame:
+        """The components with every link between members of the mixed buckets, whose signatures
+        and texts are ``own`` and ``own_texts``."""
         placed = mixed.select("key", "id").join(linked.withColumnRenamed("node", "id"), "id", "left")
         placed = placed.withColumn("component", F.coalesce("component", "id"))
         parted = placed.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        members = checkpointed(
-            placed.join(parted, "key", "left_semi").select("id", "component").distinct()
-        ).join(texts.dropDuplicates(["id"]), "id")
+        members = _few(
+            placed.join(parted, "key", "left_semi").select("id", "component").distinct(), most
+        ).join(own_texts.dropDuplicates(["id"]), "id")
         rare = checkpointed(_rare_shingles(members, size, percent))
+        shingles = rare.count()
+        rare = rare.coalesce(_parts(shingles))
         shared = rare.groupBy("token").agg(
             F.count(F.lit(1)).alias("n"), F.max("indexed").alias("any"),
             F.min("component").alias("low"), F.max("component").alias("high"),
         ).where("n > 1 and any and low < high")
-        held = checkpointed(rare.join(shared.select("token", "n"), "token"))
+        held = _few(rare.join(shared.select("token", "n"), "token"), shingles)
         links = linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
-            confirmed(likely(_rare_pairs(held.where(F.col("n") <= SMALL), percent))))
+            _confirmed(
+                likely(_rare_pairs(held.where(F.col("n") <= SMALL), percent), own),
+                own_texts, size, percent))
         hot = held.where(F.col("n") > SMALL)
         if hot.isEmpty():
             return components(links, "a", "b")
-        lead = checkpointed(
+        lead = _few(
             hot.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
             .groupBy("token").agg(
                 F.max_by("component", "m").alias("lead"), F.max("m").alias("most"),
-                F.sum("m").alias("n"))
+                F.sum("m").alias("n")),
+            shingles,
         )
-        stragglers = checkpointed(
+        stragglers = _few(
             hot.join(lead.where("2 * most >= n"), "token").where("component <> lead")
-            .select("id", "lead").distinct()
+            .select("id", "lead").distinct(),
+            shingles,
         )
         # Shingles with the same members, as those of one passage have, are looked at once.
         groups = (
@@ -498,8 +534,8 @@ def near_duplicates(
                 F.sum(F.xxhash64("indexed", "id").bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"))
             .groupBy("n", "x", "s").agg(F.min("token").alias("token")).select("token")
         )
-        several = checkpointed(hot.join(groups, "token", "left_semi").select(
-            "id", F.col("token").alias("lead"), "indexed"))
+        several = _few(hot.join(groups, "token", "left_semi").select(
+            "id", F.col("token").alias("lead"), "indexed"), shingles)
         if not stragglers.isEmpty():
             crowd = _spread_join(
                 linked.select(F.col("node").alias("id"), F.col("component").alias("lead")),
@@ -512,34 +548,41 @@ def near_duplicates(
                 texts, size, percent))
         return components(links, "a", "b")
 
-    linked = checkpointed(components(confirmed(close), "a", "b"))
+    linked = _few(components(_confirmed(close, texts, size, percent), "a", "b"))
     if not large.isEmpty():
         links = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        joined = checkpointed(
+        joined = _few(
             large.join(linked.withColumnRenamed("node", "id"), "id", "left")
-            .withColumn("component", F.coalesce("component", "id"))
+            .withColumn("component", F.coalesce("component", "id")),
+            most,
         )
         parts = joined.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-        lead = checkpointed(parts.groupBy("key").agg(
+        lead = _few(parts.groupBy("key").agg(
             F.max_by("component", "m").alias("lead"), F.max("m").alias("most"),
             F.sum("m").alias("n"),
-        ))
-        stragglers = checkpointed(
+        ), most)
+        stragglers = _few(
             joined.join(lead.where("2 * most >= n and most < n").select("key", "lead"), "key")
-            .where("component <> lead").select("id", "lead").distinct()
+            .where("component <> lead").select("id", "lead").distinct(),
+            most,
         )
         if not stragglers.isEmpty():
             members = linked.select(F.col("node").alias("id"), F.col("component").alias("lead"))
             leads = stragglers.select("lead").distinct()
             crowd = _spread_join(members, leads).select("id", "lead").unionByName(stragglers)
             links = links.unionByName(_straggler_links(stragglers, crowd, texts, size, percent))
-        mixed = joined.join(lead.where("2 * most < n").select("key"), "key", "left_semi")
-        finer = _finer_pairs(classes, mixed)
-        if finer is not None:
-            links = links.unionByName(confirmed(likely(finer)))
-        linked = checkpointed(components(links, "a", "b"))
-        if finer is not None:
-            linked = joined_by_rare(mixed, linked)
+        mixed = _few(joined.join(lead.where("2 * most < n").select("key"), "key", "left_semi"), most)
+        some = not mixed.isEmpty()
+        if some:
+            # Signatures and texts of these members alone, moved once for all that follows.
+            ids = _few(mixed.select("id").distinct(), most)
+            own, own_texts = _few(_of_ids(classes, ids), most), checkpointed(_of_ids(texts, ids))
+            links = links.unionByName(
+                _confirmed(
+                    likely(_finer_pairs(own, mixed, most), own), own_texts, size, percent))
+        linked = _few(components(links, "a", "b"))
+        if some:
+            linked = joined_by_rare(mixed, own, own_texts, linked)
     found = first.join(linked, F.col("first") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "first").alias("component")
     )

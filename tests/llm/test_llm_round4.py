@@ -1,6 +1,6 @@
 """Mended operators of the fourth round."""
 
-from tallylog.llm import variants
+from tallylog.llm import minhash, variants
 
 
 def test_what_a_damaged_run_leaves_is_not_damaged_again():
@@ -9,3 +9,28 @@ def test_what_a_damaged_run_leaves_is_not_damaged_again():
     first, second = (variants.words_of(23094, w) for w in ("measured", "measure"))
     assert list(first) == ["measure"] and list(second) != ["measure"]
     assert +found == {"measure": 2, **second, "x": 1}
+
+
+def test_mixed_buckets_move_the_rows_of_their_members_only(spark, monkeypatch):
+    """Two crowds share a passage; the other texts must not be moved again for their finer buckets."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"a{i}x{j}" for j in range(12))) for i in range(60)]
+    rows += [(100 + i, f"{rows[i][1]} end") for i in range(5)]
+    rows += [(1000 + i, " ".join(f"b{i}x{j}" for j in range(30))) for i in range(300)]
+    asked = []
+    finer = minhash._finer_pairs
+
+    def seen(classes, mixed, *rest):
+        asked.append((classes.select("id").distinct().count(), mixed.select("id").distinct().count()))
+        return finer(classes, mixed, *rest)
+
+    monkeypatch.setattr(minhash, "_finer_pairs", seen)
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in rows}
+    linked = {i: i for i, _ in rows}
+    for a in sorted(sets):
+        for b in (b for b in sets if b > a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+            low, high = sorted((linked[a], linked[b]))
+            linked = {i: low if c == high else c for i, c in linked.items()}
+    assert {r.id: r.component_id for r in found} == linked
+    assert asked and all(given == members < 100 for given, members in asked)
